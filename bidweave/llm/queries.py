@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bidweave.llm.bpe import op7_bpe
+from bidweave.llm.fingerprints import op3_fingerprints
+from bidweave.llm.language import op8_language_id
 from bidweave.llm.packing import op2_packing
 from bidweave.llm.pii import op1_pii_pseudonyms
+from bidweave.llm.quality import op6_quality
 from bidweave.llm.url_filters import OP9_SQL, op9_url_filters
 from bidweave.session import ship
 
-_QUERIES = [op1_pii_pseudonyms, op2_packing, op7_bpe, op9_url_filters]
+_QUERIES = [op1_pii_pseudonyms, op2_packing, op3_fingerprints, op6_quality, op7_bpe, op8_language_id, op9_url_filters]
 ORACLES = {"op9_url_filters": OP9_SQL}
 
 
