@@ -8,7 +8,7 @@ once, merges apply in rank order, and each one touches its two neighbours alone.
 from __future__ import annotations
 
 import base64
-import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that a Python worker keeps; past it the memory starts anew, which changes no result.
-KEPT = 250_000
+#: Words, and stretches of text, that a Python worker keeps; what it forgets it encodes anew, which changes no result.
+KEPT = 300_000
 #: Characters of text that are encoded at a time.
-BLOCK = 2_000_000
+BLOCK = 8_000_000
+#: Latin letters and ASCII marks after them, but the apostrophe: two words, or one, by any such tokenizer's pattern.
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,85 +39,112 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {r: t for t, r in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.merged: dict[tuple[int, int], int] = {}
-
-    def rank(self, a: int, b: int) -> int:
-        """Of the token that a and b merge to; -1 if there is none."""
-        if (found := self.merged.get((a, b))) is None:
-            found = self.merged[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return found
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        # Every pair of tokens that together are a token, and that token's rank.
+        made = sorted((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        self.pairs = np.array([p for p, _ in made] or [-1], np.int64)
+        self.made = np.array([r for _, r in made] or [-1], np.int32)
+        self.size = max(ranks.values()) + 1
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the tokens that a and b merge to; -1 where there is none."""
+        pairs = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.pairs, pairs)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == pairs, self.made[at], -1)
 
     def alone(self, word: bytes) -> list[int]:
         """The lowest-ranked, leftmost pair of the word merges first, until none does."""
-        ids = [self.byte[b] for b in word]
-        while len(ids) > 1:
-            pairs = [(r, i) for i in range(len(ids) - 1) if (r := self.rank(ids[i], ids[i + 1])) >= 0]
-            if not pairs:
-                break
-            r, i = min(pairs)
-            ids[i : i + 2] = [r]
-        return ids
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        byte, rank = self.byte, self.rank
-        ids: list[int] = []
-        after: list[int] = []
-        word_of: list[int] = []
-        starts: list[int] = []
-        for w, word in enumerate(words):
-            n = len(ids)
-            starts.append(n)
-            ids += [byte[b] for b in word]
-            after += range(n + 1, n + len(word) + 1)
-            word_of += [w] * len(word)
-            if word:
-                after[-1] = -1
-        before = [-1] * len(ids)
-        index: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-                if (r := rank(ids[i], ids[j])) >= 0:
-                    index.setdefault(r, []).append(i)
-        odd: set[int] = set()
-        heap = list(index)
-        heapq.heapify(heap)
-        while heap:
-            r = heapq.heappop(heap)
-            for i in sorted(index.pop(r)):
-                # The index isn't cleaned up: a place counts if its pair still merges to r.
-                if ids[i] < 0 or (j := after[i]) < 0 or rank(ids[i], ids[j]) != r:
-                    continue
-                ids[i], ids[j] = r, -1
-                after[i] = k = after[j]
-                if k >= 0:
-                    before[k] = i
-                for left, right in ((before[i], i), (i, k)):
-                    if left >= 0 and right >= 0 and (new := rank(ids[left], ids[right])) >= 0:
-                        if new < r:
-                            # A lower rank than the one at work: this word's order is its own.
-                            odd.add(word_of[i])
-                        if new in index:
-                            index[new].append(left)
-                        else:
-                            index[new] = [left]
-                            heapq.heappush(heap, new)
-        out = []
-        for w, (word, i) in enumerate(zip(words, starts, strict=True)):
-            if w in odd:
-                out.append(self.alone(word))
+        tokens = [bytes([b]) for b in word]
+        while pairs := [(r, i) for i in range(len(tokens) - 1) if (r := self.ranks.get(tokens[i] + tokens[i + 1], -1)) >= 0]:
+            i = min(pairs)[1]
+            tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
+        return [self.ranks[t] for t in tokens]
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian 32-bit integers."""
+        if not words:
+            return []
+        ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        ends = np.cumsum([len(w) for w in words])
+        starts = np.concatenate([[0], ends[:-1]])
+        after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        after[ends - 1], before[starts] = -1, -1
+        # The rank that the token at a place merges to with the one after it, and the inverted index: the places of each rank.
+        merges = np.full(len(ids), -1, np.int32)
+        inner = np.flatnonzero(after >= 0)
+        merges[inner] = self.rank(ids[inner], ids[inner + 1])
+        index: list[list[int]] = [[] for _ in range(self.size)]
+        there = np.flatnonzero(merges >= 0)
+        there = there[np.argsort(merges[there], kind="stable")]
+        cuts = np.flatnonzero(np.diff(merges[there], prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(there)], strict=True):
+            index[merges[there[a]]] = there[a:b].tolist()
+        odd: list[np.ndarray] = []
+        for r in range(self.size):
+            if not index[r]:
+                continue
+            # Places that an earlier merge has changed stay in the index; they count if they still merge to r.
+            p = np.unique(np.array(index[r]))
+            index[r] = []
+            p = p[merges[p] == r]
+            q = after[p]
+            if len(p) > 1 and (p[1:] == q[:-1]).any():
+                taken, free = [], -1
+                for x, y in zip(p.tolist(), q.tolist(), strict=True):
+                    if x != free:
+                        taken.append(x)
+                        free = y
+                p = np.array(taken)
+                q = after[p]
+            if not len(p):
                 continue
-            found = []
-            i = i if word else -1
-            while i >= 0:
-                found.append(ids[i])
-                i = after[i]
-            out.append(found)
+            k = after[q]
+            ids[p], merges[q], after[p] = r, -1, k
+            ids[q] = -1
+            right = k >= 0
+            before[k[right]] = p[right]
+            left = before[p]
+            left = left[left >= 0]
+            merges[p] = -1
+            touched = np.concatenate([left, p[right]])
+            new = self.rank(ids[touched], ids[after[touched]])
+            merges[touched] = new
+            some = new >= 0
+            # A lower rank than the one at work: that word's order is its own.
+            if (low := some & (new < r)).any():
+                odd.append(touched[low])
+            for x, y in zip(new[some].tolist(), touched[some].tolist(), strict=True):
+                index[x].append(y)
+        alive = ids >= 0
+        sizes = np.add.reduceat(alive, starts, dtype=np.int64) * 4
+        flat, stops = ids[alive].astype("<i4").tobytes(), np.cumsum(sizes)
+        out = [flat[a:b] for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
+        for w in set(np.searchsorted(starts, np.concatenate(odd), "right").tolist()) if odd else ():
+            out[w - 1] = np.array(self.alone(words[w - 1]), "<i4").tobytes()
         return out
 
 
+class Memory(dict):
+    """A dictionary that, when it has grown past a limit, keeps what has been asked for again since the last time."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.again = most, set()
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that it lacks. Called before a block's entries are added."""
+        new = keys - self.keys()
+        self.again |= keys - new
+        if len(self) > self.most:
+            kept = {k: self[k] for k in self.again}
+            self.clear()
+            # Should nearly all be asked for again, it starts anew.
+            self.update(kept if len(kept) < self.most else {k: kept[k] for k in keys - new})
+            self.again = set()
+        return new
+
+
 class Encoder:
     """Encodes texts, with a memory of words and of the stretches between single spaces.
 
@@ -126,36 +155,45 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.replay = MergeReplay(read_ranks(path))
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(KEPT)
         #: The stretches that begin a text, and those after a space (kept without it). None: to be cut by the pattern.
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.first, self.rest = Memory(KEPT), Memory(KEPT)
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        for w, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
-            self.words[w] = np.array(ids, "<i4").tobytes()
+        new = list(self.words.missing(words))
+        self.words.update(zip(new, self.replay.encode([w.encode() for w in new]), strict=True))
 
-    def stretches(self, new: set[str], known: dict[str, bytes | None], space: str) -> None:
-        cut = {s: None if not s or s[0].isspace() and space or s[-1].isspace() else self.find(space + s) for s in new}
-        self.learn({w for words in cut.values() if words for w in words})
-        known.update((s, None if words is None else b"".join(map(self.words.__getitem__, words))) for s, words in cut.items())
+    def cut(self, stretch: str, space: str) -> list[str] | None:
+        """A stretch's words."""
+        if not stretch or stretch[0].isspace() and space or stretch[-1].isspace():
+            return None
+        if m := LETTERS.fullmatch(stretch):
+            return [space + m[1], m[2]] if m[2] else [space + m[1]]
+        return self.find(space + stretch)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.words) + len(self.rest) + len(self.first) > KEPT:
-            self.words, self.first, self.rest = {}, {}, {}
-        split = [t.split(" ") for t in texts]
-        self.stretches({s[0] for s in split} - self.first.keys(), self.first, "")
-        self.stretches(set().union(*[s[1:] for s in split]) - self.rest.keys(), self.rest, " ")
-        out = []
-        for text, (head, *rest) in zip(texts, split, strict=True):
-            parts = [self.first[head], *map(self.rest.__getitem__, rest)]
-            if None in parts:
-                words = self.find(text)
-                self.learn(set(words))
-                parts = list(map(self.words.__getitem__, words))
-            out.append(b"".join(parts))
+        heads, rests = set(), set()
+        for text in texts:
+            head, *rest = text.split(" ")
+            heads.add(head)
+            rests.update(rest)
+        cut = [(known, s, self.cut(s, space)) for known, some, space in ((self.first, heads, ""), (self.rest, rests, " ")) for s in known.missing(some)]
+        self.learn({w for _, _, words in cut if words for w in words})
+        word = self.words.__getitem__
+        for known, s, words in cut:
+            known[s] = None if words is None else b"".join(map(word, words))
+        out: list[bytes | None] = []
+        for text in texts:
+            head, *rest = text.split(" ")
+            try:
+                out.append(b"".join([self.first[head], *map(self.rest.__getitem__, rest)]))
+            except TypeError:
+                out.append(None)
+        if odd := {i: self.find(texts[i]) for i, ids in enumerate(out) if ids is None}:
+            self.learn({w for words in odd.values() for w in words})
+            for i, words in odd.items():
+                out[i] = b"".join(map(word, words))
         return out
 
 
