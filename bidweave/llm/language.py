@@ -159,6 +159,19 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose language is known with at least that score."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in blocks(batch.column(place)):
+                langs, scores = model.predict(texts)
+                yield batch.slice(at, len(texts)).filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, use=remainder("doc_id", 4) != 2)

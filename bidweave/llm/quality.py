@@ -98,6 +98,18 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())]))
 
 
+def keep_good(docs: DataFrame, model: QualityModel, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that score at least that much."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in blocks(batch.column(place)):
+                yield batch.slice(at, len(texts)).filter(pa.array(model.scores(texts) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
