@@ -8,13 +8,44 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.session import written
 
 
+def contiguous(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal integer keys, of batches that are sorted by them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None or not len(held) else pa.concat_tables([held, table]).combine_chunks()
+        marks = np.stack([held.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield held.slice(a, b - a)
+        held = held.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def roots(n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers below n that each is connected to by the links (rows[i], columns[i])."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[rows], root[columns])
+        new = root.copy()
+        np.minimum.at(new, root[rows], least)
+        np.minimum.at(new, root[columns], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _contracted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A partition's links as stars around the smallest node of each of its own components."""
     root: dict[int, int] = {}

@@ -4,9 +4,11 @@ Each document's set of word shingles has MinHash samples, in bands, and an odd s
 one bit, so that the bits in which two sketches differ estimate high similarities. Documents that share a band are
 candidates, sketches select among them, and full sets confirm.
 
-Documents with equal sets are one class, and only classes are compared. Candidates of a band link to its smallest class
-first. Pairs are confirmed in three rounds, so that groups of near copies never need all their pairs: each class with its
-likeliest smallest class, then the other such pairs that are still apart, then all pairs of a band that are still apart.
+Documents with equal sets are one class, and only classes are compared. Candidates of a band are paired with its smallest
+class first: each class with the likeliest of these, then with the others that it is still apart from. Such pairs tie classes
+into clusters. Where a cluster is still apart, those outside its largest part are compared with all of it, in blocks whose
+full sets meet as a product of matrices; what leaves a block is links enough to connect what is linked. Pairs of a band that
+are in no common cluster are confirmed one by one. So groups of near copies are never expanded into all their pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm.components import components
+from bidweave.llm.components import components, contiguous, roots
 from bidweave.session import written
 
 #: Bands and samples in each: at a similarity of 0.8 a pair shares no band with a probability of 5 in a million.
@@ -29,6 +31,8 @@ BANDS, ROWS = 40, 6
 SKETCH = 8
 #: Estimates below are not confirmed: about five standard deviations under a similarity of 0.8.
 LEAST_ESTIMATE = 0.62
+#: Classes of a cluster that one block holds, and shingles that blocks are multiplied by at a time.
+BLOCK, COLUMNS = 512, 4096
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -122,6 +126,62 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     return both.mapInArrow(run, "a long, b long")
 
 
+def alike(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of a are alike enough to which of b, from the exact sizes of all intersections."""
+    sizes = np.array([len(s) for s in (*a, *b)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    # Shingles of one set alone are in no intersection.
+    both = count[column] > 1
+    owner, column = owner[both], np.unique(column[both], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        there = np.zeros((len(sizes), COLUMNS), np.float32)
+        there[owner[lo:hi], column[lo:hi] - first] = 1
+        shared += there[: len(a)] @ there[len(a) :].T
+    return 100 * shared >= percent * (sizes[: len(a), None] + sizes[None, len(a) :] - shared)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links enough to connect what is linked between the two sides of each block, or within its only side."""
+    for block in contiguous(batches, ["cluster", "i", "j"]):
+        second = block.column("second").to_numpy().astype(bool)
+        a, b = np.flatnonzero(~second), np.flatnonzero(second)
+        sets = [shingles(t.as_py() or "", n) for t in block.column("text")]
+        one = block.column("i")[0].as_py() == block.column("j")[0].as_py()
+        if one:
+            b = a
+        if not len(a) or not len(b):
+            continue
+        rows, columns = np.nonzero(alike([sets[k] for k in a], [sets[k] for k in b], percent))
+        root = roots(len(sets), a[rows], b[columns])
+        nodes, tied = block.column("node").to_numpy(), np.flatnonzero(root != np.arange(len(sets)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], names=["a", "b"])
+
+
+def _clusters_linked(classed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that are missing within the clusters of classed (node, cluster, part), where part is what is connected so far.
+
+    All of a cluster but its largest part is compared with that part and with itself. Blocks of the largest part are
+    numbered from 0, those of the rest from below -1 on.
+    """
+    parts = classed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    several = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
+    several = several.select((F.col("cluster") + F.lit(0)).alias("of"), "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rests"))
+    rows = classed.join(several, F.col("cluster") == F.col("of"))
+    in_main = F.col("part") == F.col("main")
+    own = F.when(in_main, F.pmod(F.xxhash64("node"), "mains")).otherwise(-1 - F.pmod(F.xxhash64("node"), "rests")).cast("int")
+    rests = F.transform(F.sequence(F.lit(1), F.col("rests")), lambda k: -k)
+    others = F.when(in_main, rests).otherwise(F.concat(rests, F.sequence(F.lit(0), F.col("mains") - 1)))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(others)).select("cluster", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("second"))
+    tasks = int(classed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = dealt.join(texts, "node").repartition(tasks, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return full.select("cluster", "i", "j", "second", "node", "text").mapInArrow(lambda b: _linked(b, n, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
@@ -144,13 +204,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     shared = members.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("band"), "first")
     shared = written(members.join(shared, F.col("key") == F.col("band")).select("key", "node", "first"), "bands")
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those that their sketches don't rule out, with the estimate."""
         with_a = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "sketch_a"}), "a")
         with_b = with_a.join(sketches.withColumnsRenamed({"node": "b", "sketch": "sketch_b"}), "b")
         return with_b.select("a", "b", estimate(F.col("sketch_a"), F.col("sketch_b")).alias("estimate")).where(F.col("estimate") >= LEAST_ESTIMATE)
 
-    first_pairs = written(alike(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
+    def labelled(pairs: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
+        """With the component of each end: the node itself if it has no links."""
+        for end in ends:
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        return pairs
+
+    first_pairs = written(likely(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()), "pairs")
     # The texts of all classes of some shared band: no pair needs another.
     wanted = shared.select("node").distinct()
     texts = written(rows.join(wanted, F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "text").dropDuplicates(["node"]), "texts")
@@ -158,23 +224,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     best = first_pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     links = written(_confirmed(best, texts, shingle, percent), "links")
     labels = components(links)
-
-    def labelled(pairs: DataFrame, labels: DataFrame, *ends: str) -> DataFrame:
-        """With the component of each end: the node itself if it has no links yet."""
-        for end in ends:
-            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-        return pairs
-
     apart = labelled(first_pairs.select("a", "b"), labels, "a", "b").where("of_a <> of_b").select("a", "b")
     links = written(links.unionByName(_confirmed(apart, texts, shingle, percent)), "links")
-    labels = components(links)
 
-    banded = written(labelled(shared.select("key", "node"), labels, "node").join(sketches, "node"), "bands")
+    clusters = written(components(first_pairs), "clusters")
+    classed = written(labelled(clusters.select("node", F.col("component").alias("cluster")), components(links), "node").withColumnRenamed("of_node", "part"), "clusters")
+    links = links.unionByName(_clusters_linked(classed, texts, shingle, percent))
+
+    banded = written(labelled(shared.select("key", "node"), clusters, "node"), "bands")
     several = banded.groupBy("key").agg(F.min("of_node").alias("low"), F.max("of_node").alias("high")).where("low < high").select((F.col("key") + F.lit(0)).alias("band"))
-    left = written(banded.join(several, F.col("key") == F.col("band"), "left_semi"), "bands")
+    left = written(banded.join(several, F.col("key") == F.col("band"), "left_semi").join(sketches, "node"), "bands")
     left, right = (left.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("of_node").alias(f"of_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     rest = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("of_a") < F.col("of_b")) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_ESTIMATE))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(_confirmed(rest, texts, shingle, percent))
     labels = components(links)
 
