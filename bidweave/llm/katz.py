@@ -145,6 +145,8 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, places) for each part that occurs."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):

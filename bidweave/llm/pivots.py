@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.llm.components import components
+from bidweave.llm.components import components, contiguous, roots
 from bidweave.session import written
 
 #: Pivots that are sampled, and nearest ones that describe a vector.
@@ -54,20 +54,6 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return first[:, 0] << 32 | first[:, 1]
 
 
-def _roots(n: int, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """The smallest of the numbers below n that each is connected to."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[rows], root[columns])
-        new = root.copy()
-        np.minimum.at(new, root[rows], least)
-        np.minimum.at(new, root[columns], least)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _judged(lists: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Lists' blocks, each contiguous: (node, linked, null) counts and (node, null, other) links."""
 
@@ -90,26 +76,15 @@ def _judged(lists: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
         # A pair counts in the first of its lists alone.
         own = np.concatenate([_first_shared(nearest[rows[k : k + 20_000]], nearest[columns[k : k + 20_000]]) for k in range(0, len(rows), 20_000)]) == key
         counts = np.bincount(rows[own], copies[columns[own]], len(nodes)) + np.bincount(columns[own], copies[rows[own]], len(nodes))
-        root = _roots(len(nodes), rows, columns)
+        root = roots(len(nodes), rows, columns)
         some, tied = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(nodes)))
         return pd.concat([pd.DataFrame({"node": nodes[some], "linked": counts[some].astype("int64")}), pd.DataFrame({"node": nodes[tied], "other": nodes[root[tied]]})])
 
-    def told(found: list[pd.DataFrame | None]) -> Iterator[pa.RecordBatch]:
-        if some := [f for f in found if f is not None]:
-            out = pd.concat(some).reindex(columns=["node", "linked", "other"])
+    for block in contiguous(lists, ["key", "i", "j"]):
+        if (found := of_block(block)) is not None:
+            out = found.reindex(columns=["node", "linked", "other"])
             yield pa.RecordBatch.from_pandas(out, pa.schema([("node", pa.int64()), ("linked", pa.int64()), ("other", pa.int64())]), preserve_index=False)
 
-    held: pa.Table | None = None
-    for batch in lists:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        marks = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
-        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist()]
-        yield from told([of_block(held.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)])
-        held = held.slice(cuts[-1])
-    if held is not None and len(held):
-        yield from told([of_block(held)])
-
 
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int = PIVOTS, nearest: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors.
