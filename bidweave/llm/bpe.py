@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidweave.llm.memory import Memory, held
+
 #: Words, and stretches of text, that a Python worker keeps; what it forgets it encodes anew, which changes no result.
-KEPT = 300_000
-#: Characters of text that are encoded at a time.
-BLOCK = 8_000_000
+KEPT = 250_000
+#: Characters of text that are worked on at a time.
+BLOCK = 4_000_000
 #: Latin letters and ASCII marks after them, but the apostrophe: two words, or one, by any such tokenizer's pattern.
 LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
@@ -78,7 +80,7 @@ class MergeReplay:
         there = np.flatnonzero(merges >= 0)
         there = there[np.argsort(merges[there], kind="stable")]
         cuts = np.flatnonzero(np.diff(merges[there], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(there)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(there)][: len(cuts)], strict=True):
             index[merges[there[a]]] = there[a:b].tolist()
         odd: list[np.ndarray] = []
         for r in range(self.size):
@@ -125,26 +127,6 @@ class MergeReplay:
         return out
 
 
-class Memory(dict):
-    """A dictionary that, when it has grown past a limit, keeps what has been asked for again since the last time."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.again = most, set()
-
-    def missing(self, keys: set) -> set:
-        """Those of the keys that it lacks. Called before a block's entries are added."""
-        new = keys - self.keys()
-        self.again |= keys - new
-        if len(self) > self.most:
-            kept = {k: self[k] for k in self.again}
-            self.clear()
-            # Should nearly all be asked for again, it starts anew.
-            self.update(kept if len(kept) < self.most else {k: kept[k] for k in keys - new})
-            self.again = set()
-        return new
-
-
 class Encoder:
     """Encodes texts, with a memory of words and of the stretches between single spaces.
 
@@ -197,12 +179,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
-
-
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokens(path: str) -> dict[int, bytes]:
     return {r: t for t, r in read_ranks(path).items()}
 
@@ -228,9 +205,9 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks, pattern)
+        encoder = held(("bpe", ranks, pattern), lambda: Encoder(ranks, pattern))
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
+            for at, texts in blocks(batch.column(1), 6_000_000):
                 found = encoder.encode(texts)
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype("int32")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))

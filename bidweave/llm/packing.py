@@ -13,7 +13,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidweave.llm.bpe import LETTERS, Memory, blocks
+from bidweave.llm.bpe import LETTERS, blocks
+from bidweave.llm.memory import Memory, held
 from bidweave.session import written
 
 #: Words, and stretches of text, that a Python worker keeps; what it forgets it encodes anew, which changes no result.
@@ -105,18 +105,13 @@ def parted(text: str) -> list[str]:
     return text.split(" ")
 
 
-@lru_cache(maxsize=2)
-def _tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
 def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of each document's ids and end_id, cut every `capacity` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _tokens(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = held(("words", tokenizer), lambda: WordTokens(tokenizer)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
+            for at, texts in blocks(batch.column(1), 8_000_000):
                 rows, cut = [], []
                 for k, ids in enumerate(encoder.encode(texts)):
                     ids += end

@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from bidweave.llm.memory import held
+
 #: Words whose sums a Python worker keeps; past it the memory starts anew, which changes no result.
 KEPT = 300_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -90,14 +92,9 @@ class _Memory:
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
 
 
-_MEMORIES: dict[str, _Memory] = {}
-
-
 def _memory(model: WordSums) -> _Memory:
     """This worker's memory for the model."""
-    found = _MEMORIES.get(model.name)
-    if found is None or len(found.place) > KEPT:
-        if len(_MEMORIES) > 1:
-            _MEMORIES.clear()
-        found = _MEMORIES[model.name] = _Memory(model.table.shape[1])
+    found = held(("sums", model.name), lambda: _Memory(model.table.shape[1]))
+    if len(found.place) > KEPT:
+        found.__init__(model.table.shape[1])
     return found

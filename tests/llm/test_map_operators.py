@@ -11,6 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from bidweave.llm import bpe, fingerprints, language, packing, quality
+from bidweave.llm.memory import Memory
 from tests.llm.conftest import ODD
 
 
@@ -38,7 +39,7 @@ def test_merges_follow_ranks_where_a_later_merge_makes_a_lower_rank():
 
 
 def test_memory_keeps_what_comes_again():
-    m = bpe.Memory(3)
+    m = Memory(3)
     for block in ({"a", "b"}, {"a", "c"}, {"a", "d"}, {"a", "e"}):
         for k in m.missing(block):
             m[k] = k
