@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +128,3 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str
     """One row a key with the values of its last row, by the order's columns; nulls in them are before all else."""
     rows = df if where is None else df.where(where)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last")).select(*keys, *[F.col(f"__last.{v}").alias(v) for v in values])
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
