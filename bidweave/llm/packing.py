@@ -25,8 +25,8 @@ from bidweave.llm.bpe import LETTERS, blocks
 from bidweave.llm.memory import Memory, held
 from bidweave.session import written
 
-#: Words, and stretches of text, that a Python worker keeps; what it forgets it encodes anew, which changes no result.
-KEPT = 450_000
+#: Stretches of text that a Python worker keeps; what it forgets it encodes anew, which changes no result.
+KEPT = 400_000
 #: A comma or full stop after another mark, with which it is one word to the tokenizer.
 GROUPED = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ").search
 
@@ -48,7 +48,7 @@ class WordTokens:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
-        self.words, self.known = Memory(KEPT), Memory(KEPT)
+        self.known = Memory(KEPT)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,17 +69,22 @@ class WordTokens:
         return out
 
     def learn(self, new: set[str]) -> None:
-        matched = {s: m for s in new if (m := LETTERS.fullmatch(s))}
-        cut = [(s, m[1].lower(), m[2]) for s, m in matched.items()]
-        new_words = self.words.missing({x for _, w, p in cut for x in (w, p)})
-        marks = list(new_words & {p for _, _, p in cut})
-        words = list(new_words.difference(marks))
-        self.words.update(zip(words, self.single(words), strict=True))
-        self.words.update(zip(marks, self.plain(marks), strict=True))
-        rest = list(new - matched.keys())
-        self.known.update(zip(rest, self.plain(rest), strict=True))
-        known = self.words
-        self.known.update((s, known[w] + known[p]) for s, w, p in cut)
+        """Words and marks are learnt by themselves, and words with marks after them are both together."""
+        words, cut, rest = [], [], []
+        for s in new:
+            if s.isascii() and s.isalpha():
+                words.append(s)
+            elif m := LETTERS.fullmatch(s):
+                cut.append((s, m[1], m[2])) if m[2] else words.append(s)
+            else:
+                rest.append(s)
+        known = self.known
+        parts = {x for _, w, p in cut for x in (w, p)} - known.keys() - new
+        words += [x for x in parts if x[0].isalpha()]
+        rest += [x for x in parts if not x[0].isalpha()]
+        known.update(zip(words, self.single(words), strict=True))
+        known.update(zip(rest, self.plain(rest), strict=True))
+        known.update((s, known[w] + known[p]) for s, w, p in cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [parted(t) for t in texts]
@@ -111,7 +116,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = held(("words", tokenizer), lambda: WordTokens(tokenizer)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at, texts in blocks(batch.column(1), 8_000_000):
+            for at, texts in blocks(batch.column(1)):
                 rows, cut = [], []
                 for k, ids in enumerate(encoder.encode(texts)):
                     ids += end
