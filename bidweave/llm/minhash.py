@@ -33,6 +33,8 @@ SKETCH = 8
 LEAST_ESTIMATE = 0.62
 #: Classes of a cluster that one block holds, and shingles that blocks are multiplied by at a time.
 BLOCK, COLUMNS = 512, 4096
+#: Tasks that a large cluster is dealt to.
+SALTS = 32
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -170,8 +172,9 @@ def _clusters_linked(classed: DataFrame, texts: DataFrame, n: int, percent: int)
     """
     parts = classed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
     several = parts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
-    several = several.select((F.col("cluster") + F.lit(0)).alias("of"), "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rests"))
-    rows = classed.join(several, F.col("cluster") == F.col("of"))
+    # A cluster may be large: its classes meet its figures in several tasks.
+    several = several.withColumn("part_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("part_of", F.col("cluster").alias("of"), "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rests"))
+    rows = classed.join(several, (F.col("cluster") == F.col("of")) & (F.pmod(F.xxhash64("node"), F.lit(SALTS)) == F.col("part_of")))
     in_main = F.col("part") == F.col("main")
     own = F.when(in_main, F.pmod(F.xxhash64("node"), "mains")).otherwise(-1 - F.pmod(F.xxhash64("node"), "rests")).cast("int")
     rests = F.transform(F.sequence(F.lit(1), F.col("rests")), lambda k: -k)
