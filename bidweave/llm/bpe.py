@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidweave.llm.memory import Memory, held
+from bidweave.llm.memory import Memory
 
-#: Words, and stretches of text, that a Python worker keeps; what it forgets it encodes anew, which changes no result.
+#: Words, and stretches of text, that a task keeps; what it forgets it encodes anew, which changes no result.
 KEPT = 250_000
 #: Characters of text that are worked on at a time.
 BLOCK = 4_000_000
@@ -134,8 +134,8 @@ class Encoder:
     it. So a text's ids are those of its stretches; texts with other white space beside a space are cut by the pattern.
     """
 
-    def __init__(self, path: str, pattern: str):
-        self.replay = MergeReplay(read_ranks(path))
+    def __init__(self, replay: MergeReplay, pattern: str):
+        self.replay = replay
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.words = Memory(KEPT)
         #: The stretches that begin a text, and those after a space (kept without it). None: to be cut by the pattern.
@@ -179,6 +179,11 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _replay(path: str) -> MergeReplay:
+    return MergeReplay(read_ranks(path))
+
+
 @lru_cache(maxsize=1)
 def _tokens(path: str) -> dict[int, bytes]:
     return {r: t for t, r in read_ranks(path).items()}
@@ -205,7 +210,7 @@ def encode(docs: DataFrame, *, ranks: str, pattern: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(("bpe", ranks, pattern), lambda: Encoder(ranks, pattern))
+        encoder = Encoder(_replay(ranks), pattern)
         for batch in batches:
             for at, texts in blocks(batch.column(1), 6_000_000):
                 found = encoder.encode(texts)

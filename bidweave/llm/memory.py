@@ -1,24 +1,7 @@
-"""What a Python worker remembers between the batches and tasks that it runs."""
+"""What a task remembers between the blocks of text that it works on. It ends with the task, so idle workers hold nothing."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
-from typing import Any
-
-_HELD: tuple[Hashable, Any] | None = None
-
-
-def held(key: Hashable, make: Callable[[], Any]) -> Any:
-    """make(), or what it made for this key before, if nothing else was held since.
-
-    Workers run tasks of many stages. Each holds one large memory at a time, that of the operator at work.
-    """
-    global _HELD
-    if _HELD is None or _HELD[0] != key:
-        _HELD = None
-        _HELD = (key, make())
-    return _HELD[1]
-
 
 class Memory(dict):
     """A dictionary that, when it has grown past a limit, keeps what has been asked for again since the last time."""

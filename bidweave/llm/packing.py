@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidweave.llm.bpe import LETTERS, blocks
-from bidweave.llm.memory import Memory, held
+from bidweave.llm.memory import Memory
 from bidweave.session import written
 
-#: Stretches of text that a Python worker keeps; what it forgets it encodes anew, which changes no result.
+#: Stretches of text that a task keeps; what it forgets it encodes anew, which changes no result.
 KEPT = 400_000
 #: A comma or full stop after another mark, with which it is one word to the tokenizer.
 GROUPED = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ").search
@@ -33,6 +34,18 @@ GROUPED = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ").search
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer, and which of its ids end a word."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    return tokenizer, ends
+
+
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space and ends each word's last token with </w>.
 
@@ -41,13 +54,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[ends] = True
+        self.tokenizer, self.ends = _tokenizer(path)
         self.known = Memory(KEPT)
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -114,7 +121,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, with_
     """(id, piece, start, length, ids_crc32[, ids]) of each document's ids and end_id, cut every `capacity` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = held(("words", tokenizer), lambda: WordTokens(tokenizer)), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordTokens(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at, texts in blocks(batch.column(1)):
                 rows, cut = [], []

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
 
-from bidweave.llm.memory import held
-
-#: Words whose sums a Python worker keeps; past it the memory starts anew, which changes no result.
+#: Words whose sums a task keeps; past it the memory starts anew, which changes no result.
 KEPT = 300_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -55,11 +52,17 @@ class WordSums:
 
     def __init__(self, table: np.ndarray, sizes: tuple[int, ...], whole: bool, lower: bool):
         self.table, self.sizes, self.whole, self.lower = table, sizes, whole, lower
-        self.name = hashlib.sha256(table.tobytes() + repr((table.shape, sizes, whole, lower)).encode()).hexdigest()
+        self.memory = _Memory(table.shape[1])
+
+    def __getstate__(self) -> dict:
+        """Tasks start with nothing remembered."""
+        return {**self.__dict__, "memory": _Memory(self.table.shape[1])}
 
     def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the mean row over its features (zeros if it has none), and the number of features."""
-        memory = _memory(self)
+        if len(self.memory.place) > KEPT:
+            self.memory = _Memory(self.table.shape[1])
+        memory = self.memory
         split = [(t.lower() if self.lower else t).split() for t in texts]
         memory.learn(self, set().union(*split) - memory.place.keys() if split else set())
         place = memory.place.__getitem__
@@ -90,11 +93,3 @@ class _Memory:
         self.sums = [np.concatenate([s, np.bincount(owners, weights=model.table[ids, c], minlength=len(words))]) for c, s in enumerate(self.sums)]
         self.counts = np.concatenate([self.counts, np.bincount(owners, minlength=len(words))])
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-
-
-def _memory(model: WordSums) -> _Memory:
-    """This worker's memory for the model."""
-    found = held(("sums", model.name), lambda: _Memory(model.table.shape[1]))
-    if len(found.place) > KEPT:
-        found.__init__(model.table.shape[1])
-    return found
