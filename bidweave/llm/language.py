@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
+            for at, texts in blocks(batch.column(1), 1_000_000):
                 langs, scores = model.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
 
@@ -165,7 +165,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in blocks(batch.column(place)):
+            for at, texts in blocks(batch.column(place), 1_000_000):
                 langs, scores = model.predict(texts)
                 yield batch.slice(at, len(texts)).filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 

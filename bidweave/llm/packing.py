@@ -13,7 +13,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,6 @@ GROUPED = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ").search
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-@lru_cache(maxsize=1)
 def _tokenizer(path: str) -> tuple:
     """The tokenizer, and which of its ids end a word."""
     from tokenizers import Tokenizer

@@ -93,7 +93,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int = PI
     vectors always are. n_links counts the other rows linked directly, component_id is the smallest id that links lead to,
     and kept marks the row whose id that is. Vectors that are null, zero, of another size than most, or hold null or
     non-finite components link with nothing. Ids are unique 64-bit integers; repeated rows count as copies of each other.
-    An empty table gives no rows; other columns are left out. What reaches the driver is `pivots` vectors.
+    An empty table gives no rows; other columns are left out. What reaches the driver is `pivots` vectors. A list has about
+    a vector in pivots ** 2 / nearest ** 2, so pivots should grow with the square root of the number of vectors.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))

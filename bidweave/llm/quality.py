@@ -92,7 +92,7 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
+            for at, texts in blocks(batch.column(1), 1_000_000):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(model.scores(texts))], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())]))
@@ -104,7 +104,7 @@ def keep_good(docs: DataFrame, model: QualityModel, *, least: float = 0.5, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in blocks(batch.column(place)):
+            for at, texts in blocks(batch.column(place), 1_000_000):
                 yield batch.slice(at, len(texts)).filter(pa.array(model.scores(texts) >= least))
 
     return docs.mapInArrow(run, docs.schema)
