@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.functions import columns as c
 from bidweave.operators import decide, graph, ingest, quality, reports, state, text, windows
-from bidweave.plans.bindings import POLICY, as_of, bound
+from bidweave.plans.bindings import AS_OF, POLICY, as_of, bound
 from bidweave.schema import KEYS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -398,3 +399,46 @@ def search_neighbourhood(spark, d):
 def graph_payload(spark, d):
     nodes, links = network(spark, d)
     return graph.payload(nodes.select("node_id", "node_type", "label", "value", "weighted_degree", "community"), links.select("source", "target", "edge_value", "layout_weight"), graph.summary(nodes, links))
+
+
+@query
+def keyword_nearest(spark, d):
+    return text.keyword_similarity(keywords(spark, d), k=3).select("source", "target", *r6("similarity"))
+
+
+@query
+def graph_components(spark, d):
+    links = edges(spark, d).select("source", "target", "layout_weight")
+    nodes = graph.both_ways(links).select("node_id").distinct()
+    return graph.connected_components(nodes, links)
+
+
+def _next_state(spark, d, table: str) -> DataFrame:
+    run = datetime.fromisoformat(AS_OF)
+    gate = quality.run_gate(performance(spark, d), POLICY)
+    return state.new_state(finalised(spark, d), state.setting_events(entities(spark, d)), gate, POLICY, run="run_1", hash_of_input="0" * 64, as_of=run)[table]
+
+
+@query
+def next_plans(spark, d):
+    return _next_state(spark, d, "planned_settings").select(*KEYS, "planned_cpc", "planned_status", "source", "run_id")
+
+
+@query
+def metric_append(spark, d):
+    return _next_state(spark, d, "metric_history").select(*KEYS, "clicks", "cost", "sales_attr", "orders_attr", *r6("cvr_attr", "roas_attr_pct", "registered_cpc"), F.col("period_start").cast("string").alias("period_start"))
+
+
+@query
+def action_append(spark, d):
+    return _next_state(spark, d, "action_history").select(*KEYS, *r6("previous_cpc"), "recommended_cpc", "final_cpc", "action", "decision_status", "operator_action", "outcome_status", F.col("outcome_due_date").cast("string").alias("outcome_due_date"))
+
+
+@query
+def next_overrides(spark, d):
+    return _next_state(spark, d, "manual_overrides").select(*KEYS, "override_mode", "override_cpc", "active", "created_run_id")
+
+
+@query
+def run_append(spark, d):
+    return _next_state(spark, d, "run_history").select("run_id", "input_hash", "quality_status", "item_rows", "keyword_rows", "duplicate_input")
