@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
 
     clusters = written(components(first_pairs), "clusters")
     classed = written(labelled(clusters.select("node", F.col("component").alias("cluster")), components(links), "node").withColumnRenamed("of_node", "part"), "clusters")
-    links = links.unionByName(_clusters_linked(classed, texts, shingle, percent))
+    links = links.unionByName(written(_clusters_linked(classed, texts, shingle, percent), "links"))
 
     banded = written(labelled(shared.select("key", "node"), clusters, "node"), "bands")
     several = banded.groupBy("key").agg(F.min("of_node").alias("low"), F.max("of_node").alias("high")).where("low < high").select((F.col("key") + F.lit(0)).alias("band"))
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     left, right = (left.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("of_node").alias(f"of_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     rest = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("of_a") < F.col("of_b")) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_ESTIMATE))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_confirmed(rest, texts, shingle, percent))
+    links = links.unionByName(written(_confirmed(rest, texts, shingle, percent), "links"))
     labels = components(links)
 
     of_class = labelled(classes.select("digest", "node"), labels, "node").select(F.concat("digest", F.lit(b"")).alias("class"), "of_node")

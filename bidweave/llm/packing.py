@@ -26,7 +26,7 @@ from bidweave.llm.memory import Memory
 from bidweave.session import written
 
 #: Stretches of text that a task keeps; what it forgets it encodes anew, which changes no result.
-KEPT = 400_000
+KEPT = 300_000
 #: A comma or full stop after another mark, with which it is one word to the tokenizer.
 GROUPED = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ ][.,] ").search
 
@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordTokens(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at, texts in blocks(batch.column(1)):
+            for at, texts in blocks(batch.column(1), 2_000_000):
                 rows, cut = [], []
                 for k, ids in enumerate(encoder.encode(texts)):
                     ids += end
