@@ -52,9 +52,8 @@ def spearman(rows: DataFrame, metrics: list[str]) -> DataFrame:
         return F.rank().over(Window.partitionBy("left", "right").orderBy(c)) + (F.count("*").over(Window.partitionBy("left", "right", c)) - 1) / 2
 
     ranked = long.withColumns({"rx": rank("x"), "ry": rank("y")})
-    rho = F.corr("rx", "ry")
-    out = ranked.groupBy("left", "right").agg(rho.alias("rho"))
-    return out.select("left", "right", F.when(F.isnan("rho"), 0.0).otherwise(F.coalesce("rho", F.lit(0.0))).alias("rho"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.sqrt(F.var_pop("rx") * F.var_pop("ry")))
+    return ranked.groupBy("left", "right").agg(F.coalesce(rho, F.lit(0.0)).alias("rho"))
 
 
 def top_products(items: DataFrame, n: int = 10) -> DataFrame:

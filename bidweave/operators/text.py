@@ -19,9 +19,14 @@ STOP_TERMS = (
 GRAMS = (2, 3, 4)
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(c: Column) -> Column:
+    """Compatibility characters in their plain forms; Spark has no function for it."""
+
+    @F.pandas_udf("string")
+    def normalised(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return normalised(c)
 
 
 def phrase(c: Column, *, compatible: bool = True) -> Column:

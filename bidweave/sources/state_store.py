@@ -9,7 +9,6 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from bidweave.schema import STATE_TABLES, Policy
 
@@ -25,12 +24,10 @@ class StateStore:
 
     def version(self, name: str) -> int:
         """The table's last version; 0 if it has none."""
-        try:
-            return self.spark.read.schema("version int").parquet(f"{self.path}/{name}").agg(F.max("version")).first()[0] or 0
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+        return max((int(n.removeprefix("version=")) for n in found if n.startswith("version=")), default=0)
 
     def read(self, name: str) -> DataFrame:
         """The table's rows with ord, their order of arrival; empty if there are none yet."""

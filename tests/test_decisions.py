@@ -14,7 +14,10 @@ BASE = {
     "state_applied_cpc": None, "state_effective_at": None, "prev_clicks": None, "prev_cvr_attr": None, "prev_roas_attr_pct": None, "prev_actual_cpc": None,
 }
 TYPES = {"launch_date": "date", "period_start_shortwin": "date", "period_end_shortwin": "date", "executed_at_shortwin": "timestamp", "state_effective_at": "timestamp"}
-AS_OF = F.lit("2026-07-15 00:00:00").cast("timestamp")
+
+
+def as_of():
+    return F.lit("2026-07-15 00:00:00").cast("timestamp")
 
 
 def table(spark, *rows):
@@ -25,7 +28,7 @@ def table(spark, *rows):
 
 
 def one(spark, policy=Policy(), **overrides):
-    return decide.decisions(table(spark, overrides), policy, AS_OF).first()
+    return decide.decisions(table(spark, overrides), policy, as_of()).first()
 
 
 ZERO = {"clicks": 0.0, "cost": 0.0, "sales_attr": 0.0, "orders_attr": 0.0, "cvr_attr": 0.0}
@@ -85,7 +88,7 @@ def test_assumed_margins_are_not_approved_by_themselves(spark):
 def test_parents_stop_and_cap_their_keywords(spark):
     def pair(parent, child):
         rows = table(spark, parent, {"entity_type": "KEYWORD", "keyword": "k", "entity_key": "rakuten|KEYWORD|P1|k", **child})
-        out = decide.with_hierarchy(decide.decisions(rows, Policy(), AS_OF)).where("entity_type = 'KEYWORD'").first()
+        out = decide.with_hierarchy(decide.decisions(rows, Policy(), as_of())).where("entity_type = 'KEYWORD'").first()
         return out["action"], out["decision_status"], out["recommended_cpc"], out["operator_cpc"], out["delta_cpc"]
 
     assert pair(NO_ORDERS, RICH) == ("STOP_OR_MIN_CPC", "PARENT_STOP_AUTO_READY", 24, 24, -6.0)
@@ -95,7 +98,7 @@ def test_parents_stop_and_cap_their_keywords(spark):
 
 
 def test_answers_are_final(spark):
-    rows = decide.decisions(table(spark, {"registered_cpc": 80.0}, {"setting_row_exists": False, "registered_cpc": 80.0}), Policy(), AS_OF)
+    rows = decide.decisions(table(spark, {"registered_cpc": 80.0}, {"setting_row_exists": False, "registered_cpc": 80.0}), Policy(), as_of())
 
     def final(action, cpc=None, **kw):
         changed = rows.withColumns({"operator_action": F.lit(action), "operator_cpc": F.lit(cpc).cast("long") if cpc is not None or kw.pop("none", False) else F.col("operator_cpc")})
@@ -111,7 +114,7 @@ def test_answers_are_final(spark):
 
 
 def test_duplicates_are_held(spark):
-    r = decide.hold_duplicates(decide.decisions(table(spark, NO_ORDERS), Policy(), AS_OF), True).first()
+    r = decide.hold_duplicates(decide.decisions(table(spark, NO_ORDERS), Policy(), as_of()), True).first()
     assert (r["operator_action"], r["decision_status"], r["auto_approved_default"]) == ("PENDING", "STOP_AUTO_READY_DUPLICATE_INPUT", False)
 
 

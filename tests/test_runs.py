@@ -37,7 +37,7 @@ def test_report_layouts(spark, inputs):
     root, write = inputs
     write("reports/k.csv", REPORT, "cp932")
     (root / "reports/bad.csv").write_bytes(b"\x81\xff\xfe\x00")
-    (root / "reports/empty.csv").write_bytes(b"")
+    (root / "reports/empty.csv").write_bytes(b"\r\n")
     rows = {r["entity_type"]: r for r in files.read_performance(spark, f"{root}/reports").collect()}
     k = rows["KEYWORD"]
     assert (k["keyword"], k["impressions"], k["cost"], k["sales_short"], k["sales_attr"], k["ctr_pct"]) == ("布団 収納", 1234.0, 3000.0, None, 20000.0, 12.5)
