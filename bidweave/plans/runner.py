@@ -67,8 +67,9 @@ def answered(run: Run, answers: DataFrame | None = None) -> DataFrame:
 
 def carry(run: Run, final: DataFrame, store: StateStore, policy: Policy) -> None:
     """Writes the next state: new rows of each table, and plans and actions with what has become of them."""
-    new = state.new_state(final, run.events, run.gate, policy, run=run.run_id, hash_of_input=run.input_hash, as_of=run.as_of, duplicate=run.duplicate)
-    changed = {"planned_settings": state.update_plans(store.read("planned_settings"), run.events), "action_history": state.update_actions(store.read("action_history"), run.events)}
+    events = run.events.persist()
+    new = state.new_state(final, events, run.gate, policy, run=run.run_id, hash_of_input=run.input_hash, as_of=run.as_of, duplicate=run.duplicate)
+    changed = {"planned_settings": state.update_plans(store.read("planned_settings"), events), "action_history": state.update_actions(store.read("action_history"), events)}
     # All is read before anything is written.
     ready = {name: rows.persist() for name, rows in new.items()}
     for rows in ready.values():

@@ -53,48 +53,30 @@ def test_kinds():
     assert files.kind_of(["override_mode", "product_id", "active"]) == "manual_overrides" and files.kind_of(["x"]) == "generic_csv"
 
 
-def _run(spark, root, store, as_of, answers=None):
-    run = runner.build(files.read_performance(spark, f"{root}/reports"), files.read_settings(spark, f"{root}/settings"), files.read_master(spark, f"{root}/master"), store, Policy(), as_of)
-    final = runner.answered(run, answers and answers(run)).persist()
-    runner.carry(run, final, store, Policy())
-    return run, final
-
-
-def test_runs_follow_each_other(spark, inputs):
-    root, write = inputs
-    store = StateStore(spark, f"{root}/state")
-    modify = lambda run: run.decisions.select("decision_id", F.lit("MODIFY").alias("operator_action"), F.lit(40).alias("operator_cpc"), F.lit("test").alias("operator_reason"))
-    run, final = _run(spark, root, store, datetime(2026, 7, 1), modify)
-    assert run.events.first()["event_type"] == "INITIAL_BASELINE"
-    assert final.first()["upload_eligible"] and final.first()["final_cpc"] == 40
-    assert store.read("planned_settings").first()["planned_status"] == "PENDING" and store.read("applied_settings").first()["applied_cpc"] == 30.0
-
-    # The same files later: the plan is not applied, and the input is a duplicate.
-    run, final = _run(spark, root, store, datetime(2026, 7, 4))
-    assert run.duplicate and run.events.first()["event_type"] == "PLAN_NOT_APPLIED" and final.first()["current_bid"] == 30.0
-    assert store.read("planned_settings").first()["planned_status"] == "NOT_APPLIED"
-
-    # Another plan, which the settings then show.
-    _run(spark, root, store, datetime(2026, 7, 5), modify)
-    write("settings/s.csv", SETTING.format(40), "cp932")
-    run, final = _run(spark, root, store, datetime(2026, 7, 8))
-    assert run.events.first()["event_type"] == "PLAN_CONFIRMED" and final.first()["decision_status"] == "OBSERVE_AFTER_CHANGE" and final.first()["current_bid"] == 40.0
-    assert {r["planned_status"] for r in store.read("planned_settings").collect()} == {"NOT_APPLIED", "CONFIRMED"}
-    assert "PENDING" in {r["outcome_status"] for r in store.read("action_history").where("applied_at IS NOT NULL").collect()}
-
-    # An edit that nobody planned.
-    write("settings/s.csv", SETTING.format(35), "cp932")
-    run, final = _run(spark, root, store, datetime(2026, 7, 20))
-    assert run.events.first()["event_type"] == "EXTERNAL_MANUAL_CHANGE" and final.first()["decision_status"] == "OBSERVE_AFTER_CHANGE" and final.first()["current_bid"] == 35.0
-    assert store.read("run_history").count() == 5 and store.read("metric_history").count() == 5
-
-    raw = to_zip(store, Policy(target_roas_pct=300.0), {"last_run_id": run.run_id})
-    other = StateStore(spark, f"{root}/other")
-    policy, manifest = from_zip(other, raw)
-    assert policy.target_roas_pct == 300.0 and manifest == {"last_run_id": run.run_id}
-    for name in STATE_TABLES:
-        a, b = (sorted(map(str, s.read(name).drop("ord").collect())) for s in (store, other))
-        assert a == b, name
+def test_reconciliation(spark):
+    rows = [("confirmed", 40.0, 30.0, 40.0, datetime(2026, 7, 5)), ("initial", 30.0, None, None, None), ("edited", 35.0, 30.0, None, None), ("late", 30.0, 30.0, 40.0, datetime(2026, 7, 1)), ("early", 30.0, 30.0, 40.0, datetime(2026, 7, 7, 12)), ("gone", None, 30.0, 40.0, None)]
+    table = spark.createDataFrame([("rakuten", "ITEM", *r, "run_0", datetime(2026, 6, 1), "x") for r in rows], "platform string, entity_type string, product_id string, registered_cpc double, state_applied_cpc double, planned_cpc double, planned_at timestamp, planned_run_id string, state_effective_at timestamp, state_source string").withColumn("keyword", F.lit(""))
+    found = state.reconcile(table, F.lit("2026-07-08").cast("timestamp"))
+    got = {r["product_id"]: (r["event_type"], r["state_applied_cpc"]) for r in found.collect()}
+    assert got == {"confirmed": ("PLAN_CONFIRMED", 40.0), "initial": ("INITIAL_BASELINE", 30.0), "edited": ("EXTERNAL_MANUAL_CHANGE", 35.0), "late": ("PLAN_NOT_APPLIED", 30.0), "early": (None, 30.0), "gone": (None, 30.0)}
+    plans = table.select(*KEYS, "planned_cpc", F.lit("PENDING").alias("planned_status"), "planned_at", F.lit("x").alias("source"), F.lit("run_0").alias("run_id"))
+    after = {r["product_id"]: r["planned_status"] for r in state.update_plans(plans, state.setting_events(found)).collect()}
+    assert after == {"confirmed": "CONFIRMED", "initial": "PENDING", "edited": "SUPERSEDED", "late": "NOT_APPLIED", "early": "PENDING", "gone": "PENDING"}
+
+
+def test_the_store_keeps_versions_and_goes_through_a_zip(spark, tmp_path):
+    store, schema = StateStore(spark, f"{tmp_path}/state"), STATE_TABLES["applied_settings"]
+    rows = spark.createDataFrame([("rakuten", "ITEM", "P1", "", 35.0, "ACTIVE", datetime(2026, 7, 1), "BASE", "run_1")], schema)
+    assert store.read("applied_settings").count() == 0
+    store.append("applied_settings", rows)
+    store.append("applied_settings", rows)
+    assert sorted(r["ord"] for r in store.read("applied_settings").collect()) == [1, 2]
+    store.replace("applied_settings", rows)
+    assert store.version("applied_settings") == 2 and store.read("applied_settings").first()["applied_cpc"] == 35.0
+    other = StateStore(spark, f"{tmp_path}/other")
+    policy, manifest = from_zip(other, to_zip(store, Policy(target_roas_pct=300.0), {"last_run_id": "run_1"}))
+    assert policy.target_roas_pct == 300.0 and manifest == {"last_run_id": "run_1"}
+    assert other.read("applied_settings").drop("ord").collect() == store.read("applied_settings").drop("ord").collect()
 
 
 def test_latest_rows_and_null_dates(spark):
