@@ -87,7 +87,7 @@ def test_metrics_of_a_small_graph(spark):
 
 
 def test_payload_summary_and_neighbourhood(decided):
-    edges = graph.bipartite_edges(decided).persist()
+    edges = graph.bipartite_edges(decided, relevance=False).persist()
     nodes = graph.product_nodes(edges, decided).unionByName(graph.keyword_nodes(edges), allowMissingColumns=True)
     nodes = nodes.join(graph.graph_metrics(nodes, edges), "node_id").join(graph.weighted_degree(edges), "node_id").persist()
     total = graph.summary(nodes, edges)
