@@ -1,6 +1,7 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Pivots are a bounded sample of the vectors. A vector is described by its nearest pivots in order, and stands in one inverted
+Pivots are vectors of a bounded sample that lie apart from each other, so a dense group has few of them and its members
+have their nearest pivots in common, however many they are. A vector is described by its nearest pivots in order, and stands in one inverted
 list for every two of them, so the vectors that meet in a list are those with two shared pivots at least. Long lists are
 dealt out in blocks. Within a list, shared-pivot counts say which of the two vectors' common lists answers for them, and the
 cosine in double precision decides. What leaves a list is a count a vector and links enough to connect what is linked.
@@ -23,6 +24,8 @@ from bidweave.session import written
 
 #: Pivots that are sampled, and nearest ones that describe a vector.
 PIVOTS, NEAREST = 256, 5
+#: Distinct vectors that are drawn for every pivot that is chosen.
+DRAWN = 16
 #: Vectors of a list that one block holds.
 BLOCK = 512
 
@@ -41,13 +44,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _spread(drawn: np.ndarray, most: int, threshold: float) -> np.ndarray:
+    """At most so many of the drawn unit vectors, each at least twice the threshold's angle from those before it.
+
+    If there are too few of them, others follow that are at least the threshold's angle apart. Linked vectors are then never
+    divided by many pivots of their own group.
+    """
+    chosen: list[int] = []
+    for cosine in (2 * threshold**2 - 1 if threshold > 0 else threshold, threshold):
+        free = (drawn @ drawn[chosen].T < cosine).all(axis=1)
+        while len(chosen) < most and free.any():
+            chosen.append(int(free.argmax()))
+            free &= drawn @ drawn[chosen[-1]] < cosine
+            free[chosen[-1]] = False
+    return drawn[chosen]
+
+
 def _pairs(nearest: np.ndarray) -> np.ndarray:
     """The list of every two of a row's ascending pivots, as one number each."""
     return np.stack([nearest[:, i].astype(np.int64) << 32 | nearest[:, j] for i, j in combinations(range(nearest.shape[1]), 2)], axis=1)
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of ascending pivots: the list of the two smallest that both have, which exist."""
+    """For rows of ascending pivots: the list of the two smallest that both have, which exist. With one pivot there is one list."""
+    if a.shape[1] < 2:
+        return np.zeros(len(a), np.int64)
     shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
     order = np.argsort(~shared, axis=1, kind="stable")[:, :2]
     first = np.take_along_axis(a, order, axis=1).astype(np.int64)
@@ -93,16 +114,18 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int = PI
     vectors always are. n_links counts the other rows linked directly, component_id is the smallest id that links lead to,
     and kept marks the row whose id that is. Vectors that are null, zero, of another size than most, or hold null or
     non-finite components link with nothing. Ids are unique 64-bit integers; repeated rows count as copies of each other.
-    An empty table gives no rows; other columns are left out. What reaches the driver is `pivots` vectors. A list has about
-    a vector in pivots ** 2 / nearest ** 2, so pivots should grow with the square root of the number of vectors.
+    An empty table gives no rows; other columns are left out. What reaches the driver is DRAWN * pivots vectors. Outside
+    dense groups a list has about a vector in pivots ** 2 / nearest ** 2, so pivots should grow with the square root of the
+    number of vectors. A dense group shares its lists, so all its pairs are compared, as n_links counts them.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
     size = sizes[0]["size"] if sizes else 1
     fine = (F.size("vector") == size) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    sample = rows.where(fine).select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(pivots).collect()
-    points = _unit(np.array([r["vector"] for r in sample])) if sample else np.zeros((0, size))
+    sample = rows.where(fine).select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(DRAWN * pivots).toArrow()
+    drawn = np.array(sample.column("vector").combine_chunks().flatten()).reshape(-1, size)
+    points = _spread(_unit(drawn), pivots, threshold) if len(drawn) else drawn
     k = min(nearest, len(points))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,6 +132,33 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert pivots.near_vectors(table.limit(0)).count() == 0
 
 
+def test_pivot_links_inside_a_large_group(spark):
+    rng = np.random.default_rng(11)
+
+    def group(n, cosine):
+        x = rng.normal(size=(n + 1, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return np.sqrt(cosine) * x[0] + np.sqrt(1 - cosine) * x[1:]
+
+    def recall(parts, **options):
+        x = np.concatenate(parts).astype(np.float32)
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order = rng.permutation(len(x))
+        x, of = x[order], of[order]
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        found = {r["vec_id"]: r["n_links"] for r in pivots.near_vectors(table, **options).collect()}
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        truth = (u @ u.T >= 0.9).sum(axis=1) - 1
+        assert all(found[i] <= truth[i] for i in range(len(x)))
+        return [sum(found[i] for i in np.flatnonzero(of == g)) / max(1, truth[of == g].sum()) for g in range(len(parts))]
+
+    alone = rng.normal(size=(1980, 64))
+    for cosine in (0.95, 0.88):
+        assert min(recall([alone, group(1000, cosine), group(20, 0.95)])[1:]) >= 0.95
+    # Nothing but one group: one pivot, and all pairs meet.
+    assert recall([group(300, 0.97)]) == [1.0]
+
+
 def _katz(docs, train):
     """Scores by definition, and the probability function."""
     tokens = {i: [*_words(t), "</s>"] for i, t in docs}
