@@ -14,14 +14,27 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+IPV4 = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
+#: The start of a phone number with a + up to its last digit, of 8 to 15.
+COUNTED = r"(?<=\+" + r"[ .()-]{0,3}\d" * 8 + r"(?:[ .()-]{0,3}\d)?" * 7
+#: What begins at a group of digits and is no part of a phone number before it. Cards are the last of a row of groups of four.
+BEHIND = "|".join([
+    EMAIL, IPV4, r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
+    r"(?<![\w./-])(?:(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?!\d|-)|(?:0?[1-9]|[12]\d|3[01])\.(?:0?[1-9]|1[0-2])\.(?:19|20)\d{2}(?!\w)|\d{1,2}/\d{1,2}/(?:19|20)\d{2}(?![\w/]))",
+    r"(?<![\w-])(?:\d{4}(?: \d{4}){3}(?:(?: \d{4}){4}){0,3}(?!\w| \d{4}(?![\w.-]))|\d{4}(?:-\d{4}){3}(?![\w-])|\d{4}[ -]\d{6}[ -]\d{5}(?!\w))",
+])
+NANP = r"\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
 #: The formats, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "ipv4": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)",
+    "email": EMAIL,
+    "ipv4": IPV4,
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?!\d|-)|\d{1,2}\.\d{1,2}\.\d{4}(?!\w)|\d{1,2}/\d{1,2}/\d{4}(?![\w/]))",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+    rf"|\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?(?!{BEHIND})\d{{1,5}}(?:[ .-]?(?!{BEHIND}|{COUNTED} ){NANP})\d{{2,5}}){{1,4}}{COUNTED})"
+    r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
     "card": r"(?<![\w])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
@@ -218,7 +231,8 @@ MAKERS = {"email": _email, "ipv4": _ipv4, "iban": _iban, "ssn": _ssn, "date": _d
 
 def _replaced(m: Column, key: str) -> Column:
     """struct<kind, value> for a candidate; kind is null and the value as found if it isn't valid."""
-    kind = F.when(m.contains("@"), F.lit("email"))
+    # An e-mail address or a phone number alone can start with a +. What stood behind the number doesn't count here.
+    kind = F.when(m.contains("@"), F.lit("email")).when(F.startswith(m, F.lit("+")), F.lit("phone"))
     for k in KINDS[1:]:
         kind = kind.when(m.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k))
 

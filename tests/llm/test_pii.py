@@ -56,6 +56,27 @@ def test_card_and_phone_against_brute_force(spark):
     assert out[4] == "17435553824"
 
 
+def test_two_kinds_with_only_a_space_between(spark):
+    values = [
+        ("email", "12.bob@mail.example.com"), ("ipv4", "190.137.223.204"), ("iban", "DE89370400440532013000"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "219-09-9999"),
+        ("date", "2020-01-05"), ("date", "17.05.1990"), ("date", "05/17/1990"), ("card", "4785 3805 9239 1139"), ("card", "4785-3805-9239-1139"), ("card", "4785380592391139"),
+        *[("phone", p) for p in ("+1 (826) 555-4081", "+1 826 555 4081", "+44 20 7946 0958", "+33 1 23 45 67 89", "+442079460958", "+49 (30) 1234 5678", "(743) 555-3824", "743-555-3824")],
+    ]
+    texts = [f"{a} {b}" for _, a in values for _, b in values]
+    alone = _run(spark, [v for _, v in values])
+    assert all(new != old for new, (_, old) in zip(alone, values))
+    out = _run(spark, texts)
+    assert [(t, o) for t, o, w in zip(texts, out, [f"{a} {b}" for a in alone for b in alone]) if o != w] == []
+
+
+def test_phone_is_bounded_by_its_digits(spark):
+    out = _run(spark, ["+1 (826) 555-4081 12345", "+44 20 7946 0958 12345", "+44 20 7946 0958 743-555-3824 and 2020-01-05", "+1 190.137.223.204", "+44 743-555-3824", "+44 20 7946 0958 4785 3805 9239 1139 2020-01-05"])
+    assert out[0].endswith(" 12345") and not out[0].startswith("+1 (826) 555-4081") and out[1].endswith(" 12345") and not out[1].startswith("+44 20 7946 0958")
+    assert not re.search("0958|743|3824|2020-01-05", out[2]) and out[3].startswith("+1 ") and "190.137" not in out[3]
+    assert out[4].startswith("+44 ") and "743-555" not in out[4]
+    assert not re.search("7946 0958|4785 3805|2020-01-05", out[5])
+
+
 def test_formats_are_kept_and_values_linked(spark):
     texts = [
         "mail that.92@mail2.example.com and THAT.92@mail2.example.com", "at 10.20.30.40, or 10.20.30.40", "DE89370400440532013000 and DE89 3704 0044 0532 0130 00", "born 1990-05-17 or 17.05.1990 or 05/17/1990 or 5/17/1990", "ssn 219-09-9999",
