@@ -85,18 +85,18 @@ def short_label(c: Column, limit: int) -> Column:
 
 #: The words in an action and its status that put it into a class, the first class that has one winning.
 ACTION_WORDS = {
-    "STOP": "STOP PAUSE MIN_BID FORCE_STOP OUT_OF_STOCK TERMINATED",
-    "SCALE_UP": "SCALE_UP INCREASE RAISE UP_BID",
-    "SCALE_DOWN": "SCALE_DOWN DECREASE LOWER DOWN_BID",
-    "KEEP": "KEEP HOLD UNCHANGED",
-    "OBSERVE": "OBSERVE EXPLORE INSUFFICIENT REVIEW PENDING UNKNOWN",
+    "STOP": ["STOP", "PAUSE", "MIN_BID", "FORCE_STOP", "OUT_OF_STOCK", "TERMINATED"],
+    "SCALE_UP": ["SCALE_UP", "INCREASE", "RAISE", "UP_BID"],
+    "SCALE_DOWN": ["SCALE_DOWN", "DECREASE", "LOWER", "DOWN_BID"],
+    "KEEP": ["KEEP", "HOLD", "UNCHANGED"],
+    "OBSERVE": ["OBSERVE", "EXPLORE", "INSUFFICIENT", "REVIEW", "PENDING", "UNKNOWN"],
 }
 
 
 def action_class(action: Column, status: Column) -> Column:
     """The class of an action and its status; NEUTRAL if they have none of the words."""
     text = F.upper(F.concat_ws(" ", F.coalesce(action, F.lit("")), F.coalesce(status, F.lit(""))))
-    return F.coalesce(*[F.when(text.rlike("|".join(words.split())), F.lit(name)) for name, words in ACTION_WORDS.items()], F.lit("NEUTRAL"))
+    return F.coalesce(*[F.when(text.rlike("|".join(words)), F.lit(name)) for name, words in ACTION_WORDS.items()], F.lit("NEUTRAL"))
 
 
 def log_weight(value: Column, largest: Column, base: float = 0.25, span: float = 2.75) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,26 @@ GROUP = ["platform", "entity_type", "category", "product_group"]
 
 
 def group_priors(rows: DataFrame) -> DataFrame:
-    """Adds prior_cvr and prior_aov: of the category and group, else of the platform and entity type, else 0 and 3000."""
+    """Adds prior_cvr and prior_aov: of the category and group, else of the platform and entity type, else 0 and 3000.
+
+    Sums are made a group, in part before the shuffle, and joined back, so a large group isn't brought into one task.
+    """
+    sums = ["clicks", "orders_attr", "sales_attr"]
+    groups = rows.groupBy(*GROUP).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"__{c}") for c in sums])
+    market = groups.groupBy(*GROUP[:2]).agg(*[F.sum(f"__{c}").alias(f"__all_{c}") for c in sums])
+
+    def rates(df: DataFrame, prefix: str, cvr: str, aov: str, keys: list[str]) -> DataFrame:
+        clicks, orders, sales = (F.col(f"{prefix}{c}") for c in sums)
+        return df.select(*[F.col(k).alias(f"{cvr}_{k}") for k in keys], F.when(clicks > 0, orders / clicks).alias(cvr), F.when(orders > 0, sales / orders).alias(aov))
+
+    out = _joined(_joined(rows, rates(groups, "__", "__cvr", "__aov", GROUP), GROUP, "__cvr"), rates(market, "__all_", "__mcvr", "__maov", GROUP[:2]), GROUP[:2], "__mcvr")
+    return out.withColumns({"prior_cvr": F.coalesce("__cvr", "__mcvr", F.lit(0.0)), "prior_aov": F.coalesce("__aov", "__maov", F.lit(3000.0))}).drop("__cvr", "__aov", "__mcvr", "__maov")
 
-    def sums(*keys: str) -> tuple[Column, Column]:
-        over = Window.partitionBy(*keys)
-        clicks, orders, sales = (F.coalesce(F.sum(c).over(over), F.lit(0.0)) for c in ("clicks", "orders_attr", "sales_attr"))
-        return F.when(clicks > 0, orders / clicks), F.when(orders > 0, sales / orders)
 
-    (cvr, aov), (market_cvr, market_aov) = sums(*GROUP), sums("platform", "entity_type")
-    return rows.withColumns({"prior_cvr": F.coalesce(cvr, market_cvr, F.lit(0.0)), "prior_aov": F.coalesce(aov, market_aov, F.lit(3000.0))})
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """rows with their group's row of the table; null is a group like any other."""
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}_{k}")) for k in keys])
+    return rows.join(table, same, "left").drop(*[f"{prefix}_{k}" for k in keys])
 
 
 def inherit_parent_cvr(rows: DataFrame) -> DataFrame:
@@ -186,6 +199,29 @@ def with_hierarchy(decided: DataFrame) -> DataFrame:
     }).drop("__parent")
 
 
+def decision_view(decided: DataFrame, *, entity_types: list[str] | None = None, statuses: list[str] | None = None, least_profit: float | None = None, text: str = "") -> DataFrame:
+    """The decisions of these kinds and states with a profit of at least so much, whose product, name or keyword has the text.
+
+    The text is taken as it is, blind to case. Rows come by expected profit and sales, the greatest first.
+    """
+    out = decided
+    if entity_types is not None:
+        out = out.where(F.col("entity_type").isin(entity_types))
+    if statuses is not None:
+        out = out.where(F.col("decision_status").isin(statuses))
+    if least_profit is not None:
+        out = out.where(F.coalesce("expected_incremental_profit", F.lit(0.0)) >= least_profit)
+    if text.strip():
+        names = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("product_id", "product_name", "keyword") if c in decided.columns])
+        out = out.where(F.contains(F.lower(names), F.lit(text.strip().lower())))
+    return out.orderBy(F.desc_nulls_last("expected_incremental_profit"), F.desc_nulls_last("sales_attr"), "entity_key")
+
+
+def decision_order() -> list[Column]:
+    """By state, then the greatest expected profit and the greatest cost."""
+    return [F.asc("decision_status"), F.desc_nulls_last("expected_incremental_profit"), F.desc_nulls_last("cost"), F.asc("entity_key")]
+
+
 def hold_duplicates(decided: DataFrame, duplicate: bool | Column) -> DataFrame:
     """Nothing of an input that was seen before is approved by itself."""
     held = (F.lit(duplicate) if isinstance(duplicate, bool) else duplicate) & (F.col("operator_action") == "ACCEPT")

@@ -11,10 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.functions.columns import first_filled, log_weight, short_label
+from bidweave.operators.reports import with_total
 from bidweave.operators.text import paired_similarity, phrase, tfidf, top_keywords, cosine_pairs, keyword_similarity
 from bidweave.session import written
 
@@ -32,24 +33,28 @@ def _ranked(edges: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def bipartite_edges(decided: DataFrame, *, metric: str = "sales_attr", max_products: int = 50, max_keywords: int = 110, min_value: float = 0.0, selected: list[str] | None = None, compatible: bool = True, relevance: bool = True) -> DataFrame:
-    """One edge a product and keyword, of the products and of the keywords with the greatest values, each ranked by itself."""
+    """One edge a product and keyword, of the products and of the keywords with the greatest values, each ranked by itself.
+
+    The sums by product and keyword are written once: the total, both ranks and the edges read them from there.
+    """
     rows = keyword_rows(decided, compatible=compatible)
     if selected:
         rows = rows.where(F.col("product_id").isin(selected))
     value = F.avg(metric) if metric == "roas_attr_pct" else F.coalesce(F.sum(metric), F.lit(0.0))
     first = {c: F.min_by(c, F.struct(F.col(c).isNull(), F.col("keyword"))).alias(c) for c in ("product_name", "category", "product_group", "decision_status", "action") if c in rows.columns}
-    edges = rows.groupBy("product_id", "keyword_normalized").agg(
+    sums = rows.groupBy("product_id", "keyword_normalized").agg(
         value.alias("edge_value"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS], F.avg("roas_attr_pct").alias("roas_attr_pct"), F.min("keyword").alias("keyword_display"), *first.values()
     )
     # Without any value, clicks stand in. The total is one row.
-    total = edges.agg(F.coalesce(F.sum("edge_value"), F.lit(0.0)).alias("__total"))
-    edges = edges.crossJoin(total).withColumn("edge_value", F.when(F.col("__total") > 0, F.col("edge_value")).otherwise(F.greatest("clicks", F.lit(1.0)))).drop("__total").where(F.col("edge_value") >= min_value)
+    edges = with_total(written(sums, "edge_sums"), F.col("edge_value"))
+    edges = edges.withColumn("edge_value", F.when(F.col("__total") > 0, F.col("edge_value")).otherwise(F.greatest("clicks", F.lit(1.0)))).drop("__total").where(F.col("edge_value") >= min_value)
     edges = edges.join(_ranked(edges, "product_id", max_products), "product_id", "left_semi").join(_ranked(edges, "keyword_normalized", max_keywords), "keyword_normalized", "left_semi")
-    largest = F.max("edge_value").over(Window.partitionBy())
-    edges = edges.withColumns({
-        "product_name_resolved": first_filled(F.col("product_name") if "product_name" in first else F.lit(""), F.col("product_id")), "layout_weight": log_weight(F.col("edge_value"), largest),
+    # From here on the caps bound the table.
+    edges = written(edges, "top_edges")
+    edges = edges.crossJoin(edges.agg(F.max("edge_value").alias("__largest"))).withColumns({
+        "product_name_resolved": first_filled(F.col("product_name") if "product_name" in first else F.lit(""), F.col("product_id")), "layout_weight": log_weight(F.col("edge_value"), F.col("__largest")),
         "source": F.concat(F.lit("P|"), "product_id"), "target": F.concat(F.lit("K|"), "keyword_normalized"),
-    })
+    }).drop("__largest")
     if not relevance:
         return edges
     pairs = edges.select(F.struct("product_id", "keyword_normalized").alias("id"), phrase(F.col("product_name_resolved"), compatible=compatible).alias("left"), F.col("keyword_normalized").alias("right"))
@@ -97,12 +102,12 @@ def product_similarity_edges(decided: DataFrame, *, metric: str = "sales_attr",
     """Edges between products: 0.7 of their keywords' Jaccard index and 0.3 of their names' similarity, at the threshold or above."""
     rows = keyword_rows(decided, compatible=compatible)
     top = rows.groupBy("product_id").agg(F.sum(metric).alias("v")).orderBy(F.desc_nulls_last("v"), "product_id").limit(max_products).select("product_id")
-    sets = rows.join(top, "product_id", "left_semi").select("product_id", "keyword_normalized").distinct()
+    sets = written(rows.join(top, "product_id", "left_semi").select("product_id", "keyword_normalized").distinct(), "keyword_sets")
     sizes = sets.groupBy("product_id").agg(F.count("*").alias("n"))
     shared = sets.withColumnRenamed("product_id", "left").join(sets.withColumnRenamed("product_id", "right"), "keyword_normalized").where("left < right").groupBy("left", "right").agg(F.count("*").alias("shared"))
     jaccard = shared.join(sizes.withColumnsRenamed({"product_id": "left", "n": "nl"}), "left").join(sizes.withColumnsRenamed({"product_id": "right", "n": "nr"}), "right").select("left", "right", (F.col("shared") / (F.col("nl") + F.col("nr") - F.col("shared"))).alias("jaccard"))
     items = decided.where(F.upper("entity_type") == "ITEM").groupBy("product_id").agg(F.max_by("product_name", F.struct(F.coalesce(metric, F.lit(0.0)), F.col("product_name"))).alias("name"))
-    names = top.join(items, "product_id", "left").select(F.col("product_id").alias("id"), phrase(F.coalesce("name", "product_id"), compatible=compatible).alias("text"))
+    names = sets.select("product_id").distinct().join(items, "product_id", "left").select(F.col("product_id").alias("id"), phrase(F.coalesce("name", "product_id"), compatible=compatible).alias("text"))
     both = jaccard.join(cosine_pairs(tfidf(names)), ["left", "right"], "full_outer").select("left", "right", F.coalesce("jaccard", F.lit(0.0)).alias("shared_keyword_jaccard"), F.coalesce("similarity", F.lit(0.0)).alias("name_similarity"))
     both = both.withColumn("similarity", 0.7 * F.col("shared_keyword_jaccard") + 0.3 * F.col("name_similarity")).where(F.col("similarity") >= threshold)
     return both.select(F.concat(F.lit("P|"), "left").alias("source"), F.concat(F.lit("P|"), "right").alias("target"), "similarity", "shared_keyword_jaccard", "name_similarity", (0.25 + F.col("similarity") * 4).alias("layout_weight"))
@@ -207,8 +212,8 @@ def _layout(n: int, edges: list[tuple[int, int, float]], rounds: int, seed: int)
     return position / max(np.abs(position).max(), 1e-9)
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame, *, exact: int = 180, pivots: int = 80, seed: int = 17) -> DataFrame:
-    """(node_id, bridge_score, community, x, y) of one bounded graph.
+def graph_metrics(nodes: DataFrame, edges: DataFrame, *, exact: int = 180, pivots: int = 80, seed: int = 17, layout: bool = True) -> DataFrame:
+    """(node_id, bridge_score, community, x, y) of one bounded graph; x and y are left out without layout.
 
     bridge_score is the normalised betweenness with distances 1 / layout_weight; above `exact` nodes it is estimated from
     `pivots` of them, evenly through the sorted names. Nodes without edges are communities of their own.
@@ -227,29 +232,42 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, *, exact: int = 180, pivot
             adjacent[b].append((a, 1 / max(w, 1e-9)))
         sources = list(range(n)) if n <= exact else sorted({int(i * n / pivots) for i in range(pivots)})
         scale = n / len(sources) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        out = pd.DataFrame({"node_id": names, "bridge_score": _brandes(adjacent, sources) * scale if n else [], "community": _communities(n, links) if links else list(range(n))})
+        if not layout:
+            return out
         xy = _layout(n, links, 160 if n <= exact else 95, seed) if n > 1 else np.zeros((n, 2))
-        return pd.DataFrame({"node_id": names, "bridge_score": _brandes(adjacent, sources) * scale if n else [], "community": _communities(n, links) if links else list(range(n)), "x": xy[:, 0], "y": xy[:, 1]})
+        return out.assign(x=xy[:, 0], y=xy[:, 1])
 
-    return rows.groupBy("graph").applyInPandas(kernel, "node_id string, bridge_score double, community int, x double, y double")
+    return rows.groupBy("graph").applyInPandas(kernel, "node_id string, bridge_score double, community int" + (", x double, y double" if layout else ""))
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of nodes (with value and community) and edges: counts, density, the share of the first ten products and of the largest community."""
     product = F.col("node_type") == "PRODUCT"
-    ranked = nodes.withColumn("place", F.row_number().over(Window.partitionBy("node_type").orderBy(F.desc("value"), "node_id")))
-    totals = ranked.agg(
+    totals = nodes.agg(
         F.count_if(product).alias("products"), F.count_if(F.col("node_type") == "KEYWORD").alias("keywords"), F.countDistinct("community").alias("clusters"), F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"),
-        F.coalesce(F.sum(F.when(product, F.col("value"))), F.lit(0.0)).alias("product_total"), F.coalesce(F.sum(F.when(product & (F.col("place") <= 10), F.col("value"))), F.lit(0.0)).alias("top10"),
+        F.coalesce(F.sum(F.when(product, F.col("value"))), F.lit(0.0)).alias("product_total"),
     )
+    first = nodes.where(product).orderBy(F.desc("value"), "node_id").limit(10).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("top10"))
     largest = nodes.groupBy("community").agg(F.sum("value").alias("v")).agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("largest"))
-    # All three are aggregates of one row.
-    out = totals.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(largest)
+    # All four are aggregates of one row.
+    out = totals.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(largest).crossJoin(first)
     return out.select(
         "products", "keywords", "edges", "clusters", F.when(F.col("n") > 1, 2 * F.col("edges") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("density"),
         F.when(F.col("product_total") > 0, F.col("top10") / F.col("product_total") * 100).otherwise(0.0).alias("top10_share_pct"), F.when(F.col("total") > 0, F.col("largest") / F.col("total") * 100).otherwise(0.0).alias("largest_cluster_share_pct"),
     )
 
 
+def leading(edges: DataFrame, key: str = "source") -> Column:
+    """The node whose edges have the greatest value, as a scalar of one row."""
+    return edges.groupBy(key).agg(F.sum("edge_value").alias("v")).agg(F.min_by(key, F.struct(-F.col("v"), F.col(key)))).scalar()
+
+
+def top_bridges(nodes: DataFrame, n: int = 9) -> DataFrame:
+    """The nodes that join parts of the graph: by bridge_score, then by weighted degree."""
+    return nodes.orderBy(F.desc("bridge_score"), F.desc("weighted_degree"), "node_id").limit(n)
+
+
 def top_entities(nodes: DataFrame, node_type: str, n: int = 10) -> DataFrame:
     return nodes.where(F.col("node_type") == node_type).orderBy(F.desc("weighted_degree"), F.desc("value"), "node_id").limit(n)
 
@@ -262,9 +280,11 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
     return nodes.join(marked, "node_id")
 
 
-def ego(edges: DataFrame, node_id: str, most: int = 12, value: str = "edge_value") -> DataFrame:
+def ego(edges: DataFrame, node_id: str | Column, most: int = 12, value: str = "edge_value") -> DataFrame:
     """The node's edges to its `most` neighbours of the greatest value."""
-    mine = edges.where((F.col("source") == node_id) | (F.col("target") == node_id)).withColumn("other", F.when(F.col("source") == node_id, F.col("target")).otherwise(F.col("source")))
+    centre = F.lit(node_id) if isinstance(node_id, str) else node_id
+    mine = edges.withColumn("__centre", centre).where((F.col("source") == F.col("__centre")) | (F.col("target") == F.col("__centre")))
+    mine = mine.withColumn("other", F.when(F.col("source") == F.col("__centre"), F.col("target")).otherwise(F.col("source"))).drop("__centre")
     return mine.orderBy(F.desc(value), "other").limit(most)
 
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.schema import Policy
 
 
-def row_errors(performance: DataFrame) -> DataFrame:
-    """Rows with errors, and their codes joined by `|`."""
+def error_codes() -> Column:
+    """A row's error codes joined by `|`; empty without errors."""
     codes = [F.when(F.trim("product_id") == "", F.lit("MISSING_PRODUCT_ID"))]
     for c in ("clicks", "cost", "sales_attr", "orders_attr"):
         codes.append(F.when(F.col(c).isNull(), F.lit(f"MISSING_{c.upper()}")).when(F.col(c) < 0, F.lit(f"NEGATIVE_{c.upper()}")))
     codes.append(F.when(F.col("period_start").isNull() | F.col("period_end").isNull(), F.lit("MISSING_PERIOD")))
-    return performance.withColumn("errors", F.array_join(F.array_compact(F.array(*codes)), "|")).where("errors <> ''")
+    return F.array_join(F.array_compact(F.array(*codes)), "|")
+
+
+def row_errors(performance: DataFrame) -> DataFrame:
+    """Rows with errors, and their codes."""
+    return performance.withColumn("errors", error_codes()).where("errors <> ''")
 
 
 def run_gate(performance: DataFrame, policy: Policy, previous: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
@@ -24,7 +29,7 @@ def run_gate(performance: DataFrame, policy: Policy, previous: DataFrame | None
     those that share snapshot and entity are counted.
     """
     spark = performance.sparkSession
-    counts = performance.agg(F.count("*").alias("rows")).crossJoin(row_errors(performance).agg(F.count("*").alias("row_error_count")))
+    counts = performance.agg(F.count("*").alias("rows"), F.count_if(error_codes() != "").alias("row_error_count"))
     if duplicates is None:
         twice = spark.range(1).select(F.lit(0).cast("long").alias("duplicate_rows"))
     else:

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What separates terms, what counts as Japanese, and terms that say nothing.
+from bidweave.operators.reports import with_total
+from bidweave.session import written
+
+#: What separates terms, what counts as Japanese, what a tokenizer's term may hold, the parts of speech that
+#: are terms, and terms that say nothing.
 PUNCTUATION = r"[\s　,，.。/／・|｜+＋:：;；!?！？()（）\[\]【】{}「」『』<>＜＞\-_]+"
 JAPANESE = "[ぁ-んァ-ヶ一-龠々ー]"
-STOP_TERMS = (
-    "する ある いる なる できる 付き つき 用 対応 タイプ セット 商品 楽天 送料無料 アストロ 公式 限定 人気 おすすめ ランキング "
-    "サイズ カラー 入り 組 枚 個 本 cm mm kg new られる れる せる ため これ もの こと"
-).split()
+VALID_TERM = "^[0-9A-Za-zぁ-んァ-ヶ一-龠々ー]+$"
+PARTS_OF_SPEECH = ["名詞", "動詞", "形容詞"]
+STOP_TERMS = [
+    "する", "ある", "いる", "なる", "できる", "付き", "つき", "用", "対応", "タイプ", "セット", "商品", "楽天",
+    "送料無料", "アストロ", "公式", "限定", "人気", "おすすめ", "ランキング", "サイズ", "カラー", "入り", "組", "枚", "個",
+    "本", "cm", "mm", "kg", "new", "られる", "れる", "せる", "ため", "これ", "もの", "こと",
+]
 #: Lengths of the n-grams that texts are compared by.
 GRAMS = (2, 3, 4)
 
@@ -47,10 +55,34 @@ def terms(normalised: Column, *, min_length: int = 2, max_terms: int = 12) -> Co
     return F.slice(F.array_distinct(F.filter(found, lambda t: (F.length(t) >= min_length) & ~t.isin(STOP_TERMS))), 1, max_terms)
 
 
-def with_terms(rows: DataFrame, keyword_col: str = "keyword", *, compatible: bool = True) -> DataFrame:
+def tokenised_terms(normalised: Column, tokenizer: Callable[[str], list[tuple[str, str]]], *, min_length: int = 2, max_terms: int = 12) -> Column:
+    """The distinct terms among a tokenizer's (base form, part of speech): nouns, verbs and adjectives that aren't numbers alone.
+
+    Phrases in which it finds none have the terms of `terms`. Only the tokenizer runs in Python.
+    """
+
+    @F.pandas_udf("array<struct<base:string,pos:string>>")
+    def tokens(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"base": base, "pos": pos} for base, pos in tokenizer(t)])
+
+    def base(t: Column) -> Column:
+        return F.replace(phrase(t["base"], compatible=False), F.lit(" "), F.lit(""))
+
+    def good(t: Column) -> Column:
+        return (F.length(t) >= min_length) & ~t.isin(STOP_TERMS) & t.rlike(VALID_TERM) & ~t.rlike("^[0-9]+$")
+
+    spoken = F.filter(tokens(normalised), lambda t: t["pos"].isin(PARTS_OF_SPEECH))
+    found = F.slice(F.array_distinct(F.filter(F.transform(spoken, base), good)), 1, max_terms)
+    return F.when(F.size(found) > 0, found).otherwise(terms(normalised, min_length=min_length, max_terms=max_terms))
+
+
+def with_terms(rows: DataFrame, keyword_col: str = "keyword", *, compatible: bool = True, tokenizer: Callable[[str], list[tuple[str, str]]] | None = None) -> DataFrame:
+    """rows with keyword_normalized, terms and term_count. A tokenizer sees each different phrase once."""
     out = rows.withColumn("keyword_normalized", phrase(F.col(keyword_col), compatible=compatible))
-    out = out.withColumn("terms", terms(F.col("keyword_normalized")))
-    return out.withColumn("term_count", F.size("terms"))
+    if tokenizer is None:
+        return out.withColumn("terms", terms(F.col("keyword_normalized"))).withColumn("term_count", F.size("terms"))
+    known = out.select(F.col("keyword_normalized").alias("__phrase")).distinct().withColumn("terms", tokenised_terms(F.col("__phrase"), tokenizer))
+    return out.join(known, F.col("keyword_normalized") == F.col("__phrase"), "left").drop("__phrase").withColumn("term_count", F.size("terms"))
 
 
 def weighted(rows: DataFrame, weight: str) -> DataFrame:
@@ -64,8 +96,8 @@ def weighted(rows: DataFrame, weight: str) -> DataFrame:
 def term_frequency(rows: DataFrame, weight: str = "sales_attr", top: int | None = 30) -> DataFrame:
     """(term, keyword_count, weighted_value, share_pct): the share is of all terms, before the top are taken."""
     counts = weighted(rows, weight).select(F.explode("terms").alias("term"), "weight").groupBy("term").agg(F.count("*").alias("keyword_count"), F.sum("weight").alias("weighted_value"))
-    total = F.sum("weighted_value").over(Window.partitionBy())
-    out = counts.withColumn("share_pct", F.when(total > 0, F.col("weighted_value") / total * 100).otherwise(0.0))
+    total = F.col("__total")
+    out = with_total(counts, F.col("weighted_value")).withColumn("share_pct", F.when(total > 0, F.col("weighted_value") / total * 100).otherwise(0.0)).drop("__total")
     return out.orderBy(F.desc("weighted_value"), F.desc("keyword_count"), "term").limit(top) if top else out
 
 
@@ -91,20 +123,46 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame) -> DataFrame:
-    """(id, gram, weight) of docs (id, text): sublinear counts, smoothed idf, rows of length 1."""
-    counts = gram_counts(docs)
+    """(id, gram, weight, df) of docs (id, text): sublinear counts, smoothed idf, rows of length 1, and the gram's documents.
+
+    Counts and weights are written, as idf, norms and both sides of a comparison read them.
+    """
+    counts = written(gram_counts(docs), "grams")
     # One row.
     size = docs.agg(F.count("*").alias("docs"))
-    idf = counts.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(size).select("gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "gram").select("id", "gram", ((1 + F.log("n")) * F.col("idf")).alias("w"))
+    idf = counts.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(size).select("gram", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = written(counts.join(idf, "gram").select("id", "gram", ((1 + F.log("n")) * F.col("idf")).alias("w"), "df"), "weights")
     norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"), "df")
+
+
+def rare_grams(vectors: DataFrame, least: float) -> DataFrame:
+    """The rarest grams of each id, up to where what is left of the vector is shorter than `least`.
+
+    Grams are in one order for all ids, from rare to common. The first gram that two vectors share lies among these of both if
+    their cosine is `least` or more: behind it one of them would be too short. So common grams needn't be looked up.
+    """
+    upto = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram"))
+    return vectors.withColumn("__rest", F.sum(F.col("weight") * F.col("weight")).over(upto)).where(F.col("__rest") >= least * least * (1 - 1e-9)).drop("__rest")
 
 
 def cosine_pairs(vectors: DataFrame, least: float = 0.0) -> DataFrame:
-    """(left, right, similarity) of ids left < right that share a gram, from the inverted index of grams."""
-    a, b = vectors.select(F.col("id").alias("left"), "gram", F.col("weight").alias("wa")), vectors.select(F.col("id").alias("right"), "gram", F.col("weight").alias("wb"))
-    out = a.join(b, "gram").where("left < right").groupBy("left", "right").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+    """(left, right, similarity) of ids left < right that share a gram, with `least` or more.
+
+    Above 0, candidates share one of their rarest grams, and each pair is summed up once over all of its grams.
+    """
+
+    def side(df: DataFrame, name: str, w: str) -> DataFrame:
+        return df.select(F.col("id").alias(name), "gram", F.col("weight").alias(w))
+
+    a, b = side(vectors, "left", "wa"), side(vectors, "right", "wb")
+    if least > 0:
+        rare = written(rare_grams(vectors, least).select("id", "gram"), "rare_grams")
+        pairs = rare.withColumnRenamed("id", "left").join(rare.withColumnRenamed("id", "right"), "gram").where("left < right").select("left", "right").distinct()
+        joined = pairs.join(a, "left").join(b, ["right", "gram"])
+    else:
+        joined = a.join(b, "gram").where("left < right")
+    out = joined.groupBy("left", "right").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
     return out.where(F.col("similarity") >= least) if least > 0 else out
 
 

@@ -5,6 +5,7 @@ Suppliers are products and part names keywords. Sums are made of whole numbers,
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,14 +88,21 @@ def ctes() -> str:
 
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables over the driver's Parquet files."""
-    sources = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in SOURCES}
-    wanted = list(TABLES)[: list(TABLES).index(name) + 1]
-    text = "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in wanted)
-    for s in SOURCES:
-        text = text.replace(f"FROM {s} ", f"FROM {{{s}}} ").replace(f"FROM {s}\n", f"FROM {{{s}}}\n").replace(f"JOIN {s} ", f"JOIN {{{s}}} ")
+    """One of the tables over the driver's Parquet files, of which those are opened that it reads."""
+    wanted = needed(name)
+    text = "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in TABLES.items() if n in wanted)
+    sources = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in SOURCES if s in wanted}
+    for s in sources:
+        text = re.sub(rf"\b(FROM|JOIN) {s}\b", rf"\1 {{{s}}}", text)
     return spark.sql(f"{text}\nSELECT * FROM {name}", **sources)
 
 
+@cache
+def needed(name: str) -> frozenset[str]:
+    """The table and those that its SQL reads, directly or not."""
+    read = set(re.findall(r"\b(?:FROM|JOIN) (\w+)", TABLES.get(name, ""))) & (set(TABLES) | set(SOURCES))
+    return frozenset({name}.union(*map(needed, read)))
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp")

@@ -109,6 +109,7 @@ _GRAMS = """g_n AS (SELECT id, gram, count(*) AS n FROM (SELECT id, unnest(flatt
 g_idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM g_docs))::DOUBLE / (1 + count(*))) + 1 AS idf FROM g_n GROUP BY gram),
 g_raw AS (SELECT id, gram, (1 + ln(n)) * idf AS w FROM g_n JOIN g_idf USING (gram)),
 g_vec AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM g_raw)"""
+_PRODUCT_VALUES = "o_pval AS (SELECT e.product_id, coalesce(i.sales_attr, e.v) AS value FROM (SELECT product_id, sum(v) AS v FROM o_ed GROUP BY product_id) e LEFT JOIN (SELECT product_id, sales_attr FROM o_hier WHERE entity_type = 'ITEM') i USING (product_id))"
 _STOPS = ", ".join(f"'{t}'" for t in STOP_TERMS)
 _MEANS = "(CASE WHEN sum(clicks) <> 0 THEN {0} ELSE 0 END)"
 
@@ -175,7 +176,7 @@ g_m AS (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS m FROM g_vec p JOIN g_vec
 SELECT 'P|' || a AS source"""),
     "weighted_degree": _sql("SELECT node_id, degree, round(wd, 6) + 0 AS weighted_degree FROM o_deg"),
     "roas_bands": _sql("SELECT entity_key, CASE WHEN roas_attr_pct IS NULL THEN 'NONE' WHEN roas_attr_pct / 450 < 0.55 THEN 'LOW' WHEN roas_attr_pct / 450 < 0.9 THEN 'BELOW' WHEN roas_attr_pct / 450 < 1.2 THEN 'NEAR' ELSE 'ABOVE' END AS band, CASE WHEN regexp_matches(t, 'STOP|PAUSE|MIN_BID|TERMINATED') THEN 'STOP' WHEN regexp_matches(t, 'SCALE_UP|INCREASE|RAISE|UP_BID') THEN 'SCALE_UP' WHEN regexp_matches(t, 'SCALE_DOWN|DECREASE|LOWER|DOWN_BID') THEN 'SCALE_DOWN' WHEN regexp_matches(t, 'KEEP|HOLD|UNCHANGED') THEN 'KEEP' WHEN regexp_matches(t, 'OBSERVE|EXPLORE|INSUFFICIENT|REVIEW|PENDING|UNKNOWN') THEN 'OBSERVE' ELSE 'NEUTRAL' END AS action_class FROM (SELECT *, action || ' ' || status AS t FROM o_hier)"),
-    "ego_network": _sql("SELECT source, target, round(v, 6) + 0 AS edge_value FROM o_ed WHERE source = 'P|S2' ORDER BY v DESC, target LIMIT 12"),
+    "ego_network": _sql("SELECT source, target, round(v, 6) + 0 AS edge_value FROM o_ed WHERE source = (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1) ORDER BY v DESC, target LIMIT 12"),
     "search_neighbourhood": _sql("SELECT node_id, bool_or(hit) AS hit FROM (SELECT target AS node_id, true AS hit FROM o_ed WHERE contains(norm, 'bolt') UNION ALL SELECT source, false FROM o_ed WHERE contains(norm, 'bolt')) GROUP BY node_id"),
     "keyword_nearest": _sql("SELECT least(a, b) AS source, greatest(a, b) AS target, round(max(s), 6) + 0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rn FROM (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS s FROM g_vec p JOIN g_vec q ON p.gram = q.gram AND p.id <> q.id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.34)) WHERE rn <= 3 GROUP BY 1, 2").replace("\nSELECT least(a, b)", ",\ng_docs AS (SELECT norm AS id, norm AS text FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120),\n" + _GRAMS + "\nSELECT least(a, b)"),
     "graph_components": _sql("SELECT node_id, min(m) AS component FROM reach GROUP BY node_id").replace("\nSELECT node_id, min(m)", ",\nlinks AS (SELECT source AS a, target AS b FROM o_ed UNION ALL SELECT target, source FROM o_ed),\nreach AS (SELECT DISTINCT a AS node_id, a AS m FROM links UNION SELECT reach.node_id, links.b FROM reach JOIN links ON links.a = reach.m)\nSELECT node_id, min(m)").replace("WITH ", "WITH RECURSIVE ", 1),
@@ -184,4 +185,16 @@ SELECT 'P|' || a AS source"""),
     "action_append": _sql(f"SELECT {KEYS}, round(bid, 6) + 0 AS previous_cpc, rec AS recommended_cpc, fin AS final_cpc, action, status AS decision_status, answer AS operator_action, CASE WHEN eligible THEN 'PLANNED' ELSE 'NOT_APPLIED' END AS outcome_status, '2001-11-15' AS outcome_due_date FROM o_fin"),
     "next_overrides": _sql(f"SELECT {KEYS}, CASE answer WHEN 'LOCK' THEN 'LOCK_CPC' ELSE 'FORCE_STOP' END AS override_mode, CAST(fin AS DOUBLE) AS override_cpc, true AS active, 'run_1' AS created_run_id FROM o_fin WHERE answer IN ('LOCK', 'FORCE_STOP')"),
     "run_append": _sql("SELECT 'run_1' AS run_id, repeat('0', 64) AS input_hash, 'BLOCK' AS quality_status, count(*) FILTER (WHERE entity_type = 'ITEM') AS item_rows, count(*) FILTER (WHERE entity_type = 'KEYWORD') AS keyword_rows, false AS duplicate_input FROM o_fin"),
+    "network_totals": _sql("SELECT p AS products, k AS keywords, e AS edges, round(CASE WHEN p + k > 1 THEN 2::DOUBLE * e / ((p + k) * (p + k - 1)) ELSE 0 END, 6) + 0 AS density, round(CASE WHEN total > 0 THEN top * 100::DOUBLE / total ELSE 0 END, 6) + 0 AS top10_share_pct FROM (SELECT count(DISTINCT source) AS p, count(DISTINCT target) AS k, count(*) AS e FROM o_ed), (SELECT sum(value) AS total, sum(value) FILTER (WHERE rn <= 10) AS top FROM (SELECT value, row_number() OVER (ORDER BY value DESC, product_id) AS rn FROM o_pval))").replace("\nSELECT p AS products", f",\n{_PRODUCT_VALUES}\nSELECT p AS products"),
+    "top_entities": _sql("SELECT node_id, round(wd, 6) + 0 AS weighted_degree, round(value, 6) + 0 AS value FROM o_deg JOIN o_pval ON node_id = 'P|' || product_id ORDER BY wd DESC, value DESC, node_id LIMIT 10").replace("\nSELECT node_id, round(wd", f",\n{_PRODUCT_VALUES}\nSELECT node_id, round(wd"),
+    "semantic_edges": _sql("SELECT source, target, round(v, 6) + 0 AS edge_value, round(w, 6) + 0 AS layout_weight, round(least(1, greatest(0, coalesce(s, 0))), 6) + 0 AS semantic_relevance FROM o_ed LEFT JOIN (SELECT split_part(a.id, '^', 1) AS sp, split_part(a.id, '^', 2) AS sn, sum(a.w * b.w) AS s FROM g_vec a JOIN g_vec b ON a.gram = b.gram AND ends_with(a.id, '^0') AND ends_with(b.id, '^1') AND left(a.id, length(a.id) - 1) = left(b.id, length(b.id) - 1) GROUP BY 1, 2) ON sp = product_id AND sn = norm").replace("LIMIT 48", "LIMIT 50").replace("\nSELECT source, target", ",\ng_name AS (SELECT product_id, norm, trim(regexp_replace(lower(coalesce(nullif(trim(n), ''), product_id)), '[\\s\\-_]+', ' ', 'g')) AS name FROM o_ed LEFT JOIN (SELECT product_id, keyword AS norm, min(product_name) AS n FROM o_hier WHERE entity_type = 'KEYWORD' GROUP BY ALL) USING (product_id, norm)),\ng_docs AS (SELECT product_id || '^' || norm || '^0' AS id, name AS text FROM g_name UNION ALL SELECT product_id || '^' || norm || '^1', norm FROM g_name),\n" + _GRAMS + "\nSELECT source, target"),
+    "normalised_phrases": "SELECT p_partkey, lower(p_name) AS phrase FROM part",
+    "keyword_graph_nodes": _sql("SELECT 'K|' || norm AS node_id, 'KEYWORD' AS node_type, norm AS keyword, round(coalesce(sum(sales_attr), 0), 6) + 0 AS value FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120"),
+    "keyword_graph_edges": _sql("SELECT 'K|' || least(a, b) AS source, 'K|' || greatest(a, b) AS target, round(max(s), 6) + 0 AS similarity, round(0.25::DOUBLE + max(s) * 3.5::DOUBLE, 6) + 0 AS layout_weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rn FROM (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS s FROM g_vec p JOIN g_vec q ON p.gram = q.gram AND p.id <> q.id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.34)) WHERE rn <= 4 GROUP BY least(a, b), greatest(a, b)").replace("\nSELECT 'K|' || least(a, b)", ",\ng_docs AS (SELECT norm AS id, norm AS text FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120),\n" + _GRAMS + "\nSELECT 'K|' || least(a, b)"),
+    "decision_view": _sql("SELECT entity_key, status AS decision_status, round(inc, 6) + 0 AS expected_incremental_profit, round(sales_attr, 6) + 0 AS sales_attr FROM o_hier WHERE entity_type = 'KEYWORD' AND status IN ('KEEP', 'KEEP_UNCERTAIN_UPSIDE', 'SCALE_DOWN_AUTO_READY', 'SCALE_UP_REVIEW_REQUIRED', 'PARENT_STOP_AUTO_READY') AND coalesce(inc, 0) >= -500 AND contains(lower(product_id || ' ' || coalesce(product_name, '') || ' ' || keyword), 'bolt')"),
+    "decisions_in_order": _sql("SELECT entity_key, status AS decision_status, round(inc, 6) + 0 AS expected_incremental_profit, round(cost, 6) + 0 AS cost FROM o_hier WHERE entity_type = 'ITEM' ORDER BY status, inc DESC NULLS LAST, o_hier.cost DESC NULLS LAST, entity_key LIMIT 100"),
+    "report_files": _sql("SELECT entity_key, CAST(period_end AS VARCHAR) AS period_end, CAST(window_days AS BIGINT) AS window_days, " + _rounded("clicks", "cost", "sales_attr", "orders_attr", "impressions", "actual_cpc") + " FROM performance_once"),
+    "file_profiles": "SELECT CAST(n_regionkey AS BIGINT) AS region, 'rakuten_rpp_setting' AS kind, 'utf-8-sig' AS encoding, 9 AS columns, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey",
+    "state_appended": _sql(f"SELECT {KEYS}, planned_cpc, planned_status, run_id, 1 AS place FROM planned UNION ALL SELECT {KEYS}, planned_cpc, 'PENDING', 'run_1', 2 FROM planned"),
+    "store_latest_plan": _sql("SELECT product_id, planned_cpc, CASE WHEN planned_cpc < 90 THEN 'run_1' ELSE 'run_0' END AS planned_run_id FROM planned WHERE upper(planned_status) = 'PENDING'"),
 }

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidweave.functions import columns as c
 from bidweave.operators import decide, graph, ingest, quality, reports, state, text, windows
 from bidweave.plans.bindings import AS_OF, POLICY, as_of, bound
 from bidweave.schema import KEYS
+from bidweave.session import shared_dir, written
+from bidweave.sources import files
+from bidweave.sources.state_store import StateStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,15 +42,15 @@ def master(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    """Windows with settings, state, plans, master, history, overrides and the quality flag."""
-    rows = performance(spark, d)
+    """Windows with settings, state, plans, master, history, overrides and the quality flag, made once and written."""
+    rows = written(performance(spark, d), "performance")
     out = windows.analysis_windows(rows, POLICY)
     tables = [settings(spark, d), state.latest_applied(bound(spark, d, "applied")), state.latest_pending(bound(spark, d, "planned")), state.latest_metrics(bound(spark, d, "history")), state.active_overrides(bound(spark, d, "overrides"), as_of())]
     for t in tables:
         out = out.join(t, KEYS, "left")
     bad = quality.row_errors(rows).select("entity_key").distinct().withColumn("row_quality_block", F.lit(True))
     out = ingest.with_master(out, master(spark, d)).join(bad, "entity_key", "left").withColumn("row_quality_block", F.coalesce("row_quality_block", F.lit(False)))
-    return state.reconcile(out, as_of())
+    return written(state.reconcile(out, as_of()), "entities")
 
 
 def first_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -54,17 +58,21 @@ def first_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, d: str) -> DataFrame:
-    return decide.with_hierarchy(first_decisions(spark, d))
+    """Decisions after the parent's word, written: every table behind them is read once, whatever is asked of them."""
+    return written(decide.with_hierarchy(first_decisions(spark, d)), "decided")
 
 
-def finalised(spark: SparkSession, d: str) -> DataFrame:
+def answered(rows: DataFrame) -> DataFrame:
     """Decisions answered: some proposals to scale up are accepted, some rows locked, stopped or rejected."""
-    rows = decided(spark, d)
     n = F.length("entity_key") + F.coalesce("clicks", F.lit(0.0)).cast("long")
     answer = F.when((F.col("action") == "SCALE_UP") & (n % 2 == 0), "ACCEPT").when(n % 23 == 0, "LOCK").when(n % 29 == 0, "force_stop").when(n % 31 == 0, "REJECT").otherwise(F.col("operator_action"))
     return decide.finalise(rows.withColumn("operator_action", answer))
 
 
+def finalised(spark: SparkSession, d: str) -> DataFrame:
+    return answered(decided(spark, d))
+
+
 @query
 def kpi_summary(spark, d):
     return reports.kpis(windows.analysis_windows(performance(spark, d), POLICY)).select(*r6("clicks", "cost", "sales_attr", "orders_attr", "roas_attr_pct", "cvr_attr", "actual_cpc"))
@@ -115,7 +123,8 @@ def quality_row_errors(spark, d):
 @query
 def quality_run_gate(spark, d):
     before = bound(spark, d, "performance_once").groupBy("entity_type").agg((F.count("*") * 2).alias("rows"))
-    gate = quality.run_gate(performance(spark, d), POLICY, before, bound(spark, d, "performance"))
+    rows = written(performance(spark, d), "performance")
+    gate = quality.run_gate(rows, POLICY, before, bound(spark, d, "performance"))
     return gate.select("status", "score", "rows", "row_error_count", *r6("row_error_rate"), "duplicate_rows", "row_count_drop")
 
 
@@ -300,8 +309,8 @@ def spearman_matrix(spark, d):
 
 
 def keywords(spark, d):
-    """Keyword rows of the windows with their terms."""
-    return text.with_terms(windows.analysis_windows(performance(spark, d), POLICY).where("entity_type = 'KEYWORD'"), compatible=False)
+    """Keyword rows of the windows with their terms, written: totals, ranks and pairs read them."""
+    return written(text.with_terms(windows.analysis_windows(performance(spark, d), POLICY).where("entity_type = 'KEYWORD'"), compatible=False), "keywords")
 
 
 @query
@@ -327,8 +336,12 @@ def paired_similarity(spark, d):
     return text.paired_similarity(pairs).select("id", *r6("similarity"))
 
 
+def edges_of(rows: DataFrame) -> DataFrame:
+    return written(graph.bipartite_edges(rows, max_products=48, compatible=False, relevance=False), "edges")
+
+
 def edges(spark, d):
-    return graph.bipartite_edges(decided(spark, d), max_products=48, compatible=False, relevance=False)
+    return edges_of(decided(spark, d))
 
 
 @query
@@ -338,7 +351,8 @@ def bipartite_edges(spark, d):
 
 @query
 def product_nodes(spark, d):
-    return graph.product_nodes(edges(spark, d), decided(spark, d)).select("node_id", "label", "action", "decision_status", "recommended_cpc", *r6("value", "clicks"))
+    rows = decided(spark, d)
+    return graph.product_nodes(edges_of(rows), rows).select("node_id", "label", "action", "decision_status", "recommended_cpc", *r6("value", "clicks"))
 
 
 @query
@@ -362,9 +376,12 @@ def roas_bands(spark, d):
 
 
 def network(spark, d) -> tuple[DataFrame, DataFrame]:
-    links = edges(spark, d).persist()
-    both = graph.product_nodes(links, decided(spark, d)).unionByName(graph.keyword_nodes(links), allowMissingColumns=True)
-    return both.join(graph.graph_metrics(both, links), "node_id").join(graph.weighted_degree(links), "node_id", "left"), links
+    """Nodes with their metrics, and edges; both are written, as every report reads them more than once."""
+    rows = decided(spark, d)
+    links = edges_of(rows)
+    both = graph.product_nodes(links, rows).unionByName(graph.keyword_nodes(links), allowMissingColumns=True)
+    nodes = both.join(graph.graph_metrics(both, links, layout=False), "node_id").join(graph.weighted_degree(links), "node_id", "left")
+    return written(nodes, "nodes"), links
 
 
 @query
@@ -385,13 +402,16 @@ def betweenness_and_communities(spark, d):
 
 @query
 def ego_network(spark, d):
-    return graph.ego(edges(spark, d), "P|S2").select("source", "target", *r6("edge_value"))
+    """Around the product whose edges have the greatest value."""
+    links = edges(spark, d)
+    return graph.ego(links, graph.leading(links)).select("source", "target", *r6("edge_value"))
 
 
 @query
 def search_neighbourhood(spark, d):
-    links = edges(spark, d)
-    nodes = graph.product_nodes(links, decided(spark, d)).unionByName(graph.keyword_nodes(links), allowMissingColumns=True)
+    rows = decided(spark, d)
+    links = edges_of(rows)
+    nodes = graph.product_nodes(links, rows).unionByName(graph.keyword_nodes(links), allowMissingColumns=True)
     return graph.neighbourhood(nodes, links, "bolt").select("node_id", "hit")
 
 
@@ -415,8 +435,9 @@ def graph_components(spark, d):
 
 def _next_state(spark, d, table: str) -> DataFrame:
     run = datetime.fromisoformat(AS_OF)
+    rows = decided(spark, d)
     gate = quality.run_gate(performance(spark, d), POLICY)
-    return state.new_state(finalised(spark, d), state.setting_events(entities(spark, d)), gate, POLICY, run="run_1", hash_of_input="0" * 64, as_of=run)[table]
+    return state.new_state(answered(rows), state.setting_events(rows), gate, POLICY, run="run_1", hash_of_input="0" * 64, as_of=run)[table]
 
 
 @query
@@ -442,3 +463,104 @@ def next_overrides(spark, d):
 @query
 def run_append(spark, d):
     return _next_state(spark, d, "run_history").select("run_id", "input_hash", "quality_status", "item_rows", "keyword_rows", "duplicate_input")
+
+
+@query
+def network_totals(spark, d):
+    """The figures of a graph that need no communities."""
+    rows = decided(spark, d)
+    links = edges_of(rows)
+    nodes = written(graph.product_nodes(links, rows).unionByName(graph.keyword_nodes(links), allowMissingColumns=True).withColumn("community", F.lit(0)), "nodes")
+    return graph.summary(nodes, links).select("products", "keywords", "edges", *r6("density", "top10_share_pct"))
+
+
+@query
+def top_bridges(spark, d):
+    return graph.top_bridges(network(spark, d)[0]).select("node_id", *r6("bridge_score", "weighted_degree"))
+
+
+@query
+def semantic_edges(spark, d):
+    """Edges as the operator makes them by default: phrases after NFKC, and each keyword's likeness to its product's name."""
+    return graph.bipartite_edges(decided(spark, d)).select("source", "target", *r6("edge_value", "layout_weight", "semantic_relevance"))
+
+
+@query
+def normalised_phrases(spark, d):
+    """Part names in full-width letters with other marks between the words come out as the plain names."""
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    plain = "abcdefghijklmnopqrstuvwxyz#0123456789 "
+    wide = "".join(chr(ord(c) + 0xFEE0) if c != " " else "／" for c in plain)
+    return parts.select("p_partkey", text.phrase(F.translate(F.lower("p_name"), plain, wide)).alias("phrase"))
+
+
+def _keyword_graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = written(windows.analysis_windows(performance(spark, d), POLICY), "windows")
+    return graph.keyword_similarity_graph(rows)
+
+
+@query
+def keyword_graph_nodes(spark, d):
+    return _keyword_graph(spark, d)[0].select("node_id", "node_type", "keyword", *r6("value"))
+
+
+@query
+def keyword_graph_edges(spark, d):
+    return _keyword_graph(spark, d)[1].select("source", "target", *r6("similarity", "layout_weight"))
+
+
+@query
+def decision_view(spark, d):
+    rows = decide.decision_view(decided(spark, d), entity_types=["KEYWORD"], statuses=["KEEP", "KEEP_UNCERTAIN_UPSIDE", "SCALE_DOWN_AUTO_READY", "SCALE_UP_REVIEW_REQUIRED", "PARENT_STOP_AUTO_READY"], least_profit=-500.0, text=" BOLT ")
+    return rows.select("entity_key", "decision_status", *r6("expected_incremental_profit", "sales_attr"))
+
+
+@query
+def decisions_in_order(spark, d):
+    """The first hundred decisions in the order in which they are read."""
+    rows = decided(spark, d).where("entity_type = 'ITEM'")
+    return rows.orderBy(*decide.decision_order()).limit(100).select("entity_key", "decision_status", *r6("expected_incremental_profit", "cost"))
+
+
+@query
+def report_files(spark, d):
+    """Performance written as report files, one a snapshot, and read again: found, decoded, told apart and normalised."""
+    rows = bound(spark, d, "performance_once")
+    names = ["platform", "entity_type", "product_id", "keyword", "clicks", "cost", "sales_attr", "orders_attr", "impressions", "actual_cpc"]
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    out = rows.select("snapshot_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names], *[F.col(c).cast("string").alias(c) for c in ("period_start", "period_end")])
+    out.repartition(4, "snapshot_id").write.partitionBy("snapshot_id").option("header", True).csv(path)
+    read = files.read_performance(spark, f"{path}/*/*.csv")
+    return read.select("entity_key", F.col("period_end").cast("string").alias("period_end"), F.col("window_days").cast("long").alias("window_days"), *r6("clicks", "cost", "sales_attr", "orders_attr", "impressions", "actual_cpc"))
+
+
+@query
+def file_profiles(spark, d):
+    """What is known of each settings file: kind, encoding, rows. Files have an item of each region."""
+    lines = spark.read.parquet(f"{d}/supplier.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    path = f"{shared_dir(spark)}/settings-{uuid.uuid4().hex}"
+    named = {"コントロールカラム": F.lit(""), "商品管理番号": F.concat(F.lit("S"), "s_suppkey"), "商品名": F.col("s_name"), "価格": F.lit("1000"), "商品URL": F.lit("https://example.com"), "商品CPC": F.col("s_suppkey").cast("string"), "キーワード": F.lit(""), "キーワードCPC": F.lit(""), "目安CPC": F.lit("")}
+    out = lines.select(F.col("n_regionkey").alias("region"), *[c.alias(n) for n, c in named.items()])
+    out.repartition(4, "region").write.partitionBy("region").option("header", True).csv(path)
+    found = files.profile(files.read_files(spark, f"{path}/*/*.csv"))
+    return found.select(F.regexp_extract("path", "region=([0-9]+)", 1).cast("long").alias("region"), "kind", "encoding", F.size("header").alias("columns"), "rows")
+
+
+@query
+def state_appended(spark, d):
+    """Plans kept in the store over two runs, with the order of their arrival."""
+    store = StateStore(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    plans = bound(spark, d, "planned").drop("ord").withColumn("source", F.lit("x"))
+    store.append("planned_settings", plans)
+    store.append("planned_settings", plans.withColumns({"run_id": F.lit("run_1"), "planned_status": F.lit("PENDING")}))
+    return store.read("planned_settings").select(*KEYS, "planned_cpc", "planned_status", "run_id", F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("ord")).alias("place"))
+
+
+@query
+def store_latest_plan(spark, d):
+    """The pending plan of each key that a store of two runs ends with."""
+    store = StateStore(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    plans = bound(spark, d, "planned").drop("ord").withColumn("source", F.lit("x"))
+    store.append("planned_settings", plans)
+    store.append("planned_settings", plans.where("planned_cpc < 90").withColumn("run_id", F.lit("run_1")))
+    return state.latest_pending(store.read("planned_settings")).select("product_id", "planned_cpc", "planned_run_id")

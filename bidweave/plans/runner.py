@@ -11,14 +11,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.operators import decide, ingest, quality, reports, state, windows
+from bidweave.operators import decide, graph, ingest, quality, reports, state, text, windows
 from bidweave.schema import KEYS, Policy
+from bidweave.session import written
 from bidweave.sources.state_store import StateStore
 
 
 @dataclass(frozen=True)
 class Run:
-    """Lazy tables of a run, and the scalars that its identity and gate are made of."""
+    """Tables of a run, of which entities and decisions are written, and the scalars that its identity and gate are made of."""
 
     performance: DataFrame
     entities: DataFrame
@@ -33,8 +34,9 @@ class Run:
 
 
 def build(performance: DataFrame, settings: DataFrame, master: DataFrame, store: StateStore, policy: Policy, as_of: datetime) -> Run:
-    """performance: deduplicated rows. settings and master: raw tables with ord. The gate and the hash are the only actions."""
+    """performance: deduplicated rows. settings and master: raw tables with ord. What later steps read more than once is written."""
     now = F.lit(as_of).cast("timestamp")
+    performance = written(performance, "performance")
     runs = store.read("run_history")
     last = runs.orderBy(F.desc("ord"), F.desc("created_at")).limit(1).select(F.explode(F.array(F.struct(F.lit("ITEM").alias("entity_type"), F.col("item_rows").alias("rows")), F.struct(F.lit("KEYWORD").alias("entity_type"), F.col("keyword_rows").alias("rows")))).alias("r")).select("r.*")
     gate = quality.run_gate(performance, policy, last)
@@ -49,9 +51,9 @@ def build(performance: DataFrame, settings: DataFrame, master: DataFrame, store:
         rows = rows.join(t, KEYS, "left")
     bad = quality.row_errors(performance).select("entity_key").distinct().withColumn("__bad", F.lit(True))
     rows = ingest.with_master(rows, ingest.normalise_master(master)).join(bad, "entity_key", "left").withColumn("row_quality_block", F.coalesce("__bad", F.lit(False)) | F.lit(blocked)).drop("__bad")
-    rows = state.reconcile(rows, now)
+    rows = written(state.reconcile(rows, now), "entities")
     decided = decide.hold_duplicates(decide.with_hierarchy(decide.decisions(rows, policy, now)), duplicate)
-    decided = decided.withColumns({"run_id": F.lit(run), "decision_id": F.concat_ws("|", F.lit(run), "entity_key"), "duplicate_input": F.lit(duplicate)})
+    decided = written(decided.withColumns({"run_id": F.lit(run), "decision_id": F.concat_ws("|", F.lit(run), "entity_key"), "duplicate_input": F.lit(duplicate)}), "decided")
     return Run(performance, rows, state.setting_events(rows), decided, gate, verdict["input_hash"], run, duplicate, blocked, as_of)
 
 
@@ -67,25 +69,30 @@ def answered(run: Run, answers: DataFrame | None = None) -> DataFrame:
 
 def carry(run: Run, final: DataFrame, store: StateStore, policy: Policy) -> None:
     """Writes the next state: new rows of each table, and plans and actions with what has become of them."""
-    events = run.events.persist()
+    events = run.events
     new = state.new_state(final, events, run.gate, policy, run=run.run_id, hash_of_input=run.input_hash, as_of=run.as_of, duplicate=run.duplicate)
     changed = {"planned_settings": state.update_plans(store.read("planned_settings"), events), "action_history": state.update_actions(store.read("action_history"), events)}
-    # All is read before anything is written.
-    ready = {name: rows.persist() for name, rows in new.items()}
-    for rows in ready.values():
-        rows.count()
     for name, rows in changed.items():
         store.replace(name, rows)
-    for name, rows in ready.items():
+    for name, rows in new.items():
         store.append(name, rows)
-        rows.unpersist()
+
+
+def graphs(decided: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Nodes and edges of the three graphs of a run: products with keywords, keywords by likeness, products by likeness."""
+    links = written(graph.bipartite_edges(decided), "edges")
+    nodes = graph.product_nodes(links, decided).unionByName(graph.keyword_nodes(links), allowMissingColumns=True)
+    nodes = nodes.join(graph.graph_metrics(nodes, links), "node_id").join(graph.weighted_degree(links), "node_id", "left")
+    alike = written(graph.product_similarity_edges(decided), "edges")
+    products = graph.both_ways(alike).select("node_id").distinct()
+    return {"network": (nodes, links), "keywords": graph.keyword_similarity_graph(decided), "products": (products.join(graph.graph_metrics(products, alike), "node_id"), alike)}
 
 
 def main(argv: list[str] | None = None) -> None:
     """Reports, settings and master in; decisions, validation, setting files, profile and state out."""
     from bidweave.session import ship
     from bidweave.sources.files import read_master, read_performance, read_settings
-    from bidweave.sources.sinks import profile_json, write_csv
+    from bidweave.sources.sinks import profile_json, write_csv, write_graph
 
     p = argparse.ArgumentParser(description=main.__doc__)
     for name in ("--reports", "--settings", "--product-master", "--state", "--out-dir"):
@@ -99,12 +106,15 @@ def main(argv: list[str] | None = None) -> None:
     as_of = datetime.fromisoformat(a.as_of) if a.as_of else datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
     store, settings = StateStore(spark, a.state), read_settings(spark, a.settings)
     run = build(read_performance(spark, a.reports), settings, read_master(spark, a.product_master), store, policy, as_of)
-    final = answered(run).persist()
+    final = written(answered(run), "final")
     write_csv(final.select(*[c for c, t in final.dtypes if not t.startswith(("array", "struct", "map"))]), f"{a.out_dir}/decision_detail")
     write_csv(decide.upload_validation(final).select(*KEYS, "current_bid", "final_cpc", "final_approved", "final_changed", "upload_match", "upload_eligible", "operator_action", "decision_status", "reason_code", "upload_validation_status"), f"{a.out_dir}/upload_validation")
     write_csv(decide.review_table(final), f"{a.out_dir}/review")
     for name, rows in decide.full_outputs(settings, final).items():
         write_csv(rows, f"{a.out_dir}/{name}")
+    terms = text.term_frequency(text.with_terms(run.decisions.where("entity_type = 'KEYWORD'")))
+    for name, (nodes, edges) in graphs(run.decisions).items():
+        write_graph(f"{a.out_dir}/{name}", nodes, edges, terms if name == "network" else None)
     print(profile_json(reports.run_profile(final), reports.status_counts(final), run_id=run.run_id, input_hash=run.input_hash))
     carry(run, final, store, policy)
 

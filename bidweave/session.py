@@ -30,12 +30,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the session names it.
 
-    Where no folder is set (a local session, as in tests), a temporary one is set for the application.
+    Where none is set, a temporary one is set for a local session, as in tests; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="bidweave-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

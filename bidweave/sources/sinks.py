@@ -28,6 +28,20 @@ def csv_bytes(df: DataFrame, encoding: str = "utf-8-sig") -> bytes:
     return df.toPandas().to_csv(index=False, lineterminator="\r\n").encode(encoding, "replace")
 
 
+def download_files(final: DataFrame, validation: DataFrame, review: DataFrame, outputs: dict[str, DataFrame]) -> dict[str, bytes]:
+    """The files that a person takes from a run: three tables as UTF-8 with a mark, and the four setting files."""
+    flat = final.select(*[c for c, t in final.dtypes if not t.startswith(("array", "struct", "map"))])
+    tables = {"decision_detail": flat, "upload_validation": validation, "review": review}
+    return {f"{n}.csv": csv_bytes(t) for n, t in tables.items()} | {f"{n}.csv": setting_csv(t) for n, t in outputs.items()}
+
+
+def write_graph(path: str, nodes: DataFrame, edges: DataFrame, terms: DataFrame | None = None) -> None:
+    """A graph's nodes and edges, and the terms beside it, as folders of CSV under the path."""
+    for name, table in (("nodes", nodes), ("edges", edges), ("terms", terms)):
+        if table is not None:
+            write_csv(table.select(*[F.array_join(c, "|").alias(c) if t == "array<string>" else F.col(c) for c, t in table.dtypes]), f"{path.rstrip('/')}/{name}")
+
+
 def setting_csv(rows: DataFrame) -> bytes:
     """Setting rows in the layout and encoding that the marketplace takes."""
     names = {n: c for c, n in SETTING_COLUMNS.items()}
@@ -51,6 +65,7 @@ TEMPLATES = {
         "item_max_cpc": "100", "stock_qty": "100", "product_status": "ACTIVE", "launch_date": "2020-01-01", "role": "PROFIT",
     },
 }
+#: The columns that an input must have, those that are numbers, and those that are dates.
 REQUIRED = {"performance": {"platform", "entity_type", "product_id", "clicks", "cost", "sales_attr", "orders_attr", "period_start", "period_end"}, "settings": {"商品管理番号", "商品CPC"}, "product_master": {"product_id", "gross_margin_rate"}}
 NUMBERS = {"registered_bid", "impressions", "clicks", "cost", "actual_cpc", "sales_short", "orders_short", "sales_attr", "orders_attr", "ctr_pct", "価格", "商品CPC", "キーワードCPC", "目安CPC", "gross_margin_rate", "other_promo_cost_rate", "item_min_cpc", "item_max_cpc", "stock_qty"}
 DATES = {"period_start", "period_end", "launch_date"}

@@ -7,10 +7,10 @@ import json
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidweave.schema import STATE_TABLES, Policy
+from bidweave.schema import KEYS, STATE_TABLES, Policy
 
 #: A ZIP is for exchange with people: larger tables stay in the store.
 MOST_ROWS = 200_000
@@ -45,10 +45,12 @@ class StateStore:
         self._ready(name, rows).write.parquet(f"{self.path}/{name}/version={self.version(name) + 1}")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """More rows for the last version, in order after all that it has."""
+        """More rows for the last version, in order after all that it has; those of one key among themselves by their values."""
         top = self.read(name).agg(F.coalesce(F.max("ord"), F.lit(0)).alias("top"))
+        keys = [k for k in KEYS if k in rows.columns]
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sorted(c for c in rows.columns if c not in keys))) if keys else F.lit(1)
         # One row.
-        new = rows.crossJoin(top).withColumn("ord", F.col("top") + 1).drop("top")
+        new = rows.crossJoin(top).withColumn("ord", F.col("top") + place).drop("top")
         self._ready(name, new).write.mode("append").parquet(f"{self.path}/{name}/version={max(self.version(name), 1)}")
 
 

@@ -1,11 +1,13 @@
 """The queries against their SQL, over the smallest tables."""
 
 import math
+from functools import lru_cache
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from bidweave.plans import queries
 from bidweave.plans.catalogue import ORACLES, QUERIES
 from bidweave.sources.files import kind_of
 
@@ -32,6 +34,15 @@ def canonical(columns, rows):
     return sorted(columns), sorted(tuple(value(r[i]) for i in order) for r in rows)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared():
+    """Entities and decisions are written once for all queries of this module, not once a query."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("entities", "decided"):
+            patch.setattr(queries, name, lru_cache(getattr(queries, name)))
+        yield
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)

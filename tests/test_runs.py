@@ -124,10 +124,28 @@ def test_command_line(spark, inputs, capsys):
     runner.main(["--reports", f"{root}/reports", "--settings", f"{root}/settings", "--product-master", f"{root}/master", "--state", f"{root}/state", "--out-dir", f"{root}/out", "--as-of", "2026-07-10T00:00:00"])
     profile = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert profile["rows"] == 1 and sum(profile["statuses"].values()) == 1
-    assert (root / "out/item_full").is_dir() and (root / "out/upload_validation").is_dir()
+    assert (root / "out/item_full").is_dir() and (root / "out/upload_validation").is_dir() and (root / "out/network/edges").is_dir()
 
 
 def test_master_defaults_and_rates(spark):
     raw = spark.createDataFrame([("P1", "35", "", 1), ("P1", "0.5", "", 2), ("P2", "", "", 3)], "product_id string, gross_margin_rate string, category string, ord int")
     rows = {r["product_id"]: r for r in ingest.normalise_master(raw).collect()}
     assert rows["P1"]["gross_margin_rate"] == 0.5 and rows["P2"]["gross_margin_rate"] is None and rows["P2"]["category"] == "UNKNOWN" and rows["P2"]["other_promo_cost_rate"] == 0.0
+
+
+def test_rows_of_one_run_are_ordered_within_their_key(spark, tmp_path):
+    store, schema = StateStore(spark, f"{tmp_path}/state"), STATE_TABLES["applied_settings"]
+    rows = spark.createDataFrame([("rakuten", "ITEM", p, "", cpc, "ACTIVE", datetime(2026, 7, 1), "BASE", "run_1") for p, cpc in (("P1", 35.0), ("P1", 36.0), ("P2", 1.0))], schema)
+    store.append("applied_settings", rows)
+    store.append("applied_settings", rows.where("applied_cpc = 35"))
+    found = store.read("applied_settings")
+    assert [(r["ord"], r["applied_cpc"]) for r in found.where("product_id = 'P1'").orderBy("ord").collect()] == [(1, 35.0), (2, 36.0), (3, 35.0)]
+    assert {r["product_id"]: r["state_applied_cpc"] for r in state.latest_applied(found).collect()} == {"P1": 35.0, "P2": 1.0}
+
+
+def test_download_files(spark):
+    row = spark.createDataFrame([("S1", "x")], "product_id string, note string")
+    setting = spark.createDataFrame([("u", "S1", "名", "1", "u", "30", "", "", "")], "control string, product_id string, product_name string, price string, url string, item_cpc string, keyword string, keyword_cpc string, guide_cpc string")
+    found = sinks.download_files(row, row, row, {"item_full": setting})
+    assert set(found) == {"decision_detail.csv", "upload_validation.csv", "review.csv", "item_full.csv"}
+    assert found["review.csv"].startswith(b"\xef\xbb\xbf") and "名" in found["item_full.csv"].decode("cp932")
