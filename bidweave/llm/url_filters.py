@@ -1,8 +1,8 @@
 """URL filters: host-suffix and path-prefix expressions, short hash prefixes, full digests, rule precedence.
 
-Each URL becomes the expressions `host suffix + path prefix` that some rule could have. Expressions meet the rules in an
-equi-join on the first hexadecimal digits of their SHA-256 digests; equal full digests confirm a meeting, and the most
-specific confirmed rule decides.
+Each URL becomes its host's suffixes, which meet the rules' hosts, and for each host that is met its path's prefixes of the
+lengths that this host's rules have. Hosts, and expressions of a host suffix and a path prefix, meet in equi-joins on the first
+hexadecimal digits of their SHA-256 digests; equal full digests confirm a meeting, and the most specific confirmed rule decides.
 """
 
 from __future__ import annotations
@@ -34,6 +34,11 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
+def joint_digest(host: Column, path: Column) -> Column:
+    """Of both, with the host's length in front, so that no other host and path are the same text."""
+    return F.sha2(F.concat(F.length(host).cast("string"), F.lit(":"), host, path), 256)
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", prefix_digits: int = 8) -> DataFrame:
     """One row (id, host, path, rule, verdict) for each row of pages.
 
@@ -43,41 +48,41 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     with an empty host fit. Repeated pages give repeated rows; rules with a null host, path or verdict are ignored;
     other columns of pages and rules, whatever their names, are left out.
     """
-    key = F.sha2(F.concat_ws("\n", "host", "path"), 256)
     urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rules = rules.select(lower_ascii(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna().distinct()
-    # The shapes that rules have: their hosts' label counts and their paths' lengths. Few, however many rules there are.
-    shapes = [tuple(r) for r in rules.select(F.size(F.split("r_host", r"\.")), F.length("r_path")).distinct().collect()]
-    if not shapes:
-        return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-
-    rules = rules.select(
-        F.sha2(F.concat("r_host", "r_path"), 256).alias("r_digest"),
-        F.concat("r_host", "r_path").alias("rule"),
-        "r_verdict",
+    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+
+    def sized(df: DataFrame) -> DataFrame:
+        """Broadcast where there are few rules."""
+        return F.broadcast(df) if small else df
+
+    def met(df: DataFrame, table: DataFrame, digest: Column) -> DataFrame:
+        """df joined by the digest's first digits to the table (with r_digest), where full digests are equal."""
+        both = df.withColumn("digest", digest).withColumn("prefix", F.substring("digest", 1, prefix_digits))
+        found = both.join(sized(table.withColumn("r_prefix", F.substring("r_digest", 1, prefix_digits))), F.col("prefix") == F.col("r_prefix"))
+        return found.where(F.col("digest") == F.col("r_digest")).drop("digest", "prefix", "r_digest", "r_prefix")
+
+    # A host's rules have as many lengths of paths as are written here, however many rules there are in all.
+    hosts = rules.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")).select(F.sha2("r_host", 256).alias("r_digest"), "lengths")
+    full = rules.select(
+        joint_digest(F.col("r_host"), F.col("r_path")).alias("r_digest"), F.concat("r_host", "r_path").alias("rule"), "r_verdict",
         F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), (F.col("r_verdict") == "block").cast("int"), F.concat("r_host", "r_path")).alias("rank"),
-    ).withColumn("r_prefix", F.substring("r_digest", 1, prefix_digits))
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        rules = F.broadcast(rules)
-
-    labels = F.size(F.split("host", r"\."))
-    expressions = F.array_compact(F.array(*[
-        F.when((labels >= depth) & (F.length("path") >= length), F.concat(F.substring_index("host", ".", -depth), F.substring("path", 1, length)))
-        for depth, length in sorted(shapes)
-    ]))
+    )
+    # A host itself, and what follows each of its dots; a rule's empty host fits empty hosts and those that end with a dot.
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda depth: F.array_join(F.slice(labels, -depth, depth), "."))
     # Equal URLs are judged once, so a host or URL that holds many rows costs no more than another.
+    expanded = met(urls.select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix")), hosts, F.sha2("suffix", 256))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    expressions = expanded.select("host", "path", "suffix", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("beginning"))
     judged = (
-        urls.select("host", "path").distinct()
-        .select("host", "path", F.explode(F.array_distinct(expressions)).alias("expression"))
-        .withColumn("digest", F.sha2("expression", 256))
-        .withColumn("prefix", F.substring("digest", 1, prefix_digits))
-        .join(rules, F.col("prefix") == F.col("r_prefix"))
-        .where(F.col("digest") == F.col("r_digest"))
+        met(expressions, full, joint_digest(F.col("suffix"), F.col("beginning")))
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", "r_verdict"), "rank").alias("best"))
-        .select(key.alias("url_key"), "best")
+        .select(joint_digest(F.col("host"), F.col("path")).alias("url_key"), "best")
     )
-    return urls.withColumn("url_key", key).join(judged, "url_key", "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
+    keyed = urls.withColumn("url_key", joint_digest(F.col("host"), F.col("path")))
+    return keyed.join(judged, "url_key", "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules that the query applies.

@@ -31,6 +31,21 @@ def test_against_brute_force(spark, monkeypatch, limit):
     assert rows == {i: _brute(u, rules) for i, u in enumerate([*URLS, URLS[0]])}
 
 
+def test_host_and_path_are_told_apart(spark):
+    """A rule whose host and path only together read like a URL's does not fit it."""
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://a.ne/t/x")], "page_id long, url string")
+    rules = rule_table(spark, [("a.ne", "t/", "block"), ("a.n", "et/x", "block")])
+    assert {r["verdict"] for r in judge_urls(pages, rules).collect()} == {"allow"}
+
+
+def test_many_shapes_of_rules(spark):
+    rules = [("x" + "." + "y." * (i % 9) + "net", "/" + "p" * i, "block" if i % 2 else "allow") for i in range(400)]
+    urls = ["http://" + "z." * (i % 3) + "x." + "y." * (i % 9) + "net/" + "p" * (i * 7 % 450) for i in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r["page_id"]: tuple(r)[1:] for r in judge_urls(pages, rule_table(spark, rules)).collect()}
+    assert rows == {i: _brute(u, rules) for i, u in enumerate(urls)}
+
+
 def test_no_rules_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")] * 2, "page_id long, url string")
     empty = rule_table(spark, [("a.net", "/", "block")]).limit(0)
