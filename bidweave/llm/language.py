@@ -18,26 +18,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidweave.llm.bpe import blocks
-from bidweave.llm.quality import remainder
+from bidweave.llm.quality import remainder, within
 from bidweave.llm.subwords import WordSums, bag
 
 SIZES, BUCKETS, SCALE = (1, 2, 3), 1 << 15, 30.0
-#: The most documents of a language that a fit takes, and the longest text among them, in characters.
-SAMPLE, LONGEST = 600, 20_000
+#: About as many documents of a language a fit takes, and the characters of text that all may have together.
+SAMPLE, CHARS = 600, 24_000_000
 #: Families by ISO 639-1 code. A language not named here is a family of its own.
 FAMILIES = {
-    "germanic": "af da de en is nb nl nn no sv yi",
-    "romance": "ca es fr gl it la oc pt ro",
-    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
-    "baltic": "lt lv",
-    "uralic": "et fi hu",
-    "turkic": "az kk ky tr uz",
-    "indic": "bn gu hi mr ne pa ur",
-    "dravidian": "kn ml ta te",
-    "semitic": "ar he mt",
-    "malayic": "id ms",
+    "germanic": ["af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv", "yi"],
+    "romance": ["ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"],
+    "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "baltic": ["lt", "lv"],
+    "uralic": ["et", "fi", "hu"],
+    "turkic": ["az", "kk", "ky", "tr", "uz"],
+    "indic": ["bn", "gu", "hi", "mr", "ne", "pa", "ur"],
+    "dravidian": ["kn", "ml", "ta", "te"],
+    "semitic": ["ar", "he", "mt"],
+    "malayic": ["id", "ms"],
 }
-FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 UNKNOWN = "und"
 _letter = regex.compile(r"\p{L}").search
 
@@ -124,20 +124,27 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 6, strength: float
     return LanguageModel(languages, families, pairs, WordSums(table, SIZES, False, True), np.array([c[1] for c in columns]), np.array([c[2] for c in columns]))
 
 
-def train(docs: DataFrame, *, use: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fits on about `sample` documents a language, of those with a language and a text of up to LONGEST characters where `use` holds.
+def train(docs: DataFrame, *, use: Column | None = None, sample: int = SAMPLE, chars: int = CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fits on about `sample` whole documents a language, of those with a language and a text where `use` holds.
 
-    They are drawn by a hash of the id, at a rate for each language that follows its count.
+    They are drawn by a hash of the id, at a rate for each language that follows its count, with up to `chars` characters in
+    all, evenly over the languages; a language's first document is taken whatever its length. Of rows of one language with one
+    id (or none) one is learnt from.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST) & (F.lit(True) if use is None else use))
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if use is None else use))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], [])
     rate = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, sample / n))])
-    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)
-    rows = known.where(drawn).limit(2 * sample * len(counts)).collect()
-    rows.sort(key=lambda r: (r["lang"], str(r["id"]), r["text"]))
+    place = F.xxhash64(F.col("id"), F.lit("language"))
+    drawn = known.where(F.pmod(place, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    found = drawn.groupBy("lang", "id").agg(F.max(F.length("text")).alias("length"), F.first(place).alias("place")).collect()
+    ids = within([((r["lang"], r["id"]), r["lang"], r["length"]) for r in sorted(found, key=lambda r: (r["place"], str(r["id"]), r["lang"]))], chars)
+    # About `sample` rows a language.
+    chosen = F.broadcast(docs.sparkSession.createDataFrame([tuple(x) for x in ids], T.StructType([T.StructField("l", known.schema["lang"].dataType), T.StructField("i", known.schema["id"].dataType)])))
+    rows = drawn.join(chosen, (F.col("lang") == F.col("l")) & F.col("id").eqNullSafe(F.col("i"))).groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["lang"], str(r["id"])))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -160,7 +167,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose language is known with at least that score."""
+    """The rows of docs, with all columns, whose language is known with at least that score, each by its whole text alone.
+
+    Texts that are null or have no letter go. Repeated rows stay or go together; an empty table stays empty; other columns may
+    have any names.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,8 @@ from bidweave.llm.bpe import blocks
 from bidweave.llm.subwords import WordSums, bag
 
 SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 16, 16
-#: The most labelled documents that a fit takes, and the longest text among them, in characters.
-SAMPLE, LONGEST = 3000, 60_000
+#: The most labelled documents that a fit takes, and the characters of text that they may have together.
+SAMPLE, CHARS = 3000, 24_000_000
 
 
 @dataclass(frozen=True)
@@ -65,22 +65,36 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 8, rate: float = 0
     return QualityModel(WordSums(table, SIZES, True, False), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, use: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fits on up to `sample` documents that have a label of 0 or 1 (the least, of several) and where `use` holds.
+def within(drawn: list[tuple[int, object, int]], chars: int) -> list[int]:
+    """Of drawn (id, class, length), the ids that come first in each class until its share of the characters is used up.
 
-    The sample is drawn by a hash of the id, from texts of up to LONGEST characters; nothing else of docs is read.
+    The first of a class is always among them, however long it is.
+    """
+    share, used, kept = chars // max(1, len({c for _, c, _ in drawn})), {}, []
+    for i, c, n in drawn:
+        if c not in used or used[c] + n <= share:
+            used[c] = used.get(c, 0) + n
+            kept.append(i)
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, *, use: Column | None = None, sample: int = SAMPLE, chars: int = CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Fits on up to `sample` whole documents that have a text, a label of 0 or 1 (the least, of several), and where `use` holds.
+
+    They are drawn by a hash of the id, with up to `chars` characters in all, evenly over the labels; a label's first document
+    is taken whatever its length. Nothing but texts and labels is read. Of rows with one id one text is learnt from.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (F.lit(True) if use is None else use))
-    marked = marked.groupBy(id_col).agg(F.min(label_col).alias("label"))
-    # Drawn before the join, so what is broadcast has `sample` rows at most.
-    drawn = marked.orderBy(F.xxhash64(F.col(id_col), F.lit("quality")), id_col).limit(sample)
-    rows = (
-        docs.select(id_col, text_col).where(F.length(text_col) <= LONGEST)
-        .join(F.broadcast(drawn), id_col).select(id_col, text_col, "label")
-        .dropDuplicates([id_col]).collect()
-    )
+    there = docs.where(F.col(text_col).isNotNull()).select(id_col, F.length(text_col).alias("__length"))
+    drawn = there.join(marked.select(id_col, F.col(label_col).alias("__label")), id_col).groupBy(id_col).agg(F.min("__label").alias("label"), F.max("__length").alias("length"))
+    drawn = [tuple(r) for r in drawn.orderBy(F.xxhash64(F.col(id_col), F.lit("quality")), id_col).limit(sample).collect()]
+    of = {i: label for i, label, _ in drawn}
+    ids = within([(i, label, n) for i, label, n in drawn], chars)
+    # At most `sample` ids.
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([docs.schema[id_col]]))
+    rows = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(text_col).alias("text")).collect() if ids else []
     rows.sort(key=lambda r: r[0])
-    return fit([r[1] for r in rows], [int(r[2]) for r in rows])
+    return fit([r[1] for r in rows], [int(of[r[0]]) for r in rows])
 
 
 def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +113,11 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that score at least that much."""
+    """The rows of docs, with all columns, that score at least that much, each by its whole text alone.
+
+    Null and empty texts and those without words have the score of the bias: all of them stay, or none. Repeated rows stay or
+    go together; an empty table stays empty; other columns may have any names.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
