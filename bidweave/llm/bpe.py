@@ -26,7 +26,7 @@ from bidweave.llm.memory import Memory
 KEPT = 250_000
 #: Characters of text that are worked on at a time.
 BLOCK = 4_000_000
-#: Latin letters and ASCII marks after them, but the apostrophe: two words, or one, by any such tokenizer's pattern.
+#: Latin letters and ASCII marks after them, but the apostrophe: two words, or one, by the published pattern.
 LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
 
@@ -131,11 +131,12 @@ class Encoder:
     """Encodes texts, with a memory of words and of the stretches between single spaces.
 
     No match of the pattern crosses a single space between two other characters that aren't white space, but begins with
-    it. So a text's ids are those of its stretches; texts with other white space beside a space are cut by the pattern.
+    it. So a text's ids are those of its stretches; texts with other white space beside a space are cut by the pattern. This
+    holds for the published pattern; by another one every text is cut as a whole.
     """
 
     def __init__(self, replay: MergeReplay, pattern: str):
-        self.replay = replay
+        self.replay, self.stretches = replay, pattern == public_tokenizers.PATTERN
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.words = Memory(KEPT)
         #: The stretches that begin a text, and those after a space (kept without it). None: to be cut by the pattern.
@@ -155,6 +156,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
+        if not self.stretches:
+            cut = [self.find(t) for t in texts]
+            self.learn({w for words in cut for w in words})
+            return [b"".join(map(self.words.__getitem__, words)) for words in cut]
         heads, rests = set(), set()
         for text in texts:
             head, *rest = text.split(" ")
