@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion on the histogram of lengths.
 
 Documents of one length are interchangeable, so the problem is its histogram: as many counts as the capacity, however many
-documents there are. Branch and bound runs on that: it fills bins around the largest length left with undominated fillings,
-applies a filling as often as the counts allow, prunes by the waste that a better solution may still have, and keeps best-fit
-solutions as incumbents. Spark counts the lengths, numbers the pieces of each length, and hands out the places.
+documents there are. Branch and bound runs on that: it fills bins around the largest length left with undominated fillings, prunes by the
+waste that a better solution may still have, and keeps best-fit solutions as incumbents. How widely it searches is the
+caller's choice: all undominated fillings, or the fullest of them. Spark counts the lengths, numbers the pieces of each length, and hands out the places.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -237,11 +239,44 @@ def fillings(counts: np.ndarray, space: int, width: int) -> list[tuple[int, ...]
     return kept or [(int(there[-1]),)]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 6000, width: int = 8) -> Plan:
-    """Fillings and how often each is used, for all of counts, in as few bins as found.
+def every_filling(counts: np.ndarray, space: int) -> list[tuple[int, ...]]:
+    """All undominated fillings of the space by lengths that counts has, the fullest first: exact, for short histograms."""
+    there = [int(x) for x in np.flatnonzero(counts[: space + 1]) if x][::-1]
+    full: list[tuple[int, ...]] = []
 
-    nodes bounds the branching and width the fillings tried at a node; the best solution by then is returned, which is
-    optimal if it meets the bound by total length or if the search ended by itself.
+    def extend(at: int, items: tuple[int, ...], room: int) -> None:
+        if at == len(there):
+            # What still fits makes a filling that dominates this one.
+            if not any(x <= room and items.count(x) < counts[x] for x in there):
+                full.append(items)
+            return
+        x = there[at]
+        for n in range(min(int(counts[x]), room // x), -1, -1):
+            extend(at + 1, items + (x,) * n, room - n * x)
+
+    extend(0, (), space)
+    kept: list[tuple[int, ...]] = []
+    for f in sorted(full, key=lambda f: (-sum(f), len(f), tuple(-x for x in f))):
+        if not any(dominates(k, f) for k in kept):
+            kept.append(f)
+    return kept or [()]
+
+
+class Search(NamedTuple):
+    """Fillings and how often each is used, their number of bins, what no packing goes below, and whether none is better."""
+
+    plan: Plan
+    bins: int
+    bound: int
+    optimal: bool
+
+
+def search(counts: dict[int, int], capacity: int, *, nodes: int | None = 6000, width: int | None = 8) -> Search:
+    """Packs all of counts in as few bins as found.
+
+    nodes bounds the branching (None: until all is searched). width bounds the fillings tried at a node; None tries all that
+    are undominated, each as often as the counts allow and less often. With a width a filling is used as often as possible.
+    So the result is optimal if it meets the bound, or if a search without a width ended by itself; `optimal` says whether.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -251,56 +286,71 @@ def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int = 6000,
     best = best_fit(counts, capacity)
     size = sum(n for _, n in best)
     used: list[tuple[tuple[int, ...], int]] = []
-    bins = 0
-    stack: list[Iterator[tuple[int, ...]]] = []
-    for _ in range(nodes):
+    bins, ended = 0, False
+    stack: list[Iterator[tuple[tuple[int, ...], int]]] = []
+
+    def branches() -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings around the largest length left, with how often each is used."""
+        large = int(np.flatnonzero(left)[-1])
+        left[large] -= 1
+        found = every_filling(left, capacity - large) if width is None else fillings(left, capacity - large, width)
+        left[large] += 1
+        some = [(large, *f) for f in found]
+        most = [min(int(left[x]) // k for x, k in Counter(f).items()) for f in some]
+        return iter([(f, n) for f, m in zip(some, most, strict=True) for n in range(m, 0 if width is None else m - 1, -1)])
+
+    for _ in count() if nodes is None else range(nodes):
         if size == bound:
             break
-        if not rest:
+        if not rest and bins < size:
             best, size = list(used), bins
         # A better solution may waste no more than this; what is left needs its total length at least.
         if rest and bins + -(-rest // capacity) < size:
-            large = int(np.flatnonzero(left)[-1])
-            left[large] -= 1
-            stack.append(iter([(large, *f) for f in fillings(left, capacity - large, width)]))
-            left[large] += 1
+            stack.append(branches())
             used.append(((), 0))
         while stack:
             content, n = used[-1]
             for x in content:
                 left[x] += n
             rest, bins = rest + n * sum(content), bins - n
-            if (content := next(stack[-1], None)) is None:
+            if (branch := next(stack[-1], None)) is None:
                 stack.pop()
                 used.pop()
                 continue
-            need = Counter(content)
-            n = min(int(left[x]) // k for x, k in need.items())
+            content, n = branch
             for x in content:
                 left[x] -= n
             rest, bins = rest - n * sum(content), bins + n
             used[-1] = (content, n)
             break
         else:
+            ended = True
             break
         if len(stack) % 64 == 0 and rest:
             tail = best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity)
             if bins + sum(n for _, n in tail) < size:
                 best, size = [*used, *tail], bins + sum(n for _, n in tail)
-    return best
+    return Search(best, size, bound, size == bound or ended and width is None)
+
+
+def bin_completion(counts: dict[int, int], capacity: int, *, nodes: int | None = 6000, width: int | None = 8) -> Plan:
+    """The plan that `search` finds."""
+    return search(counts, capacity, nodes=nodes, width=width).plan
 
 
-def pack(found: DataFrame, *, capacity: int, id_col: str = "doc_id", slices: int = 256) -> DataFrame:
-    """found with sequence_id and offset: pieces (with their length) in sequences of at most `capacity`.
+def pack(found: DataFrame, *, capacity: int, nodes: int | None = 6000, width: int | None = 8, id_col: str = "doc_id", slices: int = 256) -> DataFrame:
+    """found with sequence_id, offset and least_sequences: pieces (with their length) in sequences of at most `capacity`.
 
-    What reaches the driver is a count for each length: `capacity` rows, however many pieces there are.
+    What reaches the driver is a count for each length: `capacity` rows, however many pieces there are. nodes and width are
+    those of `search`; least_sequences is the number of sequences below which no packing goes, the same in all rows.
     """
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # For each length: the first rank, the first sequence and the offset of its runs of places.
     places: dict[int, list[list[int]]] = {length: [[], [], []] for length in histogram}
     taken: Counter[int] = Counter()
     sequence = 0
-    for content, n in bin_completion(histogram, capacity):
+    result = search(histogram, capacity, nodes=nodes, width=width)
+    for content, n in result.plan:
         at = 0
         for length in content:
             for column, value in zip(places[length], (taken[length], sequence, at), strict=True):
@@ -328,18 +378,18 @@ def pack(found: DataFrame, *, capacity: int, id_col: str = "doc_id", slices: int
 
     kept = found.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, schema)
+    return ranked.mapInPandas(place, schema).withColumn("least_sequences", F.lit(result.bound).cast("long"))
 
 
-def pack_documents(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) for the pieces of every row of docs.
+def pack_documents(docs: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 4096, nodes: int | None = 6000, width: int | None = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences) for the pieces of every row of docs.
 
     A document's ids are the tokenizer's for its whole text (null: empty) and end_id. Up to `capacity` they are one piece;
     more are cut, with a shorter last piece. Pieces fill their sequences without gaps. Repeated rows, with the same id or
     not, are documents of their own; an empty table gives no rows; other columns are left out.
     """
     table = written(pieces(docs, tokenizer=tokenizer, end_id=end_id, capacity=capacity, id_col=id_col, text_col=text_col), "pieces")
-    return pack(table, capacity=capacity, id_col=id_col)
+    return pack(table, capacity=capacity, nodes=nodes, width=width, id_col=id_col)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, *, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,9 +8,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bidweave.llm import bpe, fingerprints, language, packing, quality
+from bidweave.llm import bpe, fingerprints, language, packing, quality, subwords
 from bidweave.llm.memory import Memory
 from tests.llm.conftest import ODD
 
@@ -29,6 +30,15 @@ def test_bpe_is_tiktokens_and_decodes(spark, odd, none):
     assert bpe.decode(bpe.encode(none, ranks=path, pattern=P.PATTERN), ranks=path).count() == 0
 
 
+def test_bpe_of_another_pattern(spark, odd):
+    """Words by white space and single digits: stretches between spaces aren't words of the published pattern's kind."""
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), r"[A-Za-z]+ [a-z]+|\d|\s+|[^\s\d]+"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    reference = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for r in bpe.encode(odd, ranks=path, pattern=pattern).collect():
+        assert r["ids"] == reference.encode_ordinary(dict(ODD)[r["doc_id"]] or "")
+
+
 def test_merges_follow_ranks_where_a_later_merge_makes_a_lower_rank():
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 300, b"ab": 301, b"cd": 290, b"abcd": 280, b"aa": 295, b"aaa": 296}
     replay = bpe.MergeReplay(ranks)
@@ -70,6 +80,43 @@ def test_bin_completion_beats_best_fit():
     assert packing.dominates((50,), (30, 20)) and not packing.dominates((30, 20), (50,))
 
 
+def _fewest(lengths, capacity):
+    """The fewest bins, by putting each length into every bin that it fits."""
+    best = [len(lengths)]
+
+    def put(at, bins):
+        if len(bins) >= best[0]:
+            return
+        if at == len(lengths):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[at] <= capacity and bins[k] not in bins[:k]:
+                put(at + 1, [*bins[:k], bins[k] + lengths[at], *bins[k + 1 :]])
+        put(at + 1, [*bins, lengths[at]])
+
+    put(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_search_of_all_fillings_is_optimal(seed):
+    rng = np.random.default_rng(seed)
+    lengths = sorted(rng.integers(8, 40, 11).tolist(), reverse=True)
+    counts = {int(x): lengths.count(x) for x in lengths}
+    found = packing.search(counts, 50, nodes=None, width=None)
+    assert found.optimal and found.bins == sum(n for _, n in found.plan) == _fewest(lengths, 50) >= found.bound
+    narrow = packing.search(counts, 50, width=1)
+    assert narrow.bins >= found.bins and (not narrow.optimal or narrow.bins == found.bins)
+
+
+def test_a_filling_may_be_used_less_often_than_it_could():
+    """The fullest filling, used as often as it can be, leaves what takes a bin more."""
+    counts = {6: 2, 5: 2, 4: 2, 3: 2, 2: 2}
+    found = packing.search(counts, 10, nodes=None, width=None)
+    assert found.optimal and found.bins == 4 and sorted(x for f, n in found.plan for _ in range(n) for x in f) == sorted([6, 5, 4, 3, 2] * 2)
+
+
 def test_packing(spark, odd, none):
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
@@ -87,7 +134,7 @@ def test_packing(spark, odd, none):
     for parts in bins.values():
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 4096
-    assert len(bins) == -(-sum(w[3] for w in want) // 4096)
+    assert len(bins) == -(-sum(w[3] for w in want) // 4096) == rows[0]["least_sequences"]
     assert packing.pack_documents(none, tokenizer=path).count() == 0
 
 
@@ -154,6 +201,63 @@ def test_quality_learns_and_defines_odd_cases(spark, odd, none):
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_samples_are_bounded_and_take_long_texts(spark):
+    """A label or language that has long texts alone is learnt from them, and rows without a text take no place."""
+    docs = spark.createDataFrame([(i, None if i < 5 else "bad ### " * (3000 if i % 2 else 1), "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "fit", lambda texts, labels: seen.append(sorted(zip(map(len, texts), labels))))
+        patch.setattr(language, "fit", lambda texts, langs: seen.append(sorted(zip(map(len, texts), langs))))
+        quality.train(docs, labels, sample=30, chars=1000)
+        language.train(docs, chars=1000)
+        quality.train(docs, labels, sample=30)
+    assert [c for _, c in seen[0]].count(1) == 1 and [c for _, c in seen[0]].count(0) > 5 and [c for _, c in seen[1]].count("de") == 1
+    assert len(seen[2]) == 30
+
+
+def _naive(texts, table, sizes, whole, lower):
+    """Each text's mean row of the table, n-gram by n-gram."""
+    out = []
+    for text in texts:
+        found = []
+        for w in (text.lower() if lower else text).split():
+            codes = [2, *map(ord, w), 3]
+            for n in sizes:
+                for k in range(len(codes) - n + 1):
+                    h = 0
+                    for c in codes[k : k + n]:
+                        h = (h * int(subwords.BASE) + c) % (1 << 64)
+                    h = (h ^ (h >> 31) ^ n) * int(subwords.MIX) % (1 << 64)
+                    found.append(table[(h >> 33) % len(table)])
+            if whole:
+                found.append(table[zlib.crc32(w.encode(), 1) % len(table)])
+        out.append(np.mean(found, axis=0) if found else np.zeros(table.shape[1]))
+    return np.array(out)
+
+
+def test_predictions_against_n_grams_one_by_one(spark, odd):
+    """Scores and languages of the models, with features counted singly and machines asked one after the other."""
+    docs, labels = _corpus(spark, 120)
+    texts = [r["text"] or "" for r in odd.orderBy("doc_id").collect() if len(r["text"] or "") < 1000] + [r["text"] for r in docs.limit(20).collect()]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.train(docs, labels)
+    means = _naive(texts, model.words.table, quality.SIZES, True, False)[:, 0]
+    got = {r["doc_id"]: r["score"] for r in quality.score(table, model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx((1 / (1 + np.exp(-(means + model.bias)))).tolist(), abs=1e-9)
+    model = language.train(docs)
+    likely = 1 / (1 + np.exp(-(_naive(texts, model.words.table, language.SIZES, False, True) * language.SCALE + model.biases) * model.slopes))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table, model).collect()}
+    for i, text in enumerate(texts):
+        members = model.families[int(np.argmax(likely[i, : len(model.families)]))]
+        votes = dict.fromkeys(members, 0)
+        for c, (a, b) in enumerate(model.pairs):
+            if a in members:
+                votes[a if likely[i, len(model.families) + c] >= 0.5 else b] += 1
+        best = max(members, key=lambda m: votes[m])
+        assert got[i] == (model.languages[best] if any(ch.isalpha() for ch in text) else "und"), text
+
+
 def test_language_learns_and_defines_odd_cases(spark, odd, none):
     docs, _ = _corpus(spark)
     held = quality.remainder("doc_id", 4) == 2
