@@ -10,7 +10,9 @@ cosine in double precision decides. What leaves a list is a count a vector and l
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -22,17 +24,20 @@ from pyspark.sql import functions as F
 from bidweave.llm.components import components, contiguous, roots
 from bidweave.session import written
 
-#: Pivots that are sampled, and nearest ones that describe a vector.
-PIVOTS, NEAREST = 256, 5
+#: The fewest and the most pivots of vectors of one size; between them there is one for every vector's square root.
+PIVOTS, MOST_PIVOTS = 256, 8192
+#: Nearest pivots that describe a vector, by the number of pivots: of random pairs in 64 dimensions at a cosine of 0.90, 0.976
+#: share two of 6 nearest of 256, 0.970 of 7 of 1024, 0.956 of 8 of 4096.
+NEAREST = [(512, 6), (2048, 7), (MOST_PIVOTS, 8)]
 #: Distinct vectors that are drawn for every pivot that is chosen.
 DRAWN = 16
 #: Vectors of a list that one block holds.
 BLOCK = 512
 
 
-def _vector(v: list[float] | None, size: int) -> np.ndarray | None:
-    """In double precision; None if it is null, of another size, zero, or has a null or non-finite component."""
-    if v is None or len(v) != size or any(x is None for x in v):
+def _vector(v: list[float] | None) -> np.ndarray | None:
+    """In double precision; None if it is null, zero, or has a null or non-finite component."""
+    if v is None or any(x is None for x in v):
         return None
     a = np.array(v, np.float64) + 0.0
     return a if np.isfinite(a).all() and a.any() else None
@@ -65,10 +70,15 @@ def _pairs(nearest: np.ndarray) -> np.ndarray:
     return np.stack([nearest[:, i].astype(np.int64) << 32 | nearest[:, j] for i, j in combinations(range(nearest.shape[1]), 2)], axis=1)
 
 
+def _alone(nearest: np.ndarray) -> np.ndarray:
+    """The list of a single pivot."""
+    return nearest[:, 0].astype(np.int64) << 32 | nearest[:, 0]
+
+
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For rows of ascending pivots: the list of the two smallest that both have, which exist. With one pivot there is one list."""
     if a.shape[1] < 2:
-        return np.zeros(len(a), np.int64)
+        return _alone(a)
     shared = (a[:, :, None] == b[:, None, :]).any(axis=2)
     order = np.argsort(~shared, axis=1, kind="stable")[:, :2]
     first = np.take_along_axis(a, order, axis=1).astype(np.int64)
@@ -107,38 +117,59 @@ def _judged(lists: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.Re
             yield pa.RecordBatch.from_pandas(out, pa.schema([("node", pa.int64()), ("linked", pa.int64()), ("other", pa.int64())]), preserve_index=False)
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int = PIVOTS, nearest: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+@dataclass(frozen=True)
+class Points:
+    """The pivots of vectors of one size, their first number, and how many nearest ones describe a vector."""
+
+    points: np.ndarray
+    first: int
+    nearest: int
+
+
+def _index(rows: DataFrame, threshold: float, pivots: int | None, nearest: int | None) -> dict[int, Points]:
+    """Pivots for each size of vectors, from DRAWN distinct ones a pivot. Their numbers differ, so lists hold one size alone."""
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    there = rows.where(fine)
+    sizes = {r["size"]: r["n"] for r in there.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).collect()}
+    index, first = {}, 0
+    for size, n in sorted(sizes.items()):
+        most = pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n)))
+        sample = there.where(F.size("vector") == size).select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(DRAWN * most).toArrow()
+        points = _spread(_unit(np.array(sample.column("vector").combine_chunks().flatten()).reshape(-1, size)), most, threshold)
+        index[size] = Points(points, first, min(len(points), nearest or next(k for top, k in NEAREST if len(points) <= top)))
+        first += len(points)
+    return index
+
+
+def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int | None = None, nearest: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for each row of vectors.
 
-    Rows are linked where their cosine is at least the threshold, of those that share two of their nearest pivots; equal
-    vectors always are. n_links counts the other rows linked directly, component_id is the smallest id that links lead to,
-    and kept marks the row whose id that is. Vectors that are null, zero, of another size than most, or hold null or
-    non-finite components link with nothing. Ids are unique 64-bit integers; repeated rows count as copies of each other.
-    An empty table gives no rows; other columns are left out. What reaches the driver is DRAWN * pivots vectors. Outside
-    dense groups a list has about a vector in pivots ** 2 / nearest ** 2, so pivots should grow with the square root of the
-    number of vectors. A dense group shares its lists, so all its pairs are compared, as n_links counts them.
+    Rows of one size are linked where their cosine is at least the threshold, of those that share two of their nearest pivots;
+    equal vectors always are. n_links counts the other rows linked directly, component_id is the smallest id that links lead
+    to, and kept marks the row whose id that is. Vectors that are null, zero, or hold null or non-finite components link with
+    nothing. Ids are unique 64-bit integers; repeated rows count as copies of each other. An empty table gives no rows; other
+    columns are left out. Each size of vectors has its own pivots, as many as the square root of its vectors, from PIVOTS to
+    MOST_PIVOTS, if their number isn't given. What reaches the driver is DRAWN vectors a pivot. Outside dense groups a list
+    has about a vector in pivots ** 2 / nearest ** 2. A dense group shares its lists, so all its pairs are compared, as n_links
+    counts them; a pair that meets in several lists counts in the first, and to know which costs more than to multiply.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    sizes = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    size = sizes[0]["size"] if sizes else 1
-    fine = (F.size("vector") == size) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    sample = rows.where(fine).select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(DRAWN * pivots).toArrow()
-    drawn = np.array(sample.column("vector").combine_chunks().flatten()).reshape(-1, size)
-    points = _spread(_unit(drawn), pivots, threshold) if len(drawn) else drawn
-    k = min(nearest, len(points))
+    index = _index(rows, threshold, pivots, nearest)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                found = [_vector(v, size) for v in part.column(1).to_pylist()]
-                there = [i for i, v in enumerate(found) if v is not None]
+                found = [_vector(v) for v in part.column(1).to_pylist()]
                 digests, packed, near = ([None] * len(found) for _ in range(3))
-                if there:
+                for size, of in index.items():
+                    there = [i for i, v in enumerate(found) if v is not None and len(v) == size]
+                    if not there:
+                        continue
                     x = np.stack([found[i] for i in there])
-                    # The k nearest pivots, by cosine and then number; kept in ascending order of their numbers.
-                    order = np.sort(np.argsort(-(_unit(x) @ points.T), axis=1, kind="stable")[:, :k], axis=1).astype(np.int32)
+                    # The nearest pivots, by cosine and then number; kept in ascending order of their numbers.
+                    order = (np.sort(np.argsort(-(_unit(x) @ of.points.T), axis=1, kind="stable")[:, : of.nearest], axis=1) + of.first).astype(np.int32)
                     for i, v, o in zip(there, x, order, strict=True):
                         digests[i], packed[i], near[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), v.tobytes(), o.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.binary()) for c in (digests, packed, near))], names=["id", "digest", "vector", "nearest"])
@@ -149,9 +180,13 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int = PI
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.stack([np.frombuffer(v.as_buffer(), np.int32) for v in batch.column(1)]) if len(batch) else np.zeros((0, k), np.int32)
-            keys = _pairs(near) if k > 1 else np.zeros((len(batch), 1), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["node", "key"])
+            near = [np.frombuffer(v.as_buffer(), np.int32) for v in batch.column(1)]
+            sizes = np.array([len(x) for x in near], np.int64)
+            for k in np.unique(sizes):
+                rows = np.flatnonzero(sizes == k)
+                some = np.stack([near[i] for i in rows])
+                keys = _pairs(some) if k > 1 else _alone(some)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[rows], keys.shape[1])), pa.array(keys.ravel())], names=["node", "key"])
 
     lists = classes.select("node", "nearest").mapInArrow(listed, "node long, key long")
     long = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("list"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
