@@ -159,6 +159,52 @@ def test_pivot_links_inside_a_large_group(spark):
     assert recall([group(300, 0.97)]) == [1.0]
 
 
+@pytest.mark.parametrize("cosine", [0.901, 0.92])
+def test_pivot_recall_near_the_threshold(spark, cosine):
+    """Pairs of random directions just inside the threshold, among as many other vectors."""
+    rng = np.random.default_rng(17)
+    a = rng.normal(size=(1200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n = rng.normal(size=a.shape)
+    n -= (n * a).sum(axis=1, keepdims=True) * a
+    b = cosine * a + math.sqrt(1 - cosine**2) * n / np.linalg.norm(n, axis=1, keepdims=True)
+    rows = np.concatenate([a, b, rng.normal(size=(1200, 64))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    linked = pivots.near_vectors(table).where("n_links > 0").count()
+    assert linked / 2400 >= 0.93
+
+
+def test_vectors_of_every_size_are_linked(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(30)] + [(100, [1.0, 2.0]), (101, [2.0, 4.1]), (102, [-1.0, 0.5]), (200, [3.0]), (201, [5.0]), (202, [-3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_vectors(table).collect()}
+    assert [found[i] for i in (100, 101, 102, 200, 201, 202)] == [(1, 100), (1, 100), (0, 102), (1, 200), (1, 200), (0, 202)]
+
+
+@pytest.mark.parametrize("each", [0, 2])
+def test_a_band_of_many_clusters_loses_no_link(spark, monkeypatch, each):
+    """Half of all words are common to all documents, so bands hold many clusters, in blocks of few classes."""
+    monkeypatch.setattr(minhash, "SKETCHES", 4)
+    monkeypatch.setattr(minhash, "EACH", each)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(120)]
+    docs = {}
+    for k in range(36):
+        own = [f"o{k // 3}x{i}" for i in range(40)]
+        for at in rng.choice(40, k % 3 * 6, replace=False):
+            own[at] = f"e{k}y{at}"
+        docs[k] = " ".join(common + own)
+    sets = {i: _set(t, 2) for i, t in docs.items()}
+    links = [(a, b) for a in docs for b in docs if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = _joined(docs, links)
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert 1 < len(set(want.values())) < 36
+    for least in (0.62, None):
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(table, shingle=2, least_estimate=least).collect()} == want
+
+
 def _katz(docs, train):
     """Scores by definition, and the probability function."""
     tokens = {i: [*_words(t), "</s>"] for i, t in docs}
