@@ -175,8 +175,11 @@ class Pairs:
         history = np.concatenate([[start], self.tokens[:-1]])
         history[(stops - self.ends)] = start
         self.history = history
-        # Pairs with an unknown word are none of the table's.
+        # Pairs with an unknown word are none of the table's; but a known history that has no others asks for its weight by them.
         known = (self.count[history] > 0) & (self.count[self.tokens] > 0)
+        asked = np.zeros(start + 1, bool)
+        asked[history[known]] = True
+        known |= (self.count[history] > 0) & ~asked[history]
         keys, place = np.unique(history[known] * (start + 1) + self.tokens[known], return_inverse=True)
         self.of = np.full(len(self.tokens), -1)
         self.of[known] = place
