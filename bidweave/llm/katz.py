@@ -5,8 +5,8 @@ backoff weights that make every history's probabilities sum to 1. Unseen words a
 
 Documents are tokenised once, into blocks. A block asks for the counts of its distinct words, then for those of its distinct
 word pairs; the words, and the pairs by history, are dealt out to partitions, each of which adds up what all blocks say of
-its keys and answers each block. So the tables of counts are never in one place, and what moves is the distinct keys of a
-block in packed arrays. Pairs of a history too common for one partition are salted over several, whose sums are few.
+its keys and answers each block. There are as many partitions as tokens ask for, so the tables of counts are never in one
+place, and what moves is the distinct keys of a block in packed arrays. Pairs of a history too common for one partition are salted over several, whose sums are few.
 """
 
 from __future__ import annotations
@@ -33,7 +33,11 @@ END = 1
 K = 5
 #: A history with more than this part of a partition's share of tokens is salted.
 PART = 8
-BLOCK = 8_000_000
+#: Characters of a block, and tokens whose distinct words or pairs one partition adds up. Both hold at every size of a corpus, so
+#: that it is the number of blocks and of partitions that grows.
+BLOCK, TOKENS = 8_000_000, 2_000_000
+#: The most tasks that blocks are dealt to.
+TASKS = 50_000
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -139,7 +143,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [(context.partitionId() << 32) + number], [pack(np.array(ids.fill_null(0).to_pylist(), np.int64))], [pack(np.array(ids.is_null().to_pylist(), np.uint8))], [pack(train.astype(np.uint8))],
                 [pack(np.array(ends, np.uint32))], [pack(words[order])], [pack(learnt.astype(np.uint32))], [pack(tokens)],
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["block", "ids", "nulls", "train", "ends", "words", "learnt", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:]), pa.array([len(tokens)], pa.int64())], names=["block", "ids", "nulls", "train", "ends", "words", "learnt", "tokens", "size"])
             number += 1
 
 
@@ -226,10 +230,10 @@ def katz_scores(docs: DataFrame, *, use: Column, id_col: str = "doc_id", text_co
     false. Repeated rows are learnt from and scored each; without training rows all is unknown, at probability 1; an
     empty table gives no rows; other columns are left out. ids are 64-bit integers.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(use, F.lit(False)).alias("use"), F.col(text_col).alias("text"))
-    table = written(rows.mapInArrow(_tokenised, "block long, ids binary, nulls binary, train binary, ends binary, words binary, learnt binary, tokens binary"), "blocks")
+    table = written(rows.mapInArrow(_tokenised, "block long, ids binary, nulls binary, train binary, ends binary, words binary, learnt binary, tokens binary, size long"), "blocks")
+    size = table.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"), F.count("*").alias("blocks")).first()
+    parts, tasks = 1 + size["tokens"] // TOKENS, min(TASKS, max(1, size["blocks"]))
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,11 +257,12 @@ def katz_scores(docs: DataFrame, *, use: Column, id_col: str = "doc_id", text_co
         return pd.concat([out, pd.DataFrame({"block": [-1], "part": [part], "counts": [None], "numbers": [None], "state": [state]})])
 
     asked = table.select("block", "words", "learnt").mapInArrow(ask_words, "part long, block long, words binary, learnt binary")
-    counted = written(asked.groupBy("part").applyInPandas(count_words, "block long, part long, counts binary, numbers binary, state array<long>"), "words")
+    counted = written(asked.repartition(parts, "part").groupBy("part").applyInPandas(count_words, "block long, part long, counts binary, numbers binary, state array<long>"), "words")
     states = [r["state"] for r in counted.where("block < 0").select("state").collect()]
     state = np.array(states).sum(axis=0) if states else np.zeros(K + 4, np.int64)
     words = Words.of(int(state[0]), int(state[1]), state[2:])
-    answers = counted.where("block >= 0").select("block", "part", "counts", "numbers")
+    words_answers = counted.where("block >= 0").select("block", "part", "counts", "numbers")
+    answers = words_answers.repartition(tasks, "block")
 
     def ask_pairs(key: tuple, block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         pairs = Pairs(block.iloc[0], answers, words, parts)
@@ -297,9 +302,9 @@ def katz_scores(docs: DataFrame, *, use: Column, id_col: str = "doc_id", text_co
         out.append((-1, part, None, None, None, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist(), None))
         return pd.DataFrame(out, columns=["block", "part", "totals", "seen", "masses", "state", "mass"])
 
-    blocked = table.select("block", "train", "ends", "words", "tokens")
+    blocked = table.select("block", "train", "ends", "words", "tokens").repartition(tasks, "block")
     asked = blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(ask_pairs, "part long, block long, histories binary, salted binary, sizes binary, gaps binary, learnt binary, counts binary")
-    counted = written(asked.groupBy("part").applyInPandas(count_pairs, "block long, part long, totals binary, seen binary, masses binary, state array<long>, mass double"), "pairs")
+    counted = written(asked.repartition(parts, "part").groupBy("part").applyInPandas(count_pairs, "block long, part long, totals binary, seen binary, masses binary, state array<long>, mass double"), "pairs")
     found = counted.where("block < 0").select("block", "state", "mass").collect()
     discounts = Discounts.of(np.array([r["state"] for r in found if r["block"] == -1] or [[0] * (K + 2)]).sum(axis=0))
     # Salted histories: at most 2 * PART rows a partition. Their sums over the partitions, by number.
@@ -340,8 +345,8 @@ def katz_scores(docs: DataFrame, *, use: Column, id_col: str = "doc_id", text_co
             "base_score": np.add.reduceat(words.base(pairs.count[token]), starts), "score": np.add.reduceat(value, starts),
         })
 
-    both = answers.unionByName(counted.where("block >= 0").select("block", "part", "totals", "seen", "masses"), allowMissingColumns=True)
-    out = table.select("block", "ids", "nulls", "train", "ends", "words", "tokens").groupBy("block").cogroup(both.groupBy("block")).applyInPandas(told, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = words_answers.unionByName(counted.where("block >= 0").select("block", "part", "totals", "seen", "masses"), allowMissingColumns=True).repartition(tasks, "block")
+    out = table.select("block", "ids", "nulls", "train", "ends", "words", "tokens").repartition(tasks, "block").groupBy("block").cogroup(both.groupBy("block")).applyInPandas(told, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

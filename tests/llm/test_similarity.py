@@ -253,6 +253,7 @@ def _sentences():
 @pytest.mark.parametrize("block", [8_000_000, 300])
 def test_katz_against_its_definition(spark, monkeypatch, block):
     monkeypatch.setattr(katz, "BLOCK", block)
+    monkeypatch.setattr(katz, "TOKENS", 40 * block)
     docs = [*ODD, *_sentences()]
     train = [i for i, _ in docs if i % 4]
     table = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, score double")
