@@ -1,7 +1,8 @@
 """Connected components of links, by alternating large-star and small-star steps on written tables.
 
 Links are contracted within their partitions first. A step replaces links by ones to smaller nodes, as minima that Spark
-aggregates before it shuffles; it ends when the links are stars around the smallest node of each component.
+aggregates before it shuffles; it ends when the links are stars around the smallest node of each component. What is known of
+components may be given as links, so that only what is new takes steps.
 """
 
 from __future__ import annotations
@@ -75,6 +76,14 @@ def _apart(minima: DataFrame) -> DataFrame:
     return minima.select((F.col("u") + F.lit(0)).alias("key"), "least")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node links to one smaller node at most, and none that does is linked to."""
+    up = edges.select(F.col("u").alias("node"), F.col("v").alias("to"), F.lit(False).alias("linked"))
+    down = edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("linked"))
+    ends = up.unionByName(down).groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max("linked").alias("linked"))
+    return ends.where("low < high OR (low IS NOT NULL AND linked)").agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of a link to another: component is the smallest node that links lead to.
 
@@ -83,25 +92,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = written(edges.mapInPandas(_contracted, "u long, v long").distinct(), "links")
-    state = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-    seen = edges.agg(*state).first()
     for _ in range(most_rounds):
-        if not seen["n"]:
+        if _are_stars(edges):
             break
         # Large star: what is larger than a node and next to it links to the smallest node next to it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _apart(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least")))
-        large = both.where("v > u").join(least, F.col("u") == F.col("key")).select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = written(both.where("v > u").join(least, F.col("u") == F.col("key")).select(F.col("v").alias("u"), F.col("least").alias("v")), "links")
         # Small star: a node and what is smaller and next to it link to the smallest of these.
-        large = written(large, "links")
         least = _apart(large.groupBy("u").agg(F.min("v").alias("least")))
         near = large.join(least, F.col("u") == F.col("key"))
         small = near.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select(F.col("key").alias("u"), F.col("least").alias("v")))
         edges = written(small.distinct(), "links")
-        now = edges.agg(*state).first()
-        if now == seen:
-            break
-        seen = now
     else:
-        raise RuntimeError(f"components are not connected after {most_rounds} rounds")
+        if not _are_stars(edges):
+            raise RuntimeError(f"components are not connected after {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -280,8 +280,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, lea
     best = first_pairs.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     links = written(_confirmed(best, texts, shingle, percent), "links")
     labels = components(links)
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     apart = labelled(first_pairs.select("a", "b"), labels, "a", "b").where("of_a <> of_b").select("a", "b")
-    links = written(links.unionByName(_confirmed(apart, texts, shingle, percent)), "links")
+    links = written(known.unionByName(_confirmed(apart, texts, shingle, percent)), "links")
 
     clusters = written(components(first_pairs), "clusters")
     banded = written(labelled(shared.select("key", "node"), clusters, "node"), "bands")
@@ -289,11 +290,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, lea
     across = written(_bands_compared(banded.join(several, F.col("key") == F.col("band"), "left_semi").join(sketches, "node"), least), "pairs")
     rest = across.where("NOT tie").select("a", "b").distinct()
     links = written(links.unionByName(_confirmed(rest, texts, shingle, percent)), "links")
-    clusters = written(components(first_pairs.select("a", "b").unionByName(across.where("tie").select("a", "b"))), "clusters")
+    known = clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    clusters = written(components(known.unionByName(across.where("tie").select("a", "b"))), "clusters")
 
-    classed = written(labelled(clusters.select("node", F.col("component").alias("cluster")), components(links), "node").withColumnRenamed("of_node", "part"), "clusters")
-    links = links.unionByName(written(_clusters_linked(classed, texts, shingle, percent), "links"))
     labels = components(links)
+    classed = written(labelled(clusters.select("node", F.col("component").alias("cluster")), labels, "node").withColumnRenamed("of_node", "part"), "clusters")
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = components(known.unionByName(written(_clusters_linked(classed, texts, shingle, percent), "links")))
 
     of_class = labelled(classes.select("digest", "node"), labels, "node").select(F.concat("digest", F.lit(b"")).alias("class"), "of_node")
     found = signed.select("id", "n", "digest").join(of_class, F.col("digest") == F.col("class"), "left")
