@@ -1,12 +1,14 @@
 """Connected components of links, by alternating large-star and small-star steps on written tables.
 
-Links are contracted within their partitions first. A step replaces links by ones to smaller nodes, as minima that Spark
-aggregates before it shuffles; it ends when the links are stars around the smallest node of each component. What is known of
-components may be given as links, so that only what is new takes steps.
+Links are contracted within their partitions first, then within as few partitions of EACH as hold what is left. A step replaces
+links by ones to smaller nodes, as minima that Spark aggregates before it shuffles; it ends when the links are stars around the
+smallest node of each component, as they are at once where one partition held them all. What is known of components may be given
+as links, so that only what is new takes steps.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 
 from bidweave.session import written
 
+#: Links that one task contracts: some 50 MB of its memory.
+EACH = 200_000
+
 
 def contiguous(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with equal integer keys, of batches that are sorted by them."""
@@ -84,16 +89,18 @@ def _are_stars(edges: DataFrame) -> bool:
     return ends.where("low < high OR (low IS NOT NULL AND linked)").agg(F.count("*")).first()[0] == 0
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 60, each: int = EACH) -> DataFrame:
     """(node, component) for every node of a link to another: component is the smallest node that links lead to.
 
     links: pairs of 64-bit integers, in any order, repeated or not; those with a null and those of a node with itself are
-    ignored. No links give no rows.
+    ignored. No links give no rows. A task contracts `each` links about.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
-    edges = written(edges.mapInPandas(_contracted, "u long, v long").distinct(), "links")
+    edges = written(edges.mapInPandas(_contracted, "u long, v long"), "links")
+    parts = max(1, math.ceil(edges.count() / each))
+    edges = written(edges.coalesce(parts).mapInPandas(_contracted, "u long, v long").distinct(), "links")
     for _ in range(most_rounds):
-        if _are_stars(edges):
+        if parts == 1 or _are_stars(edges):
             break
         # Large star: what is larger than a node and next to it links to the smallest node next to it.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -107,4 +114,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int
     else:
         if not _are_stars(edges):
             raise RuntimeError(f"components are not connected after {most_rounds} rounds")
+    edges = edges.coalesce(parts)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -102,7 +102,9 @@ def test_components(spark, seed):
     nodes = {x for a, b in links if a != b for x in (a, b)}
     want = _joined(nodes, [x for x in links if x[0] != x[1]])
     table = spark.createDataFrame([*links, (None, 3)], "a long, b long")
-    assert {r["node"]: r["component"] for r in components(table).collect()} == want
+    for each in (1000, 10):
+        rows = components(table, each=each).collect()
+        assert {r["node"]: r["component"] for r in rows} == want and len(rows) == len(want)
     assert components(table.limit(0)).count() == 0
 
 
