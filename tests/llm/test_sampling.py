@@ -77,7 +77,7 @@ def test_bounds_leave_out_rows_of_far_cells(spark):
     packed = ready.select(F.col("vec_id").alias("id"), F.col("label").cast("long"), (F.col("vec_id") % 10 == 0).alias("anchor"), F.lit(8).alias("size"), "embedding").toPandas()
     packed["vector"] = [negatives._packed(list(v), 256.0) for v in packed["embedding"]]
     packed["norm"] = [float((np.floor(np.float64(v) * 256) ** 2).sum()) for v in packed["embedding"]]
-    table = spark.createDataFrame(packed.drop(columns="embedding"))
+    table = spark.createDataFrame(packed.drop(columns="embedding")).withColumn("size", F.col("size").cast("int"))
     cells = negatives._cells(table, 8, 8192)
     anchors = negatives._grouped(table.where("anchor"), cells)
     bounds = negatives._bounds(anchors.withColumn("least", F.lit(256.0 * 256 * 90)), cells)
