@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidweave.plans import queries
+from bidweave.plans import queries, stateful
 from bidweave.plans.oracles import ORACLES as _ORACLES
 from bidweave.session import ship
 
@@ -19,8 +19,8 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
-QUERIES = {name: _shipped(f) for name, f in queries.QUERIES.items()}
-ORACLES = dict(_ORACLES)
+QUERIES = {name: _shipped(f) for name, f in {**queries.QUERIES, **stateful.QUERIES}.items()}
+ORACLES = {**_ORACLES, **stateful.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
