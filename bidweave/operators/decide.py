@@ -13,13 +13,14 @@ from bidweave.schema import APPROVING, HARD_STOP, Policy
 GROUP = ["platform", "entity_type", "category", "product_group"]
 
 
-def group_priors(rows: DataFrame) -> DataFrame:
+def group_priors(rows: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Adds prior_cvr and prior_aov: of the category and group, else of the platform and entity type, else 0 and 3000.
 
-    Sums are made a group, in part before the shuffle, and joined back, so a large group isn't brought into one task.
+    Sums are made a group, in part before the shuffle, and joined back, so a large group isn't brought into one task. products:
+    rows that have been added up by product and kind already, with their category and group, instead of the rows themselves.
     """
     sums = ["clicks", "orders_attr", "sales_attr"]
-    groups = rows.groupBy(*GROUP).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"__{c}") for c in sums])
+    groups = (rows if products is None else products).groupBy(*GROUP).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"__{c}") for c in sums])
     market = groups.groupBy(*GROUP[:2]).agg(*[F.sum(f"__{c}").alias(f"__all_{c}") for c in sums])
 
     def rates(df: DataFrame, prefix: str, cvr: str, aov: str, keys: list[str]) -> DataFrame:
@@ -152,9 +153,9 @@ def decision_case(policy: Policy, as_of: Column) -> Column:
     )
 
 
-def decisions(rows: DataFrame, policy: Policy, as_of: Column) -> DataFrame:
-    """rows (windows with settings, state, master, history and overrides) with their decisions, before the parent's word."""
-    out = economics(inherit_parent_cvr(group_priors(rows)), policy, as_of).withColumn("__case", decision_case(policy, as_of))
+def decisions(rows: DataFrame, policy: Policy, as_of: Column, products: DataFrame | None = None) -> DataFrame:
+    """rows (windows with settings, state, master, history and overrides) with their decisions, before the parent's word. products: see `group_priors`."""
+    out = economics(inherit_parent_cvr(group_priors(rows, products)), policy, as_of).withColumn("__case", decision_case(policy, as_of))
     # What depends on an assumed margin is never uploaded by itself, unless the policy lets it.
     auto = F.col("__case.auto") & (F.col("gross_margin_rate").isNotNull() | F.lit(policy.allow_assumed_margin_for_upload))
     out = out.withColumns({

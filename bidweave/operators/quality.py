@@ -28,8 +28,13 @@ def run_gate(performance: DataFrame, policy: Policy, previous: DataFrame | None
     previous: rows of the run before by entity_type (entity_type, rows). duplicates: the rows before deduplication, of which
     those that share snapshot and entity are counted.
     """
-    spark = performance.sparkSession
-    counts = performance.agg(F.count("*").alias("rows"), F.count_if(error_codes() != "").alias("row_error_count"))
+    return gate_of(performance.groupBy("entity_type").agg(F.count("*").alias("rows"), F.count_if(error_codes() != "").alias("row_errors")), policy, previous, duplicates)
+
+
+def gate_of(by_type: DataFrame, policy: Policy, previous: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+    """`run_gate` from counts by entity_type: rows and row_errors."""
+    spark = by_type.sparkSession
+    counts = by_type.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("row_errors"), F.lit(0)).alias("row_error_count"))
     if duplicates is None:
         twice = spark.range(1).select(F.lit(0).cast("long").alias("duplicate_rows"))
     else:
@@ -37,7 +42,7 @@ def run_gate(performance: DataFrame, policy: Policy, previous: DataFrame | None
     if previous is None:
         drop = spark.range(1).select(F.lit(False).alias("row_count_drop"))
     else:
-        now = performance.groupBy("entity_type").agg(F.count("*").alias("n")).join(previous.withColumnRenamed("rows", "before"), "entity_type")
+        now = by_type.groupBy("entity_type").agg(F.sum("rows").alias("n")).join(previous.withColumnRenamed("rows", "before"), "entity_type")
         drop = now.agg(F.coalesce(F.max((F.col("before") > 0) & (F.col("n") < F.col("before") * (1 - policy.row_count_drop_block_rate))), F.lit(False)).alias("row_count_drop"))
     # Each of the three is an aggregate of one row.
     out = counts.crossJoin(twice).crossJoin(drop).withColumn("row_error_rate", F.col("row_error_count") / F.greatest("rows", F.lit(1)))

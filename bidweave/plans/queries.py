@@ -44,12 +44,16 @@ def master(spark: SparkSession, d: str) -> DataFrame:
 def entities(spark: SparkSession, d: str) -> DataFrame:
     """Windows with settings, state, plans, master, history, overrides and the quality flag, made once and written."""
     rows = written(performance(spark, d), "performance")
-    out = windows.analysis_windows(rows, POLICY)
+    bad = quality.row_errors(rows).select("entity_key").distinct().withColumn("row_quality_block", F.lit(True))
+    return entities_of(spark, d, windows.analysis_windows(rows, POLICY).join(bad, "entity_key", "left"))
+
+
+def entities_of(spark: SparkSession, d: str, out: DataFrame) -> DataFrame:
+    """out: windows with row_quality_block."""
     tables = [settings(spark, d), state.latest_applied(bound(spark, d, "applied")), state.latest_pending(bound(spark, d, "planned")), state.latest_metrics(bound(spark, d, "history")), state.active_overrides(bound(spark, d, "overrides"), as_of())]
     for t in tables:
         out = out.join(t, KEYS, "left")
-    bad = quality.row_errors(rows).select("entity_key").distinct().withColumn("row_quality_block", F.lit(True))
-    out = ingest.with_master(out, master(spark, d)).join(bad, "entity_key", "left").withColumn("row_quality_block", F.coalesce("row_quality_block", F.lit(False)))
+    out = ingest.with_master(out, master(spark, d)).withColumn("row_quality_block", F.coalesce("row_quality_block", F.lit(False)))
     return written(state.reconcile(out, as_of()), "entities")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.operators import decide, graph, ingest, quality, reports, state, text, windows
+from bidweave.plans import absorbed
 from bidweave.schema import KEYS, Policy
 from bidweave.session import written
 from bidweave.sources.state_store import StateStore
@@ -19,9 +20,9 @@ from bidweave.sources.state_store import StateStore
 
 @dataclass(frozen=True)
 class Run:
-    """Tables of a run, of which entities and decisions are written, and the scalars that its identity and gate are made of."""
+    """Tables of a run, of which entities and decisions are written, and the scalars that its identity and gate are made of. base: the
+    store's manifest that it was made from."""
 
-    performance: DataFrame
     entities: DataFrame
     events: DataFrame
     decisions: DataFrame
@@ -31,30 +32,49 @@ class Run:
     duplicate: bool
     blocked: bool
     as_of: datetime
+    base: int
 
 
 def build(performance: DataFrame, settings: DataFrame, master: DataFrame, store: StateStore, policy: Policy, as_of: datetime) -> Run:
     """performance: deduplicated rows. settings and master: raw tables with ord. What later steps read more than once is written."""
-    now = F.lit(as_of).cast("timestamp")
     performance = written(performance, "performance")
-    runs = store.read("run_history")
+    bad = quality.row_errors(performance).select("entity_key").distinct().withColumn("__bad", F.lit(True))
+    rows = windows.analysis_windows(performance, policy).join(bad, "entity_key", "left")
+    by_type = performance.groupBy("entity_type").agg(F.count("*").alias("rows"), F.count_if(quality.error_codes() != "").alias("row_errors"))
+    return _decided(rows, by_type, performance.select("source_hash"), None, settings, master, store, store.number(), policy, as_of)
+
+
+def build_from_state(store: StateStore, settings: DataFrame, master: DataFrame, policy: Policy, as_of: datetime) -> Run:
+    """The run over all that the store has absorbed, from each entity's windows and the sums of products: no report is read again."""
+    base = store.number()
+    rows = absorbed.current_windows(store, base).withColumn("__bad", F.col("row_errors") > 0).drop("rows", "row_errors")
+    sums = written(absorbed.product_sums(store, base), "product_sums")
+    by_type = sums.groupBy("entity_type").agg(F.sum("rows").alias("rows"), F.sum("row_errors").alias("row_errors"))
+    return _decided(rows, by_type, store.read("source_files", at=base).select("source_hash"), sums.drop("rows", "row_errors"), settings, master, store, base, policy, as_of)
+
+
+def _decided(rows: DataFrame, by_type: DataFrame, files: DataFrame, products: DataFrame | None, settings: DataFrame, master: DataFrame, store: StateStore, base: int, policy: Policy, as_of: datetime) -> Run:
+    """rows: windows with __bad. by_type: rows and errors by entity type. files: source_hash. products: sums by product, for the priors."""
+    now = F.lit(as_of).cast("timestamp")
+    runs = store.read("run_history", at=base)
     last = runs.orderBy(F.desc("ord"), F.desc("created_at")).limit(1).select(F.explode(F.array(F.struct(F.lit("ITEM").alias("entity_type"), F.col("item_rows").alias("rows")), F.struct(F.lit("KEYWORD").alias("entity_type"), F.col("keyword_rows").alias("rows")))).alias("r")).select("r.*")
-    gate = quality.run_gate(performance, policy, last)
+    gate = quality.gate_of(by_type, policy, last)
     # One row each.
-    verdict = gate.crossJoin(state.input_hash(performance)).first()
+    verdict = gate.crossJoin(state.input_hash(files)).first()
     duplicate = bool(runs.where(F.col("input_hash") == verdict["input_hash"]).limit(1).count())
     run = state.run_id(verdict["input_hash"], policy, as_of)
     blocked = verdict["status"] == "BLOCK"
 
-    rows = windows.analysis_windows(performance, policy)
-    for t in (ingest.setting_table(settings), state.latest_applied(store.read("applied_settings")), state.latest_pending(store.read("planned_settings")), state.latest_metrics(store.read("metric_history")), state.active_overrides(store.read("manual_overrides"), now)):
+    read = lambda name: store.read(name, at=base)
+    for t in (ingest.setting_table(settings), state.latest_applied(read("applied_settings")), state.latest_pending(store.read("planned_settings", at=base, part="open")), state.latest_metrics(read("metric_history")), state.active_overrides(read("manual_overrides"), now)):
         rows = rows.join(t, KEYS, "left")
-    bad = quality.row_errors(performance).select("entity_key").distinct().withColumn("__bad", F.lit(True))
-    rows = ingest.with_master(rows, ingest.normalise_master(master)).join(bad, "entity_key", "left").withColumn("row_quality_block", F.coalesce("__bad", F.lit(False)) | F.lit(blocked)).drop("__bad")
+    master = ingest.normalise_master(master)
+    rows = ingest.with_master(rows, master).withColumn("row_quality_block", F.coalesce("__bad", F.lit(False)) | F.lit(blocked)).drop("__bad")
     rows = written(state.reconcile(rows, now), "entities")
-    decided = decide.hold_duplicates(decide.with_hierarchy(decide.decisions(rows, policy, now)), duplicate)
+    products = None if products is None else ingest.with_master(products, master)
+    decided = decide.hold_duplicates(decide.with_hierarchy(decide.decisions(rows, policy, now, products)), duplicate)
     decided = written(decided.withColumns({"run_id": F.lit(run), "decision_id": F.concat_ws("|", F.lit(run), "entity_key"), "duplicate_input": F.lit(duplicate)}), "decided")
-    return Run(performance, rows, state.setting_events(rows), decided, gate, verdict["input_hash"], run, duplicate, blocked, as_of)
+    return Run(rows, state.setting_events(rows), decided, gate, verdict["input_hash"], run, duplicate, blocked, as_of, base)
 
 
 def answered(run: Run, answers: DataFrame | None = None) -> DataFrame:
@@ -67,15 +87,27 @@ def answered(run: Run, answers: DataFrame | None = None) -> DataFrame:
     return decide.finalise(rows, blocked=run.blocked)
 
 
-def carry(run: Run, final: DataFrame, store: StateStore, policy: Policy) -> None:
-    """Writes the next state: new rows of each table, and plans and actions with what has become of them."""
-    events = run.events
-    new = state.new_state(final, events, run.gate, policy, run=run.run_id, hash_of_input=run.input_hash, as_of=run.as_of, duplicate=run.duplicate)
-    changed = {"planned_settings": state.update_plans(store.read("planned_settings"), events), "action_history": state.update_actions(store.read("action_history"), events)}
-    for name, rows in changed.items():
-        store.replace(name, rows)
+def carried(store: StateStore, run_id: str) -> bool:
+    """Whether a run's state is in the store."""
+    return store.manifest()["marks"].get("run") == run_id or bool(store.read("run_history").where(F.col("run_id") == run_id).limit(1).count())
+
+
+def carry(run: Run, final: DataFrame, store: StateStore, policy: Policy) -> bool:
+    """Makes the next state visible at once: new rows of each table, and open plans and actions with what has become of them.
+
+    A run whose state is there already changes nothing, and the answer is False. Should another run have committed since this one
+    was built, ConcurrentCommit is raised: its decisions were made from a state that is no more.
+    """
+    if carried(store, run.run_id):
+        return False
+    tables = store.transaction(base=run.base)
+    tables.update("planned_settings", lambda rows: state.update_plans(rows, run.events))
+    tables.update("action_history", lambda rows: state.update_actions(rows, run.events))
+    new = state.new_state(final, run.events, run.gate, policy, run=run.run_id, hash_of_input=run.input_hash, as_of=run.as_of, duplicate=run.duplicate)
     for name, rows in new.items():
-        store.append(name, rows)
+        tables.append(name, rows)
+    tables.mark("run", run.run_id).commit()
+    return True
 
 
 def graphs(decided: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:

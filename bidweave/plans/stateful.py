@@ -9,9 +9,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidweave.plans.bindings import DAY, POLICY, bound, ctes
+from bidweave.operators import decide, ingest, state
+from bidweave.plans import absorbed
+from bidweave.plans.bindings import DAY, POLICY, as_of, bound, ctes
+from bidweave.plans.oracles import ORACLES as BATCH
+from bidweave.plans.queries import entities_of, master, r6
 from bidweave.schema import KEYS
-from bidweave.session import shared_dir
+from bidweave.session import shared_dir, written
+from bidweave.sources.state_store import ConcurrentCommit, StateStore
 from bidweave.streaming import reconcile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +97,66 @@ def setting_stream(spark: SparkSession, d: str) -> DataFrame:
     run()
     out = spark.read.parquet(f"{path}/events")
     return out.select("product_id", "event_type", "setting_cpc", "prior_cpc", "planned_cpc", "planned_run_id", F.col("effective_at").cast("string").alias("effective_at"), F.col("at").cast("string").alias("at_time"), "observing")
+
+
+def _absorbed(spark: SparkSession, d: str) -> StateStore:
+    """Performance as three deliveries, not in the order of their time, one of them twice."""
+    store = absorbed.open_store(spark, f"{shared_dir(spark)}/absorbed-{uuid.uuid4().hex}")
+    rows = written(bound(spark, d, "performance"), "performance")
+    part = F.pmod(F.hash("product_id", "snapshot_id"), F.lit(3))
+    for number, k in enumerate((2, 0, 1, 0)):
+        absorbed.absorb(rows.where(part == k), store, POLICY, mark=("deliveries", number))
+    return store
+
+
+@query(BATCH["analysis_windows"])
+def incremental_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of all entities after the deliveries: the same as over all rows at once."""
+    return absorbed.current_windows(_absorbed(spark, d)).select("entity_key", "snapshot_id_shortwin", "snapshot_id_longwin", "trend_available", "clicks", "clicks_long", "sales_attr", "sales_attr_long")
+
+
+def _from_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities from the state that has absorbed the deliveries, and products' sums with their groups."""
+    store = _absorbed(spark, d)
+    rows = absorbed.current_windows(store).withColumn("row_quality_block", F.col("row_errors") > 0).drop("rows", "row_errors")
+    products = ingest.with_master(absorbed.product_sums(store).drop("rows", "row_errors"), master(spark, d))
+    return entities_of(spark, d, rows), products
+
+
+@query(BATCH["group_priors"])
+def incremental_priors(spark: SparkSession, d: str) -> DataFrame:
+    """Priors of groups from the products' sums."""
+    return decide.group_priors(*_from_state(spark, d)).select("entity_key", *r6("prior_cvr", "prior_aov"))
+
+
+@query(BATCH["parent_child_hierarchy"])
+def incremental_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions from the state: the same as over all rows at once."""
+    rows, products = _from_state(spark, d)
+    out = decide.with_hierarchy(decide.decisions(rows, POLICY, as_of(), products))
+    return out.select("entity_key", "action", "decision_status", "reason_code", "recommended_cpc", "auto_approved_default", *r6("delta_cpc", "delta_pct"))
+
+
+@query(ctes() + f"""
+SELECT {', '.join(KEYS)}, planned_cpc, CASE WHEN upper(planned_status) = 'PENDING' AND planned_cpc >= 90 THEN 'CONFIRMED' ELSE planned_status END AS planned_status, run_id FROM planned
+UNION ALL SELECT {', '.join(KEYS)}, planned_cpc + 1, 'PENDING', 'run_1' FROM planned WHERE planned_cpc < 90""")
+def atomic_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Plans after two runs: the second's writer dies before its manifest, another writer commits from the same state, and the rerun of
+    the first is turned away by it once."""
+    store = StateStore(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    plans = written(bound(spark, d, "planned").drop("ord").withColumn("source", F.lit("x")), "plans")
+    store.append("planned_settings", plans)
+    events = plans.where("planned_cpc >= 90").select(*KEYS, F.lit("PLAN_CONFIRMED").alias("event_type"), F.col("run_id").alias("planned_run_id"))
+    new = plans.where("planned_cpc < 90").withColumns({"planned_cpc": F.col("planned_cpc") + 1, "planned_status": F.lit("PENDING"), "run_id": F.lit("run_1")})
+
+    def changed(base: int):
+        return store.transaction(base=base).update("planned_settings", lambda rows: state.update_plans(rows, events)).append("planned_settings", new)
+
+    changed(store.number())  # dies: its folders are there, and no manifest names them
+    late = changed(store.number())
+    store.append("run_history", spark.createDataFrame([], store.read("run_history").drop("ord").schema))
+    try:
+        late.commit()
+    except ConcurrentCommit:
+        changed(store.number()).commit()
+    return store.read("planned_settings").select(*KEYS, "planned_cpc", "planned_status", "run_id")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH = threading.local()
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,13 +48,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/bidweave-{spark.sparkContext.applicationId}"
+    return "/".join([f"{shared_dir(spark)}/bidweave-{spark.sparkContext.applicationId}", *getattr(_SCRATCH, "names", [])])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What this thread's work writes with `written` within the block is deleted at its end, results that were not written elsewhere included."""
+    names = _SCRATCH.names = getattr(_SCRATCH, "names", [])
+    names.append(f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _folder(spark))
+        names.pop()
 
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this application has written to the shared folder. Results that read them end with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
