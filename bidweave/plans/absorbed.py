@@ -43,6 +43,11 @@ def open_store(spark: SparkSession, path: str) -> StateStore:
     return StateStore(spark, path, STORE_TABLES)
 
 
+def with_tables(store: StateStore) -> StateStore:
+    """The store with the tables of what is absorbed."""
+    return store if STORE_TABLES.keys() <= store.schemas.keys() else open_store(store.spark, store.path)
+
+
 def snapshots(store: StateStore, at: int | None = None) -> DataFrame:
     """All rows absorbed so far, an entity once in a snapshot."""
     return ingest.dedupe_snapshots(store.read("snapshots", at=at).drop("ord").withColumnRenamed("source_ord", "ord"))

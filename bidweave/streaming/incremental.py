@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from bidweave.plans.absorbed import absorb, compact
+from bidweave.plans.absorbed import absorb, compact, with_tables
 from bidweave.plans.runner import answered, build_from_state, carry
 from bidweave.schema import Policy
 from bidweave.session import scratch, written
@@ -23,6 +23,8 @@ def once_each(stream: DataFrame, delay: str = "2 days") -> DataFrame:
 def absorb_stream(stream: DataFrame, store: StateStore, policy: Policy, *, name: str = "stream") -> DataStreamWriter:
     """A writer that absorbs each micro-batch once, under its number; a micro-batch that is run again changes nothing."""
 
+    store = with_tables(store)
+
     def take(batch: DataFrame, number: int) -> None:
         with scratch(batch.sparkSession):
             absorb(batch, store, policy, mark=(name, number))
@@ -35,10 +37,12 @@ def decide_stream(stream: DataFrame, settings: Callable[[], DataFrame], master:
     """A writer that absorbs each micro-batch, decides on all that was absorbed so far, writes the decisions under `out` and carries
     the state on.
 
-    store: of `absorbed.open_store`. settings and master are read anew for each micro-batch. A micro-batch that is run again is not absorbed again;
+    settings and master are read anew for each micro-batch. A micro-batch that is run again is not absorbed again;
     its run has the same id and its input counts as a duplicate if its state was carried, so nothing is approved twice.
     """
 
+    store = with_tables(store)
+
     def decide(batch: DataFrame, number: int) -> None:
         if batch.limit(1).count() == 0:
             return
