@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidweave.functions.columns import first_filled, log_weight, short_label
+from bidweave.functions.columns import action_class, finite, first_filled, log_weight, short_label
 from bidweave.operators.reports import with_total
 from bidweave.operators.text import paired_similarity, phrase, tfidf, top_keywords, cosine_pairs, keyword_similarity
 from bidweave.session import written
@@ -65,7 +65,7 @@ def bipartite_edges(decided: DataFrame, *, metric: str = "sales_attr", max_produ
 def product_nodes(edges: DataFrame, decided: DataFrame, metric: str = "sales_attr") -> DataFrame:
     """One node a product of the edges, with its own row's figures where it has one, else its edges'."""
     from_edges = edges.groupBy("product_id").agg(F.sum("edge_value").alias("value"), *[F.sum(c).alias(c) for c in SUMS], F.avg("roas_attr_pct").alias("roas_attr_pct"), F.min("product_name_resolved").alias("name"))
-    own = ["clicks", "cost", "sales_attr", "orders_attr", "roas_attr_pct", "current_bid", "recommended_cpc", "action", "decision_status", "expected_incremental_profit"]
+    own = ["clicks", "cost", "sales_attr", "orders_attr", "roas_attr_pct", "current_bid", "recommended_cpc", "action", "decision_status", "expected_incremental_profit", "category", "product_group"]
     own = [c for c in own if c in decided.columns]
     items = decided.where(F.upper("entity_type") == "ITEM").groupBy("product_id").agg(F.max_by(F.struct(F.col(metric).alias("__metric"), *own), F.struct(F.coalesce(metric, F.lit(0.0)))).alias("item"))
     out = from_edges.join(items, "product_id", "left")
@@ -288,11 +288,38 @@ def ego(edges: DataFrame, node_id: str | Column, most: int = 12, value: str = "e
     return mine.orderBy(F.desc(value), "other").limit(most)
 
 
-def payload(nodes: DataFrame, edges: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row: the graph as JSON text for a browser, numbers finite and `</` escaped. For graphs that the caps bound."""
+def payload(nodes: DataFrame, edges: DataFrame, totals: DataFrame, *, metric: str = "sales_attr", graph_kind: str = "relationship", target_roas_pct: float = 450.0) -> DataFrame:
+    """One row: the graph as JSON text for a browser, numbers finite and `</` escaped. For graphs that the caps bound.
 
-    def safe(df: DataFrame) -> Column:
-        return F.struct(*[F.when(F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    Nodes and edges have the fields that a browser draws and filters by; what a table has no column of is 0 or empty. A
+    product's label is its id, a keyword's its keyword, any other's its full label. Edges of which an end is no node are left out.
+    """
 
-    parts = nodes.agg(F.sort_array(F.collect_list(safe(nodes))).alias("nodes")).crossJoin(edges.agg(F.sort_array(F.collect_list(safe(edges))).alias("edges"))).crossJoin(totals.select(safe(totals).alias("summary")))
-    return parts.select(F.replace(F.to_json(F.struct("nodes", "edges", "summary")), F.lit("</"), F.lit("<\\/")).alias("payload"))
+    def number(df: DataFrame, *names: str, default: float = 0.0) -> Column:
+        return next((finite(F.col(n), default) for n in names if n in df.columns), F.lit(default))
+
+    def word(df: DataFrame, *names: str) -> Column:
+        return next((F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names if n in df.columns), F.lit(""))
+
+    def whole(df: DataFrame, name: str) -> Column:
+        return number(df, name).cast("long")
+
+    kind = F.upper(F.coalesce("node_type", F.lit("KEYWORD"))) if "node_type" in nodes.columns else F.lit("KEYWORD")
+    product, keyword, full = word(nodes, "product_id"), word(nodes, "keyword"), word(nodes, "full_label", "label")
+    points = nodes.select(F.struct(
+        F.col("node_id").alias("id"), kind.alias("type"), F.when((kind == "PRODUCT") & (product != ""), product).when(keyword != "", keyword).otherwise(full).alias("label"), full.alias("fullLabel"), product.alias("productId"), keyword.alias("keyword"),
+        word(nodes, "category").alias("category"), word(nodes, "product_group").alias("group"), number(nodes, "value").alias("value"), number(nodes, "sales_attr", "value").alias("sales"), number(nodes, "clicks").alias("clicks"),
+        number(nodes, "cost").alias("cost"), number(nodes, "orders_attr").alias("orders"), number(nodes, "roas_attr_pct").alias("roas"), number(nodes, "expected_incremental_profit").alias("profit"), number(nodes, "weighted_degree").alias("degree"),
+        number(nodes, "bridge_score").alias("bridge"), whole(nodes, "community").alias("community"), whole(nodes, "product_count").alias("productCount"), action_class(word(nodes, "action"), word(nodes, "decision_status")).alias("action"),
+        word(nodes, "action").alias("actionRaw"), word(nodes, "decision_status").alias("status"), number(nodes, "current_bid").alias("currentBid"), number(nodes, "recommended_cpc").alias("recommendedCpc"), number(nodes, "x").alias("x"), number(nodes, "y").alias("y"),
+    ).alias("node"))
+    whole_edges = edges.join(nodes.select(F.col("node_id").alias("source")), "source", "left_semi").join(nodes.select(F.col("node_id").alias("target")), "target", "left_semi")
+    lines = whole_edges.select(F.struct(
+        "source", "target", number(edges, "edge_value", "similarity", default=1.0).alias("value"), number(edges, "sales_attr", "edge_value").alias("sales"), number(edges, "clicks").alias("clicks"), number(edges, "cost").alias("cost"),
+        number(edges, "orders_attr").alias("orders"), number(edges, "roas_attr_pct").alias("roas"), number(edges, "semantic_relevance", "similarity").alias("relevance"), action_class(word(edges, "action"), word(edges, "decision_status")).alias("action"),
+    ).alias("edge"))
+    sums = F.struct(*[(finite(F.col(c), 0.0) if t == "double" else F.col(c)).alias(c) for c, t in totals.dtypes])
+    # Each is one row.
+    parts = points.agg(F.sort_array(F.collect_list("node")).alias("nodes")).crossJoin(lines.agg(F.sort_array(F.collect_list("edge")).alias("edges"))).crossJoin(totals.select(sums.alias("summary")))
+    rest = [F.lit(metric).alias("metric"), F.lit(graph_kind).alias("graphKind"), F.lit(target_roas_pct).alias("targetRoasPct")]
+    return parts.select(F.replace(F.to_json(F.struct("nodes", "edges", "summary", *rest)), F.lit("</"), F.lit("<\\/")).alias("payload"))

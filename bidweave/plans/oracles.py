@@ -197,4 +197,6 @@ SELECT 'P|' || a AS source"""),
     "file_profiles": "SELECT CAST(n_regionkey AS BIGINT) AS region, 'rakuten_rpp_setting' AS kind, 'utf-8-sig' AS encoding, 9 AS columns, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey",
     "state_appended": _sql(f"SELECT {KEYS}, planned_cpc, planned_status, run_id, 1 AS place FROM planned UNION ALL SELECT {KEYS}, planned_cpc, 'PENDING', 'run_1', 2 FROM planned"),
     "store_latest_plan": _sql("SELECT product_id, planned_cpc, CASE WHEN planned_cpc < 90 THEN 'run_1' ELSE 'run_0' END AS planned_run_id FROM planned WHERE upper(planned_status) = 'PENDING'"),
+    "payload_nodes": _sql("SELECT 'P|' || product_id AS node_id, 'PRODUCT' AS node_type, product_id AS label, product_id, coalesce(category, '') AS category, round(coalesce(i.sales_attr, v), 6) + 0 AS value, round(coalesce(i.sales_attr, e.sales), 6) + 0 AS sales, round(coalesce(i.clicks, e.clicks), 6) + 0 AS clicks, CAST(0 AS BIGINT) AS product_count, CASE WHEN regexp_matches(t, 'STOP|PAUSE|MIN_BID|TERMINATED') THEN 'STOP' WHEN regexp_matches(t, 'SCALE_UP|INCREASE|RAISE|UP_BID') THEN 'SCALE_UP' WHEN regexp_matches(t, 'SCALE_DOWN|DECREASE|LOWER|DOWN_BID') THEN 'SCALE_DOWN' WHEN regexp_matches(t, 'KEEP|HOLD|UNCHANGED') THEN 'KEEP' WHEN regexp_matches(t, 'OBSERVE|EXPLORE|INSUFFICIENT|REVIEW|PENDING|UNKNOWN') THEN 'OBSERVE' ELSE 'NEUTRAL' END AS action_class, coalesce(status, '') AS decision_status, CAST(coalesce(rec, 0) AS DOUBLE) AS recommended_cpc FROM (SELECT product_id, sum(v) AS v, sum(clicks) AS clicks, sum(sales_attr) AS sales FROM o_ed GROUP BY product_id) e LEFT JOIN (SELECT *, action || ' ' || status AS t FROM o_hier WHERE entity_type = 'ITEM') i USING (product_id) WHERE 'P|' || product_id <> (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1) UNION ALL SELECT 'K|' || norm, 'KEYWORD', norm, '', '', round(sum(v), 6) + 0, round(sum(sales_attr), 6) + 0, round(sum(clicks), 6) + 0, count(*), NULL, NULL, NULL FROM o_ed GROUP BY norm"),
+    "payload_edges": _sql("SELECT source, target, round(v, 6) + 0 AS value, round(sales_attr, 6) + 0 AS sales, round(clicks, 6) + 0 AS clicks FROM o_ed WHERE source <> (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1)"),
 }

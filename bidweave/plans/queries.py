@@ -379,12 +379,12 @@ def roas_bands(spark, d):
     return decided(spark, d).select("entity_key", reports.roas_band(F.col("roas_attr_pct"), POLICY.target_roas_pct).alias("band"), c.action_class(F.col("action"), F.col("decision_status")).alias("action_class"))
 
 
-def network(spark, d) -> tuple[DataFrame, DataFrame]:
+def network(spark, d, layout: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes with their metrics, and edges; both are written, as every report reads them more than once."""
     rows = decided(spark, d)
     links = edges_of(rows)
     both = graph.product_nodes(links, rows).unionByName(graph.keyword_nodes(links), allowMissingColumns=True)
-    nodes = both.join(graph.graph_metrics(both, links, layout=False), "node_id").join(graph.weighted_degree(links), "node_id", "left")
+    nodes = both.join(graph.graph_metrics(both, links, layout=layout), "node_id").join(graph.weighted_degree(links), "node_id", "left")
     return written(nodes, "nodes"), links
 
 
@@ -421,8 +421,33 @@ def search_neighbourhood(spark, d):
 
 @query
 def graph_payload(spark, d):
-    nodes, links = network(spark, d)
-    return graph.payload(nodes.select("node_id", "node_type", "label", "value", "weighted_degree", "community"), links.select("source", "target", "edge_value", "layout_weight"), graph.summary(nodes, links))
+    nodes, links = network(spark, d, layout=True)
+    return graph.payload(nodes, links, graph.summary(nodes, links), target_roas_pct=POLICY.target_roas_pct)
+
+
+def _plain_payload(spark, d) -> DataFrame:
+    """The payload without the product whose edges have the greatest value, whose edges dangle then; and what needs no kernel."""
+    rows = decided(spark, d)
+    links = edges_of(rows)
+    nodes = graph.product_nodes(links, rows).unionByName(graph.keyword_nodes(links), allowMissingColumns=True)
+    nodes = written(nodes.where(F.col("node_id") != graph.leading(links)).withColumn("community", F.lit(0)), "nodes")
+    return graph.payload(nodes, links, graph.summary(nodes, links))
+
+
+@query
+def payload_nodes(spark, d):
+    """The payload's nodes, read back from its JSON."""
+    kind = "struct<nodes:array<struct<id:string,type:string,label:string,productId:string,keyword:string,category:string,value:double,sales:double,clicks:double,productCount:long,action:string,status:string,recommendedCpc:double>>>"
+    nodes = _plain_payload(spark, d).select(F.inline(F.from_json("payload", kind)["nodes"]))
+    product = F.col("type") == "PRODUCT"
+    return nodes.select(F.col("id").alias("node_id"), F.col("type").alias("node_type"), "label", F.col("productId").alias("product_id"), "category", *r6("value", "sales", "clicks"), F.col("productCount").alias("product_count"), F.when(product, F.col("action")).alias("action_class"), F.when(product, F.col("status")).alias("decision_status"), F.when(product, F.col("recommendedCpc")).alias("recommended_cpc"))
+
+
+@query
+def payload_edges(spark, d):
+    """The payload's edges, read back from its JSON: none of the product that is no node."""
+    edges = _plain_payload(spark, d).select(F.inline(F.from_json("payload", "struct<edges:array<struct<source:string,target:string,value:double,sales:double,clicks:double>>>")["edges"]))
+    return edges.select("source", "target", *r6("value", "sales", "clicks"))
 
 
 @query

@@ -121,34 +121,58 @@ def graphs(decided: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
 
 
 def main(argv: list[str] | None = None) -> None:
-    """Reports, settings and master in; decisions, validation, setting files, profile and state out."""
-    from bidweave.session import ship
+    """Reports, and settings, master and state where there are any; decisions, validation, setting files, graphs, profile and state out."""
+    from bidweave.schema import MASTER_COLUMNS, SETTING_ROW
+    from bidweave.session import scratch, ship
     from bidweave.sources.files import read_master, read_performance, read_settings
-    from bidweave.sources.sinks import profile_json, write_csv, write_graph
+    from bidweave.sources.sinks import profile_json, write_csv, write_file, write_graph, write_settings
+    from bidweave.sources.state_store import from_zip, to_zip
 
     p = argparse.ArgumentParser(description=main.__doc__)
-    for name in ("--reports", "--settings", "--product-master", "--state", "--out-dir"):
-        p.add_argument(name, required=True)
-    p.add_argument("--policy", help="a JSON file of policy values")
+    p.add_argument("--reports", required=True, nargs="+", help="report files or folders")
+    p.add_argument("--settings", "--setting", help="a settings file or folder; without it no setting files are written")
+    p.add_argument("--product-master", help="a product master; without it all products have its defaults")
+    p.add_argument("--state", help="a state store, or a ZIP of one; without it a run begins with nothing")
+    p.add_argument("--out-dir", required=True)
+    p.add_argument("--policy", help="a JSON file of policy values; else that of the ZIP, or the default")
     p.add_argument("--as-of", help="an ISO timestamp; now by default")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("bidweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     ship(spark)
-    policy = Policy.from_dict(json.loads(Path(a.policy).read_text())) if a.policy else Policy()
+    policy, zipped = Policy(), bool(a.state) and a.state.endswith(".zip")
+    store = StateStore(spark, f"{a.out_dir}/state" if zipped or not a.state else a.state)
+    if zipped:
+        policy, _ = from_zip(store, Path(a.state).read_bytes())
+    if a.policy:
+        policy = Policy.from_dict(json.loads(Path(a.policy).read_text()))
     as_of = datetime.fromisoformat(a.as_of) if a.as_of else datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0)
-    store, settings = StateStore(spark, a.state), read_settings(spark, a.settings)
-    run = build(read_performance(spark, a.reports), settings, read_master(spark, a.product_master), store, policy, as_of)
-    final = written(answered(run), "final")
-    write_csv(final.select(*[c for c, t in final.dtypes if not t.startswith(("array", "struct", "map"))]), f"{a.out_dir}/decision_detail")
-    write_csv(decide.upload_validation(final).select(*KEYS, "current_bid", "final_cpc", "final_approved", "final_changed", "upload_match", "upload_eligible", "operator_action", "decision_status", "reason_code", "upload_validation_status"), f"{a.out_dir}/upload_validation")
-    write_csv(decide.review_table(final), f"{a.out_dir}/review")
-    for name, rows in decide.full_outputs(settings, final).items():
-        write_csv(rows, f"{a.out_dir}/{name}")
-    terms = text.term_frequency(text.with_terms(run.decisions.where("entity_type = 'KEYWORD'")))
-    for name, (nodes, edges) in graphs(run.decisions).items():
-        write_graph(f"{a.out_dir}/{name}", nodes, edges, terms if name == "network" else None)
-    print(profile_json(reports.run_profile(final), reports.status_counts(final), run_id=run.run_id, input_hash=run.input_hash))
-    carry(run, final, store, policy)
+    with scratch(spark):
+        performance = read_performance(spark, a.reports)
+        settings = read_settings(spark, a.settings) if a.settings else spark.createDataFrame([], SETTING_ROW)
+        master = read_master(spark, a.product_master) if a.product_master else spark.createDataFrame([], MASTER_COLUMNS)
+        run = build(performance, settings, master, store, policy, as_of)
+        final = written(answered(run), "final")
+        flat = [c for c, t in final.dtypes if not t.startswith(("array", "struct", "map"))]
+        checked = decide.upload_validation(final).select(*KEYS, "current_bid", "final_cpc", "final_approved", "final_changed", "upload_match", "upload_eligible", "operator_action", "decision_status", "reason_code", "upload_validation_status")
+        tables = {"decision_detail": final.select(*flat), "upload_validation": checked, "review": decide.review_table(final)}
+        for name, rows in tables.items():
+            write_csv(rows, f"{a.out_dir}/{name}")
+            write_file(rows, f"{a.out_dir}/{name}_{run.run_id}.csv", order=KEYS)
+        if a.settings:
+            outputs = decide.full_outputs(settings, final)
+            for name, rows in outputs.items():
+                write_csv(rows, f"{a.out_dir}/{name}")
+            write_settings(outputs, a.out_dir, run.run_id)
+        terms = text.term_frequency(text.with_terms(run.decisions.where("entity_type = 'KEYWORD'")))
+        for name, (nodes, edges) in graphs(run.decisions).items():
+            write_graph(f"{a.out_dir}/{name}", nodes, edges, terms if name == "network" else None)
+        profile = profile_json(reports.run_profile(final), reports.status_counts(final), run_id=run.run_id, input_hash=run.input_hash)
+        carry(run, final, store, policy)
+    out = Path(a.out_dir)
+    (out / f"run_profile_{run.run_id}.json").write_text(profile)
+    if zipped or not a.state:
+        (out / f"state_bundle_{run.run_id}.zip").write_bytes(to_zip(store, policy, {"last_run_id": run.run_id}))
+    print(profile)
 
 
 if __name__ == "__main__":

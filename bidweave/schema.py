@@ -14,6 +14,9 @@ PERFORMANCE = (
     "actual_cpc double, sales_short double, orders_short double, sales_attr double, orders_attr double, ctr_pct double, period_start date, period_end date, "
     "source_name string, source_hash string, snapshot_id string, executed_at timestamp, window_days int, entity_key string, ord long"
 )
+#: A raw settings row and a raw master row, for runs that have none.
+SETTING_ROW = "control string, product_id string, product_name string, price string, url string, item_cpc string, keyword string, keyword_cpc string, guide_cpc string, ord long"
+MASTER_COLUMNS = "product_id string, ord long"
 _KEY = "platform string, entity_type string, product_id string, keyword string"
 #: The state that one run leaves to the next.
 STATE_TABLES = {

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.operators.ingest import dedupe_snapshots, normalise_report
+from bidweave.session import written
 
 #: Encodings in the order in which they are tried, and what marks a header and a file's metadata.
 ENCODINGS = ["utf-8-sig", "cp932", "shift_jis"]
@@ -64,7 +65,7 @@ def parsed(raw: bytes) -> dict:
     return {"encoding": encoding, "header_row": start, "header": header, "kind": kind_of(header), "file_start": dates[0], "file_end": dates[1], "executed_at": executed and " ".join(executed.groups()), "cells": [c for c in cells if any(x is not None for x in c)]}
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row a data row: path, sha256 of the file, encoding, kind, header, metadata, pos and cells. A file that can't be read has one row with its problem."""
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
 
@@ -96,9 +97,9 @@ def layouts(rows: DataFrame) -> list[tuple[str, list[str], DataFrame]]:
     return out
 
 
-def read_performance(spark: SparkSession, path: str) -> DataFrame:
+def read_performance(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All performance reports under the path as one table, each entity once in a snapshot."""
-    tables = [normalise_report(t, kind) for kind, _, t in layouts(read_files(spark, path)) if kind.endswith("_report") or kind == "normalized_performance"]
+    tables = [normalise_report(t, kind) for kind, _, t in layouts(written(read_files(spark, path), "parsed")) if kind.endswith("_report") or kind == "normalized_performance"]
     if not tables:
         raise ValueError(f"no performance report under {path}")
     out = tables[0]
@@ -109,7 +110,7 @@ def read_performance(spark: SparkSession, path: str) -> DataFrame:
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """The settings files under the path, with the operators' column names; absent ones are empty."""
-    tables = [t for kind, _, t in layouts(read_files(spark, path)) if kind == "rakuten_rpp_setting"]
+    tables = [t for kind, _, t in layouts(written(read_files(spark, path), "parsed")) if kind == "rakuten_rpp_setting"]
     if not tables:
         raise ValueError(f"no settings file under {path}")
     named = [t.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) if c in t.columns else F.lit("").alias(n) for c, n in SETTING_COLUMNS.items()], "ord") for t in tables]
@@ -120,7 +121,7 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
-    tables = [t for kind, _, t in layouts(read_files(spark, path)) if kind == "product_master"]
+    tables = [t for kind, _, t in layouts(written(read_files(spark, path), "parsed")) if kind == "product_master"]
     if not tables:
         raise ValueError(f"no product master under {path}")
     out = tables[0]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.sources.files import SETTING_COLUMNS
@@ -21,6 +24,63 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(path)
 
 
+@contextmanager
+def _any_charset(spark: SparkSession) -> Iterator[None]:
+    """Lets the CSV writer use a charset of the JVM's that isn't a form of Unicode."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: The JVM's name of the marketplace's encoding, and the mark at the head of UTF-8 files for spreadsheets.
+CHARSETS = {"cp932": "windows-31j", "utf-8-sig": "utf-8"}
+MARK = b"\xef\xbb\xbf"
+
+
+def write_file(df: DataFrame, path: str, encoding: str = "utf-8-sig", *, order: list[str] | None = None) -> None:
+    """One CSV file of any number of rows with a header and CRLF; what the encoding lacks becomes a question mark.
+
+    Tasks encode and write parts in the order of rows, by ranges if an order is given. The parts' bytes are then streamed behind each
+    other into a file beside the target, which takes its name last: the target is whole or not there. Nulls are empty.
+    """
+    spark = df.sparkSession
+    parts, charset = f"{path}.{uuid.uuid4().hex}.parts", CHARSETS.get(encoding, encoding)
+    rows = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns]) if order is None else df.orderBy(*order).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+    options = {"encoding": charset, "lineSep": "\r\n", "emptyValue": "", "nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    with _any_charset(spark):
+        rows.write.options(**options).csv(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(conf)
+    head = io.StringIO()
+    pd.DataFrame(columns=df.columns).to_csv(head, index=False, lineterminator="\r\n")
+    whole = jvm.org.apache.hadoop.fs.Path(f"{parts}/_whole")
+    out = system.create(whole, True)
+    try:
+        out.write(bytearray((MARK if encoding == "utf-8-sig" else b"") + head.getvalue().encode(encoding.removesuffix("-sig"), "replace")))
+        for name in sorted(f.getPath().getName() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")):
+            part = system.open(jvm.org.apache.hadoop.fs.Path(f"{parts}/{name}"))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+    system.delete(target, False)
+    system.rename(whole, target)
+    system.delete(folder, True)
+
+
+def write_settings(outputs: dict[str, DataFrame], folder: str, run_id: str) -> list[str]:
+    """The four setting files in the layout and encoding that the marketplace takes, by product and keyword; their names."""
+    names = {n: c for c, n in SETTING_COLUMNS.items()}
+    for kind, rows in outputs.items():
+        write_file(rows.select(*[F.col(n).alias(c) for n, c in names.items()]), f"{folder}/{kind}_{run_id}.csv", "cp932", order=[names["product_id"], names["keyword"]])
+    return [f"{kind}_{run_id}.csv" for kind in outputs]
+
+
 def csv_bytes(df: DataFrame, encoding: str = "utf-8-sig") -> bytes:
     """One CSV file with CRLF; what the encoding lacks becomes a question mark."""
     if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:

@@ -149,3 +149,39 @@ def test_download_files(spark):
     found = sinks.download_files(row, row, row, {"item_full": setting})
     assert set(found) == {"decision_detail.csv", "upload_validation.csv", "review.csv", "item_full.csv"}
     assert found["review.csv"].startswith(b"\xef\xbb\xbf") and "名" in found["item_full.csv"].decode("cp932")
+
+
+def test_command_line_without_settings_master_and_state(spark, inputs, capsys):
+    """Then from its own ZIP with settings: setting files as the marketplace takes them, byte by byte."""
+    root, write = inputs
+    write("more/k.csv", REPORT, "cp932")
+    arguments = ["--reports", f"{root}/reports/a.csv", f"{root}/more/k.csv", "--out-dir"]
+    runner.main([*arguments, f"{root}/first", "--as-of", "2026-07-10T00:00:00"])
+    profile = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert profile["rows"] == 2 and json.loads((root / f"first/run_profile_{profile['run_id']}.json").read_text()) == profile
+    names = {p.name for p in (root / "first").iterdir()}
+    state_zip = f"state_bundle_{profile['run_id']}.zip"
+    assert {state_zip, f"review_{profile['run_id']}.csv"} <= names and not any(n.startswith("item_full") for n in names)
+    assert (root / f"first/decision_detail_{profile['run_id']}.csv").read_bytes().startswith(b"\xef\xbb\xbf")
+    write("settings/s.csv", SETTING.format(30).replace(",x,", ',"枕, ""大"" 😀",') + ",P9,,1,u,40,布団 収納,50,\r\n", "utf-8-sig")
+    runner.main([*arguments, f"{root}/second", "--settings", f"{root}/settings", "--product-master", f"{root}/master", "--state", f"{root}/first/{state_zip}", "--as-of", "2026-07-11T00:00:00"])
+    second = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert second["input_hash"] == profile["input_hash"] and second["run_id"] != profile["run_id"]
+    found = (root / f"second/item_full_{second['run_id']}.csv").read_bytes()
+    lines = found.split(b"\r\n")
+    assert lines[0].decode("cp932") == "コントロールカラム,商品管理番号,商品名,価格,商品URL,商品CPC,キーワード,キーワードCPC,目安CPC"
+    assert lines[1].decode("cp932").split(",P1,")[1].startswith('"枕, ""大"" ?",1000,https://example.com,') and lines[2].decode("cp932").startswith(",P9,,1,u,40,,,") and lines[3] == b""
+    words = (root / f"second/keyword_full_{second['run_id']}.csv").read_bytes().decode("cp932").split("\r\n")
+    assert words[1] == ",P9,,1,u,40,布団 収納,50,"
+    with zipfile.ZipFile(root / f"second/state_bundle_{second['run_id']}.zip") as z:
+        assert z.read("run_history.csv").decode().count("run_2026") == 2
+    assert not [n for n in (root / "second").iterdir() if n.name.endswith(".parts")]
+
+
+def test_files_of_many_parts_equal_small_ones(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f'n{i} "q", 名😀 ', None if i % 3 else "") for i in range(200)], "a long, b string, `c d` string").repartition(5)
+    for encoding in ("cp932", "utf-8-sig"):
+        sinks.write_file(rows, f"{tmp_path}/{encoding}.csv", encoding, order=["a"])
+        assert (tmp_path / f"{encoding}.csv").read_bytes() == sinks.csv_bytes(rows.orderBy("a"), encoding)
+    sinks.write_file(rows.limit(0), f"{tmp_path}/none.csv", "cp932")
+    assert (tmp_path / "none.csv").read_bytes() == b"a,b,c d\r\n"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidweave.functions import columns as c
+from bidweave.functions import columns
 from bidweave.operators import decide, graph, reports, text
 from bidweave.sources import sinks
 
@@ -178,7 +179,21 @@ def test_payload_summary_and_neighbourhood(decided):
     largest = max(sum(r["value"] for r in of.values() if r["community"] == c) for c in {r["community"] for r in of.values()})
     assert s["clusters"] == len({r["community"] for r in of.values()}) and s["largest_cluster_share_pct"] == pytest.approx(largest / 22000 * 100)
     found = json.loads(graph.payload(nodes.select("node_id", "label", "value"), edges.select("source", "target", "edge_value"), total).first()["payload"])
-    assert {n["node_id"]: n["value"] for n in found["nodes"]} == {k: r["value"] for k, r in of.items()} and len(found["edges"]) == 3 and found["summary"]["edges"] == 3
+    assert {n["id"]: n["value"] for n in found["nodes"]} == {k: r["value"] for k, r in of.items()} and len(found["edges"]) == 3 and found["summary"]["edges"] == 3
+    whole = json.loads(graph.payload(nodes, edges, total, graph_kind="bipartite", target_roas_pct=300.0).first()["payload"])
+    by_id = {n["id"]: n for n in whole["nodes"]}
+    for node_id, r in of.items():
+        n, product = by_id[node_id], r["node_type"] == "PRODUCT"
+        assert (n["type"], n["label"], n["sales"]) == (r["node_type"], r["product_id"] if product else r["keyword"], r["sales_attr"])
+        assert (n["action"], n["degree"], n["x"], n["y"]) == (decided.select(columns.action_class(F.lit(r["action"]), F.lit(r["decision_status"]))).first()[0], r["weighted_degree"], r["x"], r["y"])
+        assert isinstance(n["x"], float) and n["productCount"] == (0 if product else r["product_count"]) and n["recommendedCpc"] == (r["recommended_cpc"] or 0)
+    assert by_id["P|L-1"]["label"] == "L-1" and (whole["graphKind"], whole["targetRoasPct"], whole["metric"]) == ("bipartite", 300.0, "sales_attr")
+    # Edges of which an end is no node are left out; odd numbers are zeros; markup can't end a script.
+    few = nodes.where("node_id <> 'K|北欧 家具'").withColumns({"value": F.lit(float("nan")), "full_label": F.lit("</script>"), "keyword": F.lit(""), "product_id": F.lit(None).cast("string")})
+    text = graph.payload(few, edges, total).first()["payload"]
+    part = json.loads(text)
+    assert "</" not in text and all(e["target"] != "K|北欧 家具" for e in part["edges"]) and 0 < len(part["edges"]) < 3
+    assert all(n["value"] == 0.0 and n["label"] == "</script>" for n in part["nodes"])
     assert {r["node_id"]: r["hit"] for r in graph.neighbourhood(nodes, edges, "ランプ").collect()} == {"P|L-1": True, "K|ランプ 調光": True, "K|北欧 家具": False}
     assert graph.ego(edges, "K|北欧 家具", most=1).first()["source"] == "P|L-1" and graph.ego(edges, graph.leading(edges)).count() == 2
     assert graph.top_entities(nodes, "KEYWORD", 1).count() == 1
