@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidweave.functions import columns as c
-from bidweave.functions import columns
 from bidweave.operators import decide, graph, reports, text
 from bidweave.sources import sinks
 
@@ -185,7 +184,7 @@ def test_payload_summary_and_neighbourhood(decided):
     for node_id, r in of.items():
         n, product = by_id[node_id], r["node_type"] == "PRODUCT"
         assert (n["type"], n["label"], n["sales"]) == (r["node_type"], r["product_id"] if product else r["keyword"], r["sales_attr"])
-        assert (n["action"], n["degree"], n["x"], n["y"]) == (decided.select(columns.action_class(F.lit(r["action"]), F.lit(r["decision_status"]))).first()[0], r["weighted_degree"], r["x"], r["y"])
+        assert (n["action"], n["degree"], n["x"], n["y"]) == (decided.select(c.action_class(F.lit(r["action"]), F.lit(r["decision_status"]))).first()[0], r["weighted_degree"], r["x"], r["y"])
         assert isinstance(n["x"], float) and n["productCount"] == (0 if product else r["product_count"]) and n["recommendedCpc"] == (r["recommended_cpc"] or 0)
     assert by_id["P|L-1"]["label"] == "L-1" and (whole["graphKind"], whole["targetRoasPct"], whole["metric"]) == ("bipartite", 300.0, "sales_attr")
     # Edges of which an end is no node are left out; odd numbers are zeros; markup can't end a script.
