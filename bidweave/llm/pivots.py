@@ -31,8 +31,8 @@ PIVOTS, MOST_PIVOTS = 256, 8192
 NEAREST = [(512, 6), (2048, 7), (MOST_PIVOTS, 8)]
 #: Distinct vectors that are drawn for every pivot that is chosen.
 DRAWN = 16
-#: Vectors of a list that one block holds.
-BLOCK = 512
+#: Vectors of a list that one block holds, and those that are compared with all pivots at a time.
+BLOCK, SOME = 512, 512
 
 
 def _vector(v: list[float] | None) -> np.ndarray | None:
@@ -57,7 +57,10 @@ def _spread(drawn: np.ndarray, most: int, threshold: float) -> np.ndarray:
     """
     chosen: list[int] = []
     for cosine in (2 * threshold**2 - 1 if threshold > 0 else threshold, threshold):
-        free = (drawn @ drawn[chosen].T < cosine).all(axis=1)
+        if len(chosen) >= most:
+            break
+        # In blocks: all drawn vectors against all chosen ones are 16 numbers for every two pivots.
+        free = np.concatenate([(drawn[k : k + SOME] @ drawn[chosen].T < cosine).all(axis=1) for k in range(0, len(drawn), SOME)])
         while len(chosen) < most and free.any():
             chosen.append(int(free.argmax()))
             free &= drawn @ drawn[chosen[-1]] < cosine
@@ -65,6 +68,13 @@ def _spread(drawn: np.ndarray, most: int, threshold: float) -> np.ndarray:
     return drawn[chosen]
 
 
+def _nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of each row's k nearest pivots, ascending."""
+    if k >= len(pivots):
+        return np.tile(np.arange(len(pivots)), (len(x), 1))
+    return np.sort(np.argpartition(x @ pivots.T, len(pivots) - k, axis=1)[:, len(pivots) - k :], axis=1)
+
+
 def _pairs(nearest: np.ndarray) -> np.ndarray:
     """The list of every two of a row's ascending pivots, as one number each."""
     return np.stack([nearest[:, i].astype(np.int64) << 32 | nearest[:, j] for i, j in combinations(range(nearest.shape[1]), 2)], axis=1)
@@ -145,7 +155,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int | No
     """(id, n_links, component_id, kept) for each row of vectors.
 
     Rows of one size are linked where their cosine is at least the threshold, of those that share two of their nearest pivots;
-    equal vectors always are. n_links counts the other rows linked directly, component_id is the smallest id that links lead
+    equal vectors always are. With pivots=1 there is one list, whose blocks hold every pair: that is the exact way, at the price
+    of all pairs. n_links counts the other rows linked directly, component_id is the smallest id that links lead
     to, and kept marks the row whose id that is. Vectors that are null, zero, or hold null or non-finite components link with
     nothing. Ids are unique 64-bit integers; repeated rows count as copies of each other. An empty table gives no rows; other
     columns are left out. Each size of vectors has its own pivots, as many as the square root of its vectors, from PIVOTS to
@@ -159,8 +170,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int | No
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, len(batch), SOME):
+                part = batch.slice(at, SOME)
                 found = [_vector(v) for v in part.column(1).to_pylist()]
                 digests, packed, near = ([None] * len(found) for _ in range(3))
                 for size, of in index.items():
@@ -168,8 +179,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, pivots: int | No
                     if not there:
                         continue
                     x = np.stack([found[i] for i in there])
-                    # The nearest pivots, by cosine and then number; kept in ascending order of their numbers.
-                    order = (np.sort(np.argsort(-(_unit(x) @ of.points.T), axis=1, kind="stable")[:, : of.nearest], axis=1) + of.first).astype(np.int32)
+                    order = (_nearest(_unit(x), of.points, of.nearest) + of.first).astype(np.int32)
                     for i, v, o in zip(there, x, order, strict=True):
                         digests[i], packed[i], near[i] = hashlib.blake2b(v.tobytes(), digest_size=16).digest(), v.tobytes(), o.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.binary()) for c in (digests, packed, near))], names=["id", "digest", "vector", "nearest"])
