@@ -62,17 +62,21 @@ def entity_state(performance: DataFrame, policy: Policy) -> DataFrame:
 def absorb(rows: DataFrame, store: StateStore, policy: Policy, *, mark: tuple[str, int] | None = None) -> int:
     """Takes performance rows into the state in one transaction; the number of the manifest that has them.
 
-    rows: of any reports, in any order, given before or not; of a snapshot's rows for an entity the last by ord counts. mark: a
+    rows: of any reports, in any order; a row that was given before, however long ago, is left out, and of a snapshot's rows
+    for an entity the last by ord counts. mark: a
     name and a rising number, such as a stream's micro-batch: what was absorbed under it or a later one isn't absorbed again.
     """
     base = store.number()
     if mark is not None and store.manifest(base)["marks"].get(mark[0], -1) >= mark[1]:
         return base
     columns = [f.split(" ")[0] for f in PERFORMANCE.split(", ")]
-    new = written(rows.select(*columns), "delta")
-    touched = new.select("entity_key").distinct()
-    before = store.read("snapshots", at=base).drop("ord").withColumnRenamed("source_ord", "ord").join(touched, "entity_key", "left_semi")
-    now = written(entity_state(ingest.dedupe_snapshots(before.select(*columns).unionByName(new)), policy), "entity_state")
+    given = written(rows.select(*columns), "given")
+    touched = given.select("entity_key").distinct()
+    before = store.read("snapshots", at=base).drop("ord").withColumnRenamed("source_ord", "ord").join(touched, "entity_key", "left_semi").select(*columns)
+    # Of any age: what is there already is not kept twice.
+    there = before.select(*[F.col(c).alias(f"__{c}") for c in ("entity_key", "snapshot_id", "ord")])
+    new = written(given.join(there, F.expr("entity_key <=> __entity_key AND snapshot_id <=> __snapshot_id AND ord <=> __ord"), "left_anti"), "delta")
+    now = written(entity_state(ingest.dedupe_snapshots(before.unionByName(new)), policy), "entity_state")
     was = current_windows(store, at=base).join(touched, "entity_key", "left_semi")
 
     def signed(part: DataFrame, sign: int) -> DataFrame:

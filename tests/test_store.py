@@ -185,9 +185,10 @@ def test_absorbed_in_any_parts_decides_as_one_batch(spark, tmp_path, performance
     assert decided(one) == decided(runner.build_from_state(store, settings, master, policy, as_of))
     number, before = store.number(), figures(store)
     assert absorbed.absorb(performance, store, policy, mark=("parts", 2)) == number == store.number()
-    # Given again under a new mark, nothing changes but the copies.
+    # Given again under a new mark, nothing changes.
+    kept = store.read("snapshots").count()
     absorbed.absorb(performance.where("product_id = 'P1'"), store, policy, mark=("parts", 3))
-    assert figures(store) == before and store.number() == number + 1
+    assert figures(store) == before and store.number() == number + 1 and store.read("snapshots").count() == kept == performance.count()
     monkeypatch.setattr(state_store, "MOST_FOLDERS", 1)
     absorbed.compact(store)
     assert all(len(t["folders"]) == 1 for t in store.manifest()["tables"].values())
