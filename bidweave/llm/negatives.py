@@ -5,8 +5,9 @@ norm (an anchor's is 0). Rows and anchors are assigned to the nearest of some pi
 serve each anchor; the bounds of a cell's anchors against every pivot then say which cells a row might serve, and it is copied to
 the anchors of those alone. There a local join compares anchors with rows in blocks, exactly, and keeps the best of each.
 
-Rounds: rows of an anchor's own cell give its positives so far and with them a radius; the rows within that radius complete the
-positives; and the least score that a negative may have is the radius of the last round.
+Rounds: rows of an anchor's own cell give its positives so far and with them a radius; the rows within that radius have the
+positives; and the least score that a negative may have is the radius of the last round. Where bounds tell little, as among vectors of many
+dimensions that are all far from each other, a row would go to most cells: cells are then merged into few groups, to which it goes once.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from bidweave.session import written
 
 #: Most pivots of vectors of one size, and anchors of one group: what the driver and a task hold of them is bounded at every size.
 PIVOTS, GROUP = 64, 8192
-#: Anchors of the sample that pivots are chosen from; rows of a slice; and scores that a block has.
-SAMPLE, SLICE, SCORES = 2048, 16_384, 2_000_000
+#: Rows of the samples that pivots are chosen from and bounds are tried on; the fewest rows of a slice; and scores that a block has.
+SAMPLE, SLICE, SCORES = 2048, 4096, 2_000_000
+#: The share of cells that a row goes to from which cells are merged.
+MOST_CELLS = 0.5
 ROWS = "key int, slice int, kind int, id long, label long, vector binary, near binary"
 
 
@@ -54,12 +57,14 @@ def _unpacked(values: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """Pivots of the vectors of one size, in one dimension more; the squared largest norm; and each cell's first group and number of groups."""
+    """Pivots of the vectors of one size, in one dimension more; the squared largest norm; and each cell's anchors, first group and
+    number of groups."""
 
     size: int
     pivots: np.ndarray
     top: float
     rows: int
+    anchors: np.ndarray
     first: np.ndarray
     groups: np.ndarray
 
@@ -92,8 +97,9 @@ def _cells(ready: DataFrame, pivots: int | None, group: int) -> list[Cells]:
     for r in sizes:
         size, most = r["size"], pivots or max(1, min(PIVOTS, math.isqrt(r["anchors"])))
         sample = ready.where(F.col("anchor") & (F.col("size") == size)).select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).toArrow()
-        bare = Cells(size, np.zeros((1, size + 1)), r["top"], r["rows"], np.zeros(1, int), np.ones(1, int))
-        bare = Cells(size, _apart(bare.lifted(_unpacked(sample.column("vector"), size), True), most), r["top"], r["rows"], bare.first, bare.groups)
+        none = np.zeros(1, int)
+        bare = Cells(size, np.zeros((1, size + 1)), r["top"], r["rows"], none, none, none)
+        bare = Cells(size, _apart(bare.lifted(_unpacked(sample.column("vector"), size), True), most), r["top"], r["rows"], none, none, none)
 
         def nearest(batches: Iterator[pa.RecordBatch], cells: Cells = bare) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -103,7 +109,7 @@ def _cells(ready: DataFrame, pivots: int | None, group: int) -> list[Cells]:
         for c in ready.where(F.col("anchor") & (F.col("size") == size)).select("vector").mapInArrow(nearest, "cell long").groupBy("cell").count().collect():
             counts[c["cell"]] = c["count"]
         groups = -(-counts // group)
-        out.append(Cells(size, bare.pivots, r["top"], r["rows"], first + np.cumsum(groups) - groups, groups))
+        out.append(Cells(size, bare.pivots, r["top"], r["rows"], counts, first + np.cumsum(groups) - groups, groups))
         first += int(groups.sum())
     return out
 
@@ -162,8 +168,34 @@ def _bounds(known: DataFrame, cells: list[Cells]) -> dict[int, tuple[np.ndarray,
     return out
 
 
-def _routed(ready: DataFrame, cells: list[Cells], bounds: dict | None, own: bool) -> DataFrame:
-    """Rows once for every group that they might serve. Without bounds: their own cell's alone; with them and not own: other cells' alone."""
+def _served(far: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(rows, cells): whether a row may serve some anchor of a cell, by its distances to all pivots."""
+    low, high = bounds
+    return ((far[:, None] >= low[None]) & (far[:, None] <= high[None])).all(axis=2)
+
+
+def _merged(ready: DataFrame, cells: list[Cells], bounds: dict, group: int) -> np.ndarray:
+    """The group that each group's anchors join: itself, or with others one of `group` anchors at most, where rows of a sample would go to
+    most of the cells. What reaches the driver is the sample."""
+    to = np.arange(sum(int(c.groups.sum()) for c in cells))
+    for c in cells:
+        sample = ready.where(F.col("size") == c.size).select("id", "vector").orderBy(F.xxhash64("id"), "vector").limit(SAMPLE).toArrow()
+        there = np.flatnonzero(c.groups)
+        if _served(c.distances(_unpacked(sample.column("vector").combine_chunks(), c.size), False), bounds[c.size])[:, there].mean() < MOST_CELLS:
+            continue
+        into, held = -1, group
+        for cell in there:
+            if c.groups[cell] > 1:
+                continue
+            if held + c.anchors[cell] > group:
+                into, held = c.first[cell], 0
+            to[c.first[cell]] = into
+            held += c.anchors[cell]
+    return to
+
+
+def _routed(ready: DataFrame, cells: list[Cells], bounds: dict | None, to: np.ndarray) -> DataFrame:
+    """Rows once for every group that they might serve; without bounds, their own cell's alone. to: the group that a group has joined."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 256
@@ -177,19 +209,15 @@ def _routed(ready: DataFrame, cells: list[Cells], bounds: dict | None, own: bool
                     if not len(mine):
                         continue
                     far = c.distances(_unpacked(part.column("vector").take(pa.array(mine)), c.size), False)
-                    home = np.arange(len(c.pivots))[None] == far.argmin(axis=1)[:, None]
-                    serves = home
-                    if bounds is not None:
-                        low, high = bounds[c.size]
-                        serves = ((far[:, None] >= low[None]) & (far[:, None] <= high[None])).all(axis=2)
-                        serves = serves if own else serves & ~home
+                    serves = np.arange(len(c.pivots))[None] == far.argmin(axis=1)[:, None] if bounds is None else _served(far, bounds[c.size])
                     row, cell = np.nonzero(serves & (c.groups > 0)[None])
                     times = c.groups[cell]
                     row = np.repeat(row, times)
                     within = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                    rows.append(mine[row])
-                    keys.append(np.repeat(c.first[cell], times) + within)
-                    slices.append(spread[mine[row]] % c.slices())
+                    once = np.unique(row.astype(np.int64) << 32 | to[np.repeat(c.first[cell], times) + within])
+                    rows.append(mine[once >> 32])
+                    keys.append(once & 0xFFFFFFFF)
+                    slices.append(spread[rows[-1]] % c.slices())
                 if rows and sum(map(len, rows)):
                     take = part.take(pa.array(np.concatenate(rows)))
                     n = len(take)
@@ -294,12 +322,18 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from (b for b in batches if len(b))
 
 
-def _joined(rows: DataFrame, anchors: DataFrame, cells: list[Cells], *, k: int, low: int = 0, high: int = 0, negatives: bool = False) -> DataFrame:
+def _joined(rows: DataFrame, anchors: DataFrame, cells: list[Cells], to: np.ndarray, *, k: int, low: int = 0, high: int = 0, negatives: bool = False) -> DataFrame:
     """Rows and anchors of each group and slice, met in one place. anchors: id, label, vector, key and near."""
     slices = max(c.slices() for c in cells)
-    tasks = min(20_000, sum(int(c.groups.sum()) * c.slices() for c in cells))
+    tasks = min(20_000, len(np.unique(to)) * slices)
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(0, "key", pa.array(to[batch.column(0).to_numpy()], pa.int32()))
+
     # Each group's anchors go to each of its slices.
-    copies = anchors.select("key", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "id", "label", "vector", "near")
+    moved = anchors.select("key", "id", "label", "vector", "near").mapInArrow(joining, "key int, id long, label long, vector binary, near binary")
+    copies = moved.select("key", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "id", "label", "vector", "near")
     both = copies.unionByName(rows).repartition(max(1, tasks), "key", "slice").sortWithinPartitions("key", "slice", "kind", "id")
     return both.mapInArrow(lambda b: _met(b, cells, k, low, high, negatives), "anchor long, positive long, positive_score double, other long, score double")
 
@@ -321,8 +355,8 @@ def hard_negatives(vectors: DataFrame, anchor: Column, *, positives: int = 5, ne
     is there, an anchor counts once, and never meets its own id. Without anchors there are no rows. Other
     columns are left out.
 
-    The join is exact whatever the bounds exclude. Vectors that are far from each other in many dimensions are hardly told apart by
-    distances to pivots; then every row goes to every group, of which there are one in GROUP anchors, and at least the cells'.
+    The join is exact whatever the bounds exclude. Where they exclude little, every row is compared with every anchor, as many as a
+    group at a time: the work then grows with rows times anchors, and a row is copied once in GROUP anchors.
     """
     spark = vectors.sparkSession
 
@@ -348,12 +382,13 @@ def hard_negatives(vectors: DataFrame, anchor: Column, *, positives: int = 5, ne
     alone = ready.where("anchor").groupBy("id").agg(F.min(F.struct("label", "size", "vector")).alias("a")).select("id", "a.*")
     anchors = written(_grouped(alone, cells).withColumn("near", F.lit(None).cast("binary")), "anchors")
 
-    home = _joined(_routed(ready, cells, None, True), anchors, cells, k=positives)
-    home = written(_first(home, ["anchor"], positives), "near")
+    alone_in = np.arange(sum(int(c.groups.sum()) for c in cells))
+    home = _first(_joined(_routed(ready, cells, None, alone_in), anchors, cells, alone_in, k=positives), ["anchor"], positives)
     least = home.groupBy("anchor").agg(F.when(F.count("*") >= positives, F.min("score")).alias("least"))
     known = anchors.join(least, F.col("id") == F.col("anchor"), "left").withColumn("least", F.col("least").cast("double"))
-    away = _joined(_routed(ready, cells, _bounds(known, cells), False), anchors, cells, k=positives)
-    found = written(_first(away.unionByName(home.drop("place")), ["anchor"], positives), "positives")
+    bounds = _bounds(known, cells)
+    to = _merged(ready, cells, bounds, group)
+    found = written(_first(_joined(_routed(ready, cells, bounds, to), anchors, cells, to, k=positives), ["anchor"], positives), "positives")
 
     def near(part: pa.Table) -> pa.Table:
         near_rows = np.empty(len(part), [("id", "<i8"), ("score", "<f8")])
@@ -366,7 +401,9 @@ def hard_negatives(vectors: DataFrame, anchor: Column, *, positives: int = 5, ne
 
     lists = found.select("anchor", "other", "score").groupBy("anchor").applyInArrow(near, "anchor long, near binary, least double")
     served = written(anchors.drop("near").join(lists, F.col("id") == F.col("anchor")).drop("anchor"), "served")
-    last = _joined(_routed(ready, cells, _bounds(served, cells), True), served, cells, k=negatives, low=low, high=high, negatives=True)
+    bounds = _bounds(served, cells)
+    to = _merged(ready, cells, bounds, group)
+    last = _joined(_routed(ready, cells, bounds, to), served, cells, to, k=negatives, low=low, high=high, negatives=True)
     last = _first(last, ["anchor", "positive"], negatives)
     return last.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("place").cast("int").alias("rank"), F.col("other").alias("negative_id"), F.col("positive_score").cast("long").alias("positive_score"), F.col("score").cast("long").alias("negative_score"))
 

@@ -81,7 +81,13 @@ def test_bounds_leave_out_rows_of_far_cells(spark):
     cells = negatives._cells(table, 8, 8192)
     anchors = negatives._grouped(table.where("anchor"), cells)
     bounds = negatives._bounds(anchors.withColumn("least", F.lit(256.0 * 256 * 90)), cells)
-    assert negatives._routed(table, cells, bounds, True).count() < 2 * len(rows)
+    to = negatives._merged(table, cells, bounds, 8192)
+    assert len(set(to)) == len(to) > 2 and negatives._routed(table, cells, bounds, to).count() < 2 * len(rows)
+    # Bounds that exclude nothing: cells are merged, as far as a group goes, and a row goes there once.
+    wide = negatives._bounds(anchors.withColumn("least", F.lit(None).cast("double")), cells)
+    into = negatives._merged(table, cells, wide, 8192)
+    assert set(into) == {0} and negatives._routed(table, cells, wide, into).count() == len(rows)
+    assert 1 < len(set(negatives._merged(table, cells, wide, 20))) < len(to)
 
 
 def test_negatives_of_nothing(spark):
