@@ -48,11 +48,9 @@ def _kept(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     held = slot_map.select("virtual_slot", "shard").join(sizes.select("virtual_slot", "bytes"), "virtual_slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     # A window over a shard's slots, of which there are as many as the map has rows at most.
     largest_first = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
-    share = held.agg((F.sum("bytes") / shards).alias("share"))
+    share = held.agg((F.sum("bytes") / shards).alias("share")).scalar()
     held = held.withColumns({"place": F.row_number().over(largest_first), "upto": F.sum("bytes").over(largest_first.rowsBetween(Window.unboundedPreceding, 0))})
-    # The share is one row.
-    held = held.crossJoin(share)
-    return held.withColumn("stays", (F.col("shard") < shards) & ((F.col("place") == 1) | (F.col("upto") <= F.col("share"))))
+    return held.withColumn("stays", (F.col("shard") < shards) & ((F.col("place") == 1) | (F.col("upto") <= share)))
 
 
 def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
@@ -63,21 +61,17 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
     a fixed number.
     """
     held = _kept(slot_map, sizes, shards)
-    kept = held.where("stays").groupBy("shard").agg(F.sum("bytes").alias("load")).agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("by_shard"))
-    loads = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.element_at("by_shard", i), F.lit(0).cast("long")))
-    free = held.where("NOT stays").agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot"))).alias("free"))
+    # What stays comes first, then what is free, the largest first.
+    slots = held.agg(F.sort_array(F.collect_list(F.struct((~F.col("stays")).alias("free"), (-F.col("bytes")).alias("less"), "virtual_slot", "shard"))).alias("slots"))
 
     def deal(state: Column, slot: Column) -> Column:
-        least = F.array_position(state["loads"], F.array_min(state["loads"])) - 1
-        return F.struct(
-            F.transform(state["loads"], lambda load, i: F.when(i == least, load - slot["less"]).otherwise(load)).alias("loads"),
-            F.concat(state["moves"], F.array(F.struct(slot["virtual_slot"].alias("virtual_slot"), least.cast("int").alias("to")))).alias("moves"),
-        )
-
-    start = F.struct(loads.alias("loads"), F.array().cast("array<struct<virtual_slot:int,to:int>>").alias("moves"))
-    # Both are aggregates of one row.
-    moves = free.crossJoin(kept).select(F.explode(F.aggregate("free", start, deal)["moves"]).alias("move")).select("move.*")
-    return held.select("virtual_slot", "shard").join(moves, "virtual_slot", "left").select("virtual_slot", F.coalesce("to", "shard").alias("shard"))
+        to = F.when(slot["free"], F.array_position(state["loads"], F.array_min(state["loads"])) - 1).otherwise(slot["shard"]).cast("int")
+        moves = F.when(slot["free"], F.concat(state["moves"], F.array(F.struct(slot["virtual_slot"].alias("virtual_slot"), to.alias("to"))))).otherwise(state["moves"])
+        return F.struct(F.transform(state["loads"], lambda load, i: F.when(i == to, load - slot["less"]).otherwise(load)).alias("loads"), moves.alias("moves"))
+
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<struct<virtual_slot:int,to:int>>").alias("moves"))
+    moves = slots.select(F.explode(F.aggregate("slots", start, deal)["moves"]).alias("move")).select("move.*")
+    return slot_map.select("virtual_slot", "shard").join(moves, "virtual_slot", "left").select("virtual_slot", F.coalesce("to", "shard").alias("shard"))
 
 
 def grown(slot_map: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
