@@ -6,7 +6,7 @@ import hashlib
 import json
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidweave.functions.columns import days_between, latest_by, truthy
@@ -27,17 +27,18 @@ def latest_pending(planned: DataFrame) -> DataFrame:
 
 def latest_metrics(history: DataFrame) -> DataFrame:
     """The last metrics of each key by period end and capture; undated ones win."""
-    order = Window.partitionBy(*KEYS).orderBy(F.col("period_end").desc_nulls_first(), F.col("captured_at").desc_nulls_first(), F.col("ord").desc())
-    last = history.withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return last.select(*KEYS, *[F.col(c).alias(f"prev_{c}") for c in ("clicks", "cvr_attr", "roas_attr_pct", "actual_cpc")])
+    values = ["clicks", "cvr_attr", "roas_attr_pct", "actual_cpc"]
+    dated = history.withColumns({"__no_end": F.col("period_end").isNull(), "__no_capture": F.col("captured_at").isNull()})
+    last = latest_by(dated, KEYS, ["__no_end", "period_end", "__no_capture", "captured_at", "ord"], values)
+    return last.withColumnsRenamed({v: f"prev_{v}" for v in values})
 
 
 def active_overrides(overrides: DataFrame, as_of: Column) -> DataFrame:
     """The last override of each key that is active and whose interval holds as_of; undated ones win."""
     now = truthy(F.col("active")) & F.coalesce(F.col("effective_from") <= as_of, F.lit(True)) & F.coalesce(F.col("effective_until") >= as_of, F.lit(True))
-    order = Window.partitionBy(*KEYS).orderBy(F.col("effective_from").desc_nulls_first(), F.col("ord").desc())
-    last = overrides.where(now).withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return last.select(*KEYS, F.upper("override_mode").alias("override_mode"), "override_cpc")
+    dated = overrides.where(now).withColumn("__no_start", F.col("effective_from").isNull())
+    last = latest_by(dated, KEYS, ["__no_start", "effective_from", "ord"], ["override_mode", "override_cpc"])
+    return last.withColumn("override_mode", F.upper("override_mode"))
 
 
 def reconcile(entities: DataFrame, as_of: Column) -> DataFrame:

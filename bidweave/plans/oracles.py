@@ -94,7 +94,8 @@ _CHAIN = [
 ]
 
 
-def _sql(body: str) -> str:
+def chained(body: str) -> str:
+    """The body after the tables that the queries' SQL shares."""
     return ctes() + ",\n" + ",\n".join(_CHAIN) + "\n" + body
 
 
@@ -114,58 +115,58 @@ _STOPS = ", ".join(f"'{t}'" for t in STOP_TERMS)
 _MEANS = "(CASE WHEN sum(clicks) <> 0 THEN {0} ELSE 0 END)"
 
 ORACLES = {
-    "kpi_summary": _sql("SELECT round(sum(clicks), 6) + 0 AS clicks, round(sum(cost), 6) + 0 AS cost, round(sum(sales_attr), 6) + 0 AS sales_attr, round(sum(orders_attr), 6) + 0 AS orders_attr, round(sum(sales_attr) / sum(cost) * 100, 6) + 0 AS roas_attr_pct, round(sum(orders_attr) / sum(clicks), 6) + 0 AS cvr_attr, round(sum(cost) / sum(clicks), 6) + 0 AS actual_cpc FROM o_win WHERE entity_type = 'ITEM'"),
-    "top_products_by_roas": _sql("SELECT product_id, " + _rounded("clicks", "cost", "sales_attr", "roas_attr_pct", "share AS sales_share_pct") + " FROM (SELECT *, sales_attr * 100 / sum(sales_attr) OVER () AS share FROM o_win WHERE entity_type = 'ITEM' AND cost > 0) ORDER BY roas_attr_pct DESC NULLS LAST, product_id LIMIT 10"),
-    "ratio_metrics": _sql("SELECT entity_key, " + _rounded("cvr_attr", "roas_attr_pct", "aov_attr", "cvr_attr_long", "roas_attr_pct_long", "aov_attr_long") + " FROM o_win"),
-    "clean_numeric": _sql(f"SELECT product_id, keyword, ord, {_number('item_cpc')} AS item_cpc, {_number('keyword_cpc')} AS keyword_cpc, CAST('1' || price AS DOUBLE) AS price FROM settings"),
+    "kpi_summary": chained("SELECT round(sum(clicks), 6) + 0 AS clicks, round(sum(cost), 6) + 0 AS cost, round(sum(sales_attr), 6) + 0 AS sales_attr, round(sum(orders_attr), 6) + 0 AS orders_attr, round(sum(sales_attr) / sum(cost) * 100, 6) + 0 AS roas_attr_pct, round(sum(orders_attr) / sum(clicks), 6) + 0 AS cvr_attr, round(sum(cost) / sum(clicks), 6) + 0 AS actual_cpc FROM o_win WHERE entity_type = 'ITEM'"),
+    "top_products_by_roas": chained("SELECT product_id, " + _rounded("clicks", "cost", "sales_attr", "roas_attr_pct", "share AS sales_share_pct") + " FROM (SELECT *, sales_attr * 100 / sum(sales_attr) OVER () AS share FROM o_win WHERE entity_type = 'ITEM' AND cost > 0) ORDER BY roas_attr_pct DESC NULLS LAST, product_id LIMIT 10"),
+    "ratio_metrics": chained("SELECT entity_key, " + _rounded("cvr_attr", "roas_attr_pct", "aov_attr", "cvr_attr_long", "roas_attr_pct_long", "aov_attr_long") + " FROM o_win"),
+    "clean_numeric": chained(f"SELECT product_id, keyword, ord, {_number('item_cpc')} AS item_cpc, {_number('keyword_cpc')} AS keyword_cpc, CAST('1' || price AS DOUBLE) AS price FROM settings"),
     "clean_text": "SELECT p_partkey, p_name || ' x' AS cleaned, CASE WHEN p_partkey % 3 = 0 THEN 'NONE' ELSE upper(p_type) END AS kind, CASE WHEN length(p_name) > 6 THEN substr(p_name, 1, 5) || '…' ELSE p_name END AS label FROM part",
-    "entity_keys": _sql("SELECT snapshot_id, ord, platform || '|' || entity_type || '|' || product_id || '|' || keyword AS entity_key, substr(sha256(source_hash), 1, 16) AS digest FROM o_perf"),
+    "entity_keys": chained("SELECT snapshot_id, ord, platform || '|' || entity_type || '|' || product_id || '|' || keyword AS entity_key, substr(sha256(source_hash), 1, 16) AS digest FROM o_perf"),
     "date_periods": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND year(o_orderdate) >= 2000 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS period_start, CASE WHEN o_orderkey % 7 <> 0 AND year(o_orderdate) >= 2000 THEN CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS VARCHAR) END AS period_end, CASE WHEN o_orderkey % 7 <> 0 AND year(o_orderdate) >= 2000 THEN CAST(o_orderkey % 40 + 1 AS INT) END AS window_days, round(epoch(TIMESTAMP '2002-01-01' - o_orderdate) / 86400, 6) + 0 AS age_days FROM orders",
-    "quality_row_errors": _sql("SELECT snapshot_id, entity_key, errors FROM o_errs WHERE errors <> ''"),
-    "quality_run_gate": _sql("SELECT 'BLOCK' AS status, round(greatest(0, 100 - e * 100::DOUBLE / n - CASE WHEN dropped THEN 20 ELSE 0 END - least(10, dup * 0.1::DOUBLE)), 1) AS score, n AS rows, e AS row_error_count, round(e / n, 6) + 0 AS row_error_rate, dup AS duplicate_rows, dropped AS row_count_drop FROM (SELECT count(*) AS n, count(*) FILTER (WHERE errors <> '') AS e, (SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM performance GROUP BY snapshot_id, entity_key HAVING count(*) > 1)) AS dup, true AS dropped FROM o_errs)"),
-    "dedupe_snapshot": _sql("SELECT snapshot_id, entity_key, ord, orders_attr FROM o_perf"),
-    "snapshot_short": _sql("SELECT entity_key, snapshot_id, clicks, CAST(period_end AS VARCHAR) AS period_end FROM o_short"),
-    "snapshot_long": _sql("SELECT entity_key, snapshot_id, clicks, CAST(period_end AS VARCHAR) AS period_end FROM o_long"),
-    "analysis_windows": _sql("SELECT entity_key, snapshot_id_shortwin, snapshot_id_longwin, trend_available, clicks, clicks_long, sales_attr, sales_attr_long FROM o_win"),
-    "settings_item_pick": _sql("SELECT * FROM o_item_set"),
-    "settings_keyword_pick": _sql("SELECT * FROM o_kw_set"),
-    "master_enrich": _sql("SELECT DISTINCT product_id, common_product_id, category, product_group, gross_margin_rate, CAST(other_promo_cost_rate AS DOUBLE) AS other_promo_cost_rate, item_min_cpc, stock_qty, product_status, CAST(launch_date AS VARCHAR) AS launch_date, role FROM o_ent0"),
-    "latest_setting": _sql("SELECT * FROM o_applied"),
-    "latest_pending_plan": _sql("SELECT * FROM o_planned"),
-    "latest_metric_history": _sql("SELECT * FROM o_hist"),
-    "active_overrides": _sql("SELECT * FROM o_over"),
-    "reconcile_events": _sql(f"SELECT {KEYS}, event_type, registered_cpc AS setting_cpc, prior_cpc, planned_cpc, state_effective_at AS effective_at FROM o_ent WHERE event_type IS NOT NULL"),
-    "planned_status_update": _sql("SELECT p.product_id, p.planned_cpc, coalesce(CASE e.event_type WHEN 'PLAN_CONFIRMED' THEN 'CONFIRMED' WHEN 'PLAN_NOT_APPLIED' THEN 'NOT_APPLIED' WHEN 'EXTERNAL_MANUAL_CHANGE' THEN 'SUPERSEDED' END, p.planned_status) AS planned_status, p.run_id FROM planned p LEFT JOIN (SELECT * FROM o_ent WHERE event_type IS NOT NULL) e ON e.product_id = p.product_id AND e.entity_type = p.entity_type AND e.keyword = p.keyword AND e.planned_run_id = p.run_id"),
-    "input_hash": _sql("SELECT sha256(string_agg(source_hash, '|' ORDER BY source_hash)) AS input_hash FROM (SELECT DISTINCT source_hash FROM performance)"),
-    "group_priors": _sql("SELECT entity_key, round(group_cvr, 6) + 0 AS prior_cvr, round(prior_aov, 6) + 0 AS prior_aov FROM o_pri"),
-    "inherited_cvr": _sql("SELECT entity_key, round(prior_cvr, 6) + 0 AS prior_cvr FROM o_e1 WHERE entity_type = 'KEYWORD'"),
-    "beta_posterior": _sql("SELECT entity_key, " + _rounded("mean AS smoothed_cvr", "low AS cvr_lower_bound", "sd AS cvr_posterior_sd", "aov AS expected_aov") + " FROM o_e5"),
-    "current_bid": _sql("SELECT entity_key, bid AS current_bid, current_bid_source, min_cpc, max_cpc FROM o_e3"),
-    "attribution_maturity": _sql("SELECT entity_key, round(mat, 6) + 0 AS attribution_maturity FROM o_e8"),
-    "anomaly_signals": _sql("SELECT entity_key, array_to_string(sig, '|') AS anomaly_signals FROM o_e8"),
-    "dual_guard_cpc": _sql("SELECT entity_key, CASE WHEN gross_margin_rate IS NULL THEN 'ASSUMED' ELSE 'PRODUCT_MASTER' END AS margin_source, " + _rounded("margin AS margin_rate_used", "profit_guard AS profit_guard_cpc", "roas_guard AS roas_guard_cpc", "CAST(trend AS DOUBLE) AS trend_multiplier".replace("CAST(trend AS DOUBLE)", "trend"), "raw AS raw_target_cpc") + " FROM o_e8"),
-    "step_limited_cpc": _sql("SELECT entity_key, step AS stepped_cpc, round(deadband, 6) + 0 AS deadband FROM o_e8"),
-    "decision_case": _sql("SELECT entity_key, action, status AS decision_status, reason AS reason_code, rec AS recommended_cpc, auto AS auto_approved_default, CASE WHEN auto THEN 'ACCEPT' ELSE 'PENDING' END AS operator_action, round(inc, 6) + 0 AS expected_incremental_profit FROM o_dec"),
-    "parent_child_hierarchy": _sql("SELECT entity_key, action, status AS decision_status, reason AS reason_code, rec AS recommended_cpc, auto AS auto_approved_default, round(rec - bid, 6) + 0 AS delta_cpc, round((rec - bid) / bid, 6) + 0 AS delta_pct FROM o_hier"),
-    "duplicate_input_hold": _sql("SELECT entity_key, status || CASE WHEN auto THEN '_DUPLICATE_INPUT' ELSE '' END AS decision_status, 'PENDING' AS operator_action, false AS auto_approved_default FROM o_hier"),
-    "finalize_ops": _sql("SELECT entity_key, answer AS operator_action, approved AS final_approved, fin AS final_cpc, changed AS final_changed, matched AS upload_match, eligible AS upload_eligible FROM o_fin"),
-    "upload_validation": _sql("SELECT entity_key, fin AS final_cpc, CASE WHEN NOT approved THEN 'NOT_APPROVED' WHEN NOT changed THEN 'APPROVED_NO_CHANGE' WHEN NOT matched THEN 'NO_SETTING_ROW' ELSE 'OUTPUT_INCLUDED' END AS upload_validation_status FROM o_fin"),
-    "review_table": _sql(f"SELECT {KEYS}, round(bid, 6) + 0 AS current_bid, rec AS recommended_cpc, fin AS final_cpc, approved AS final_approved, action, status AS decision_status, reason AS reason_code FROM o_fin"),
-    "setting_full_output": _sql(_SETTINGS_OUT.format(item="coalesce(CAST(i.fin AS VARCHAR), s.item_cpc)", keyword="coalesce(CAST(k.fin AS VARCHAR), s.keyword_cpc)")),
-    "rollback_output": _sql(_SETTINGS_OUT.format(item="s.item_cpc", keyword="s.keyword_cpc")),
-    "status_counts": _sql("SELECT status AS decision_status, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 6) + 0 AS share_pct FROM o_hier GROUP BY status"),
-    "treemap_rollup": _sql("SELECT coalesce(category, '') AS category, coalesce(product_id, '') AS product_id, round(coalesce(sum(sales_attr), 0), 6) + 0 AS value, round(coalesce(CASE WHEN sum(sales_attr) <> 0 THEN sum(sales_attr * coalesce(roas_attr_pct, 0)) / sum(sales_attr) END, 0), 6) + 0 AS roas_attr_pct, CAST(GROUPING(category, product_id) AS BIGINT) AS level FROM o_ent WHERE entity_type = 'ITEM' GROUP BY ROLLUP (category, product_id)"),
-    "run_profile": _sql("SELECT count(DISTINCT CASE WHEN entity_type = 'ITEM' THEN product_id END) AS products, count(DISTINCT CASE WHEN entity_type = 'KEYWORD' THEN keyword END) AS keywords, count(*) AS rows, count(*) FILTER (WHERE approved) AS approved, count(*) FILTER (WHERE changed) AS changed, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE changed AND NOT matched) AS unmatched FROM o_fin"),
-    "spearman_matrix": _sql("SELECT \"left\", \"right\", round(coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0), 6) + 0 AS rho FROM (SELECT \"left\", \"right\", corr(rx, ry) AS r FROM (SELECT \"left\", \"right\", rank() OVER (PARTITION BY \"left\", \"right\" ORDER BY x) + (count(*) OVER (PARTITION BY \"left\", \"right\", x) - 1) / 2 AS rx, rank() OVER (PARTITION BY \"left\", \"right\" ORDER BY y) + (count(*) OVER (PARTITION BY \"left\", \"right\", y) - 1) / 2 AS ry FROM ("
+    "quality_row_errors": chained("SELECT snapshot_id, entity_key, errors FROM o_errs WHERE errors <> ''"),
+    "quality_run_gate": chained("SELECT 'BLOCK' AS status, round(greatest(0, 100 - e * 100::DOUBLE / n - CASE WHEN dropped THEN 20 ELSE 0 END - least(10, dup * 0.1::DOUBLE)), 1) AS score, n AS rows, e AS row_error_count, round(e / n, 6) + 0 AS row_error_rate, dup AS duplicate_rows, dropped AS row_count_drop FROM (SELECT count(*) AS n, count(*) FILTER (WHERE errors <> '') AS e, (SELECT CAST(coalesce(sum(k), 0) AS BIGINT) FROM (SELECT count(*) AS k FROM performance GROUP BY snapshot_id, entity_key HAVING count(*) > 1)) AS dup, true AS dropped FROM o_errs)"),
+    "dedupe_snapshot": chained("SELECT snapshot_id, entity_key, ord, orders_attr FROM o_perf"),
+    "snapshot_short": chained("SELECT entity_key, snapshot_id, clicks, CAST(period_end AS VARCHAR) AS period_end FROM o_short"),
+    "snapshot_long": chained("SELECT entity_key, snapshot_id, clicks, CAST(period_end AS VARCHAR) AS period_end FROM o_long"),
+    "analysis_windows": chained("SELECT entity_key, snapshot_id_shortwin, snapshot_id_longwin, trend_available, clicks, clicks_long, sales_attr, sales_attr_long FROM o_win"),
+    "settings_item_pick": chained("SELECT * FROM o_item_set"),
+    "settings_keyword_pick": chained("SELECT * FROM o_kw_set"),
+    "master_enrich": chained("SELECT DISTINCT product_id, common_product_id, category, product_group, gross_margin_rate, CAST(other_promo_cost_rate AS DOUBLE) AS other_promo_cost_rate, item_min_cpc, stock_qty, product_status, CAST(launch_date AS VARCHAR) AS launch_date, role FROM o_ent0"),
+    "latest_setting": chained("SELECT * FROM o_applied"),
+    "latest_pending_plan": chained("SELECT * FROM o_planned"),
+    "latest_metric_history": chained("SELECT * FROM o_hist"),
+    "active_overrides": chained("SELECT * FROM o_over"),
+    "reconcile_events": chained(f"SELECT {KEYS}, event_type, registered_cpc AS setting_cpc, prior_cpc, planned_cpc, state_effective_at AS effective_at FROM o_ent WHERE event_type IS NOT NULL"),
+    "planned_status_update": chained("SELECT p.product_id, p.planned_cpc, coalesce(CASE e.event_type WHEN 'PLAN_CONFIRMED' THEN 'CONFIRMED' WHEN 'PLAN_NOT_APPLIED' THEN 'NOT_APPLIED' WHEN 'EXTERNAL_MANUAL_CHANGE' THEN 'SUPERSEDED' END, p.planned_status) AS planned_status, p.run_id FROM planned p LEFT JOIN (SELECT * FROM o_ent WHERE event_type IS NOT NULL) e ON e.product_id = p.product_id AND e.entity_type = p.entity_type AND e.keyword = p.keyword AND e.planned_run_id = p.run_id"),
+    "input_hash": chained("SELECT sha256(string_agg(source_hash, '|' ORDER BY source_hash)) AS input_hash FROM (SELECT DISTINCT source_hash FROM performance)"),
+    "group_priors": chained("SELECT entity_key, round(group_cvr, 6) + 0 AS prior_cvr, round(prior_aov, 6) + 0 AS prior_aov FROM o_pri"),
+    "inherited_cvr": chained("SELECT entity_key, round(prior_cvr, 6) + 0 AS prior_cvr FROM o_e1 WHERE entity_type = 'KEYWORD'"),
+    "beta_posterior": chained("SELECT entity_key, " + _rounded("mean AS smoothed_cvr", "low AS cvr_lower_bound", "sd AS cvr_posterior_sd", "aov AS expected_aov") + " FROM o_e5"),
+    "current_bid": chained("SELECT entity_key, bid AS current_bid, current_bid_source, min_cpc, max_cpc FROM o_e3"),
+    "attribution_maturity": chained("SELECT entity_key, round(mat, 6) + 0 AS attribution_maturity FROM o_e8"),
+    "anomaly_signals": chained("SELECT entity_key, array_to_string(sig, '|') AS anomaly_signals FROM o_e8"),
+    "dual_guard_cpc": chained("SELECT entity_key, CASE WHEN gross_margin_rate IS NULL THEN 'ASSUMED' ELSE 'PRODUCT_MASTER' END AS margin_source, " + _rounded("margin AS margin_rate_used", "profit_guard AS profit_guard_cpc", "roas_guard AS roas_guard_cpc", "CAST(trend AS DOUBLE) AS trend_multiplier".replace("CAST(trend AS DOUBLE)", "trend"), "raw AS raw_target_cpc") + " FROM o_e8"),
+    "step_limited_cpc": chained("SELECT entity_key, step AS stepped_cpc, round(deadband, 6) + 0 AS deadband FROM o_e8"),
+    "decision_case": chained("SELECT entity_key, action, status AS decision_status, reason AS reason_code, rec AS recommended_cpc, auto AS auto_approved_default, CASE WHEN auto THEN 'ACCEPT' ELSE 'PENDING' END AS operator_action, round(inc, 6) + 0 AS expected_incremental_profit FROM o_dec"),
+    "parent_child_hierarchy": chained("SELECT entity_key, action, status AS decision_status, reason AS reason_code, rec AS recommended_cpc, auto AS auto_approved_default, round(rec - bid, 6) + 0 AS delta_cpc, round((rec - bid) / bid, 6) + 0 AS delta_pct FROM o_hier"),
+    "duplicate_input_hold": chained("SELECT entity_key, status || CASE WHEN auto THEN '_DUPLICATE_INPUT' ELSE '' END AS decision_status, 'PENDING' AS operator_action, false AS auto_approved_default FROM o_hier"),
+    "finalize_ops": chained("SELECT entity_key, answer AS operator_action, approved AS final_approved, fin AS final_cpc, changed AS final_changed, matched AS upload_match, eligible AS upload_eligible FROM o_fin"),
+    "upload_validation": chained("SELECT entity_key, fin AS final_cpc, CASE WHEN NOT approved THEN 'NOT_APPROVED' WHEN NOT changed THEN 'APPROVED_NO_CHANGE' WHEN NOT matched THEN 'NO_SETTING_ROW' ELSE 'OUTPUT_INCLUDED' END AS upload_validation_status FROM o_fin"),
+    "review_table": chained(f"SELECT {KEYS}, round(bid, 6) + 0 AS current_bid, rec AS recommended_cpc, fin AS final_cpc, approved AS final_approved, action, status AS decision_status, reason AS reason_code FROM o_fin"),
+    "setting_full_output": chained(_SETTINGS_OUT.format(item="coalesce(CAST(i.fin AS VARCHAR), s.item_cpc)", keyword="coalesce(CAST(k.fin AS VARCHAR), s.keyword_cpc)")),
+    "rollback_output": chained(_SETTINGS_OUT.format(item="s.item_cpc", keyword="s.keyword_cpc")),
+    "status_counts": chained("SELECT status AS decision_status, count(*) AS n, round(count(*) * 100 / sum(count(*)) OVER (), 6) + 0 AS share_pct FROM o_hier GROUP BY status"),
+    "treemap_rollup": chained("SELECT coalesce(category, '') AS category, coalesce(product_id, '') AS product_id, round(coalesce(sum(sales_attr), 0), 6) + 0 AS value, round(coalesce(CASE WHEN sum(sales_attr) <> 0 THEN sum(sales_attr * coalesce(roas_attr_pct, 0)) / sum(sales_attr) END, 0), 6) + 0 AS roas_attr_pct, CAST(GROUPING(category, product_id) AS BIGINT) AS level FROM o_ent WHERE entity_type = 'ITEM' GROUP BY ROLLUP (category, product_id)"),
+    "run_profile": chained("SELECT count(DISTINCT CASE WHEN entity_type = 'ITEM' THEN product_id END) AS products, count(DISTINCT CASE WHEN entity_type = 'KEYWORD' THEN keyword END) AS keywords, count(*) AS rows, count(*) FILTER (WHERE approved) AS approved, count(*) FILTER (WHERE changed) AS changed, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE changed AND NOT matched) AS unmatched FROM o_fin"),
+    "spearman_matrix": chained("SELECT \"left\", \"right\", round(coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0), 6) + 0 AS rho FROM (SELECT \"left\", \"right\", corr(rx, ry) AS r FROM (SELECT \"left\", \"right\", rank() OVER (PARTITION BY \"left\", \"right\" ORDER BY x) + (count(*) OVER (PARTITION BY \"left\", \"right\", x) - 1) / 2 AS rx, rank() OVER (PARTITION BY \"left\", \"right\" ORDER BY y) + (count(*) OVER (PARTITION BY \"left\", \"right\", y) - 1) / 2 AS ry FROM ("
         + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {a} AS x, {b} AS y FROM o_win WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a in ("clicks", "cost", "sales_attr", "orders_attr") for b in ("clicks", "cost", "sales_attr", "orders_attr")) + ")) GROUP BY \"left\", \"right\")"),
-    "term_frequency": _sql("SELECT term, n AS keyword_count, round(v, 6) + 0 AS weighted_value, round(v / sum(v) OVER () * 100, 6) + 0 AS share_pct FROM (SELECT term, count(*) AS n, sum(coalesce(sales_attr, 0)) AS v FROM (SELECT sales_attr, unnest(terms) AS term FROM o_kw) WHERE term NOT IN (" + _STOPS + ") GROUP BY term) QUALIFY row_number() OVER (ORDER BY v DESC, n DESC, term) <= 30"),
-    "term_cooccurrence": _sql("SELECT a.term AS term_i, b.term AS term_j, round(CASE WHEN a.term = b.term THEN 1 ELSE sum(a.w) / sqrt(max(x.own) * max(y.own)) END, 6) + 0 AS score FROM o_tk a JOIN o_tk b USING (entity_key) JOIN o_own x ON x.term = a.term JOIN o_own y ON y.term = b.term GROUP BY a.term, b.term").replace("\nSELECT a.term AS term_i", ",\no_all AS (SELECT * FROM (SELECT entity_key, coalesce(clicks, 0) AS w, unnest(terms) AS term FROM o_kw) WHERE term NOT IN (" + _STOPS + ")),\no_own AS (SELECT term, sum(w) AS own FROM o_all GROUP BY term ORDER BY own DESC, count(*) DESC, term LIMIT 16),\no_tk AS (SELECT o_all.* FROM o_all JOIN o_own USING (term))\nSELECT a.term AS term_i"),
+    "term_frequency": chained("SELECT term, n AS keyword_count, round(v, 6) + 0 AS weighted_value, round(v / sum(v) OVER () * 100, 6) + 0 AS share_pct FROM (SELECT term, count(*) AS n, sum(coalesce(sales_attr, 0)) AS v FROM (SELECT sales_attr, unnest(terms) AS term FROM o_kw) WHERE term NOT IN (" + _STOPS + ") GROUP BY term) QUALIFY row_number() OVER (ORDER BY v DESC, n DESC, term) <= 30"),
+    "term_cooccurrence": chained("SELECT a.term AS term_i, b.term AS term_j, round(CASE WHEN a.term = b.term THEN 1 ELSE sum(a.w) / sqrt(max(x.own) * max(y.own)) END, 6) + 0 AS score FROM o_tk a JOIN o_tk b USING (entity_key) JOIN o_own x ON x.term = a.term JOIN o_own y ON y.term = b.term GROUP BY a.term, b.term").replace("\nSELECT a.term AS term_i", ",\no_all AS (SELECT * FROM (SELECT entity_key, coalesce(clicks, 0) AS w, unnest(terms) AS term FROM o_kw) WHERE term NOT IN (" + _STOPS + ")),\no_own AS (SELECT term, sum(w) AS own FROM o_all GROUP BY term ORDER BY own DESC, count(*) DESC, term LIMIT 16),\no_tk AS (SELECT o_all.* FROM o_all JOIN o_own USING (term))\nSELECT a.term AS term_i"),
     "keyword_similarity": "WITH g_docs AS (SELECT DISTINCT lower(p_name) AS id, lower(p_name) AS text FROM part),\n" + _GRAMS + "\nSELECT a.id AS \"left\", b.id AS \"right\", round(sum(a.w * b.w), 6) + 0 AS similarity FROM g_vec a JOIN g_vec b ON a.gram = b.gram AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.34",
     "paired_similarity": "WITH g_docs AS (SELECT CAST(p_partkey AS VARCHAR) || '|0' AS id, lower(p_name) AS text FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR) || '|1', lower(p_type || ' ' || p_name) FROM part),\n" + _GRAMS + "\nSELECT p_partkey AS id, round(least(1, greatest(0, coalesce(s, 0))), 6) + 0 AS similarity FROM part LEFT JOIN (SELECT split_part(a.id, '|', 1) AS k, sum(a.w * b.w) AS s FROM g_vec a JOIN g_vec b ON a.gram = b.gram AND a.id = split_part(b.id, '|', 1) || '|0' AND b.id LIKE '%|1' GROUP BY 1) ON k = CAST(p_partkey AS VARCHAR)",
-    "bipartite_edges": _sql("SELECT source, target, round(v, 6) + 0 AS edge_value, round(clicks, 6) + 0 AS clicks, round(w, 6) + 0 AS layout_weight FROM o_ed"),
-    "product_nodes": _sql("SELECT 'P|' || product_id AS node_id, CASE WHEN length(label) > 24 THEN substr(label, 1, 23) || '…' ELSE label END AS label, i.action, i.status AS decision_status, i.rec AS recommended_cpc, round(coalesce(i.sales_attr, v), 6) + 0 AS value, round(coalesce(i.clicks, e.clicks), 6) + 0 AS clicks FROM (SELECT product_id, sum(v) AS v, sum(clicks) AS clicks FROM o_ed GROUP BY product_id) e LEFT JOIN (SELECT *, coalesce(product_name, product_id) AS label FROM o_hier WHERE entity_type = 'ITEM') i USING (product_id)"),
-    "keyword_nodes": _sql("SELECT 'K|' || norm AS node_id, CASE WHEN length(norm) > 18 THEN substr(norm, 1, 17) || '…' ELSE norm END AS label, count(*) AS product_count, round(sum(v), 6) + 0 AS value, round(sum(clicks), 6) + 0 AS clicks, round(sum(sales_attr), 6) + 0 AS sales_attr FROM o_ed GROUP BY norm"),
-    "product_similarity": _sql("SELECT 'P|' || a AS source, 'P|' || b AS target, round(s, 6) + 0 AS similarity, round(j, 6) + 0 AS shared_keyword_jaccard, round(0.25::DOUBLE + s * 4, 6) + 0 AS layout_weight FROM (SELECT *, 0.7::DOUBLE * j + 0.3::DOUBLE * m AS s FROM (SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, coalesce(j, 0) AS j, coalesce(m, 0) AS m FROM g_j x FULL JOIN g_m y ON x.a = y.a AND x.b = y.b)) WHERE s >= 0.18").replace("\nSELECT 'P|' || a AS source", """,
+    "bipartite_edges": chained("SELECT source, target, round(v, 6) + 0 AS edge_value, round(clicks, 6) + 0 AS clicks, round(w, 6) + 0 AS layout_weight FROM o_ed"),
+    "product_nodes": chained("SELECT 'P|' || product_id AS node_id, CASE WHEN length(label) > 24 THEN substr(label, 1, 23) || '…' ELSE label END AS label, i.action, i.status AS decision_status, i.rec AS recommended_cpc, round(coalesce(i.sales_attr, v), 6) + 0 AS value, round(coalesce(i.clicks, e.clicks), 6) + 0 AS clicks FROM (SELECT product_id, sum(v) AS v, sum(clicks) AS clicks FROM o_ed GROUP BY product_id) e LEFT JOIN (SELECT *, coalesce(product_name, product_id) AS label FROM o_hier WHERE entity_type = 'ITEM') i USING (product_id)"),
+    "keyword_nodes": chained("SELECT 'K|' || norm AS node_id, CASE WHEN length(norm) > 18 THEN substr(norm, 1, 17) || '…' ELSE norm END AS label, count(*) AS product_count, round(sum(v), 6) + 0 AS value, round(sum(clicks), 6) + 0 AS clicks, round(sum(sales_attr), 6) + 0 AS sales_attr FROM o_ed GROUP BY norm"),
+    "product_similarity": chained("SELECT 'P|' || a AS source, 'P|' || b AS target, round(s, 6) + 0 AS similarity, round(j, 6) + 0 AS shared_keyword_jaccard, round(0.25::DOUBLE + s * 4, 6) + 0 AS layout_weight FROM (SELECT *, 0.7::DOUBLE * j + 0.3::DOUBLE * m AS s FROM (SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, coalesce(j, 0) AS j, coalesce(m, 0) AS m FROM g_j x FULL JOIN g_m y ON x.a = y.a AND x.b = y.b)) WHERE s >= 0.18").replace("\nSELECT 'P|' || a AS source", """,
 g_top AS (SELECT product_id FROM o_hier WHERE entity_type = 'KEYWORD' GROUP BY product_id ORDER BY sum(sales_attr) DESC NULLS LAST, product_id LIMIT 80),
 g_set AS (SELECT DISTINCT product_id, keyword FROM o_hier WHERE entity_type = 'KEYWORD' AND product_id IN (SELECT product_id FROM g_top)),
 g_size AS (SELECT product_id, count(*) AS n FROM g_set GROUP BY product_id),
@@ -174,29 +175,29 @@ g_docs AS (SELECT product_id AS id, trim(regexp_replace(lower(coalesce(i.product
 """ + _GRAMS + """,
 g_m AS (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS m FROM g_vec p JOIN g_vec q ON p.gram = q.gram AND p.id < q.id GROUP BY ALL)
 SELECT 'P|' || a AS source"""),
-    "weighted_degree": _sql("SELECT node_id, degree, round(wd, 6) + 0 AS weighted_degree FROM o_deg"),
-    "roas_bands": _sql("SELECT entity_key, CASE WHEN roas_attr_pct IS NULL THEN 'NONE' WHEN roas_attr_pct / 450 < 0.55 THEN 'LOW' WHEN roas_attr_pct / 450 < 0.9 THEN 'BELOW' WHEN roas_attr_pct / 450 < 1.2 THEN 'NEAR' ELSE 'ABOVE' END AS band, CASE WHEN regexp_matches(t, 'STOP|PAUSE|MIN_BID|TERMINATED') THEN 'STOP' WHEN regexp_matches(t, 'SCALE_UP|INCREASE|RAISE|UP_BID') THEN 'SCALE_UP' WHEN regexp_matches(t, 'SCALE_DOWN|DECREASE|LOWER|DOWN_BID') THEN 'SCALE_DOWN' WHEN regexp_matches(t, 'KEEP|HOLD|UNCHANGED') THEN 'KEEP' WHEN regexp_matches(t, 'OBSERVE|EXPLORE|INSUFFICIENT|REVIEW|PENDING|UNKNOWN') THEN 'OBSERVE' ELSE 'NEUTRAL' END AS action_class FROM (SELECT *, action || ' ' || status AS t FROM o_hier)"),
-    "ego_network": _sql("SELECT source, target, round(v, 6) + 0 AS edge_value FROM o_ed WHERE source = (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1) ORDER BY v DESC, target LIMIT 12"),
-    "search_neighbourhood": _sql("SELECT node_id, bool_or(hit) AS hit FROM (SELECT target AS node_id, true AS hit FROM o_ed WHERE contains(norm, 'bolt') UNION ALL SELECT source, false FROM o_ed WHERE contains(norm, 'bolt')) GROUP BY node_id"),
-    "keyword_nearest": _sql("SELECT least(a, b) AS source, greatest(a, b) AS target, round(max(s), 6) + 0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rn FROM (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS s FROM g_vec p JOIN g_vec q ON p.gram = q.gram AND p.id <> q.id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.34)) WHERE rn <= 3 GROUP BY 1, 2").replace("\nSELECT least(a, b)", ",\ng_docs AS (SELECT norm AS id, norm AS text FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120),\n" + _GRAMS + "\nSELECT least(a, b)"),
-    "graph_components": _sql("SELECT node_id, min(m) AS component FROM reach GROUP BY node_id").replace("\nSELECT node_id, min(m)", ",\nlinks AS (SELECT source AS a, target AS b FROM o_ed UNION ALL SELECT target, source FROM o_ed),\nreach AS (SELECT DISTINCT a AS node_id, a AS m FROM links UNION SELECT reach.node_id, links.b FROM reach JOIN links ON links.a = reach.m)\nSELECT node_id, min(m)").replace("WITH ", "WITH RECURSIVE ", 1),
-    "next_plans": _sql(f"SELECT {KEYS}, CAST(fin AS DOUBLE) AS planned_cpc, 'PENDING' AS planned_status, answer AS source, 'run_1' AS run_id FROM o_fin WHERE eligible"),
-    "metric_append": _sql(f"SELECT {KEYS}, clicks, cost, sales_attr, orders_attr, " + _rounded("cvr_attr", "roas_attr_pct", "bid AS registered_cpc") + ", CAST(period_start_shortwin AS VARCHAR) AS period_start FROM o_fin"),
-    "action_append": _sql(f"SELECT {KEYS}, round(bid, 6) + 0 AS previous_cpc, rec AS recommended_cpc, fin AS final_cpc, action, status AS decision_status, answer AS operator_action, CASE WHEN eligible THEN 'PLANNED' ELSE 'NOT_APPLIED' END AS outcome_status, '2001-11-15' AS outcome_due_date FROM o_fin"),
-    "next_overrides": _sql(f"SELECT {KEYS}, CASE answer WHEN 'LOCK' THEN 'LOCK_CPC' ELSE 'FORCE_STOP' END AS override_mode, CAST(fin AS DOUBLE) AS override_cpc, true AS active, 'run_1' AS created_run_id FROM o_fin WHERE answer IN ('LOCK', 'FORCE_STOP')"),
-    "run_append": _sql("SELECT 'run_1' AS run_id, repeat('0', 64) AS input_hash, 'BLOCK' AS quality_status, count(*) FILTER (WHERE entity_type = 'ITEM') AS item_rows, count(*) FILTER (WHERE entity_type = 'KEYWORD') AS keyword_rows, false AS duplicate_input FROM o_fin"),
-    "network_totals": _sql("SELECT p AS products, k AS keywords, e AS edges, round(CASE WHEN p + k > 1 THEN 2::DOUBLE * e / ((p + k) * (p + k - 1)) ELSE 0 END, 6) + 0 AS density, round(CASE WHEN total > 0 THEN top * 100::DOUBLE / total ELSE 0 END, 6) + 0 AS top10_share_pct FROM (SELECT count(DISTINCT source) AS p, count(DISTINCT target) AS k, count(*) AS e FROM o_ed), (SELECT sum(value) AS total, sum(value) FILTER (WHERE rn <= 10) AS top FROM (SELECT value, row_number() OVER (ORDER BY value DESC, product_id) AS rn FROM o_pval))").replace("\nSELECT p AS products", f",\n{_PRODUCT_VALUES}\nSELECT p AS products"),
-    "top_entities": _sql("SELECT node_id, round(wd, 6) + 0 AS weighted_degree, round(value, 6) + 0 AS value FROM o_deg JOIN o_pval ON node_id = 'P|' || product_id ORDER BY wd DESC, value DESC, node_id LIMIT 10").replace("\nSELECT node_id, round(wd", f",\n{_PRODUCT_VALUES}\nSELECT node_id, round(wd"),
-    "semantic_edges": _sql("SELECT source, target, round(v, 6) + 0 AS edge_value, round(w, 6) + 0 AS layout_weight, round(least(1, greatest(0, coalesce(s, 0))), 6) + 0 AS semantic_relevance FROM o_ed LEFT JOIN (SELECT split_part(a.id, '^', 1) AS sp, split_part(a.id, '^', 2) AS sn, sum(a.w * b.w) AS s FROM g_vec a JOIN g_vec b ON a.gram = b.gram AND ends_with(a.id, '^0') AND ends_with(b.id, '^1') AND left(a.id, length(a.id) - 1) = left(b.id, length(b.id) - 1) GROUP BY 1, 2) ON sp = product_id AND sn = norm").replace("LIMIT 48", "LIMIT 50").replace("\nSELECT source, target", ",\ng_name AS (SELECT product_id, norm, trim(regexp_replace(lower(coalesce(nullif(trim(n), ''), product_id)), '[\\s\\-_]+', ' ', 'g')) AS name FROM o_ed LEFT JOIN (SELECT product_id, keyword AS norm, min(product_name) AS n FROM o_hier WHERE entity_type = 'KEYWORD' GROUP BY ALL) USING (product_id, norm)),\ng_docs AS (SELECT product_id || '^' || norm || '^0' AS id, name AS text FROM g_name UNION ALL SELECT product_id || '^' || norm || '^1', norm FROM g_name),\n" + _GRAMS + "\nSELECT source, target"),
+    "weighted_degree": chained("SELECT node_id, degree, round(wd, 6) + 0 AS weighted_degree FROM o_deg"),
+    "roas_bands": chained("SELECT entity_key, CASE WHEN roas_attr_pct IS NULL THEN 'NONE' WHEN roas_attr_pct / 450 < 0.55 THEN 'LOW' WHEN roas_attr_pct / 450 < 0.9 THEN 'BELOW' WHEN roas_attr_pct / 450 < 1.2 THEN 'NEAR' ELSE 'ABOVE' END AS band, CASE WHEN regexp_matches(t, 'STOP|PAUSE|MIN_BID|TERMINATED') THEN 'STOP' WHEN regexp_matches(t, 'SCALE_UP|INCREASE|RAISE|UP_BID') THEN 'SCALE_UP' WHEN regexp_matches(t, 'SCALE_DOWN|DECREASE|LOWER|DOWN_BID') THEN 'SCALE_DOWN' WHEN regexp_matches(t, 'KEEP|HOLD|UNCHANGED') THEN 'KEEP' WHEN regexp_matches(t, 'OBSERVE|EXPLORE|INSUFFICIENT|REVIEW|PENDING|UNKNOWN') THEN 'OBSERVE' ELSE 'NEUTRAL' END AS action_class FROM (SELECT *, action || ' ' || status AS t FROM o_hier)"),
+    "ego_network": chained("SELECT source, target, round(v, 6) + 0 AS edge_value FROM o_ed WHERE source = (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1) ORDER BY v DESC, target LIMIT 12"),
+    "search_neighbourhood": chained("SELECT node_id, bool_or(hit) AS hit FROM (SELECT target AS node_id, true AS hit FROM o_ed WHERE contains(norm, 'bolt') UNION ALL SELECT source, false FROM o_ed WHERE contains(norm, 'bolt')) GROUP BY node_id"),
+    "keyword_nearest": chained("SELECT least(a, b) AS source, greatest(a, b) AS target, round(max(s), 6) + 0 AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rn FROM (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS s FROM g_vec p JOIN g_vec q ON p.gram = q.gram AND p.id <> q.id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.34)) WHERE rn <= 3 GROUP BY 1, 2").replace("\nSELECT least(a, b)", ",\ng_docs AS (SELECT norm AS id, norm AS text FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120),\n" + _GRAMS + "\nSELECT least(a, b)"),
+    "graph_components": chained("SELECT node_id, min(m) AS component FROM reach GROUP BY node_id").replace("\nSELECT node_id, min(m)", ",\nlinks AS (SELECT source AS a, target AS b FROM o_ed UNION ALL SELECT target, source FROM o_ed),\nreach AS (SELECT DISTINCT a AS node_id, a AS m FROM links UNION SELECT reach.node_id, links.b FROM reach JOIN links ON links.a = reach.m)\nSELECT node_id, min(m)").replace("WITH ", "WITH RECURSIVE ", 1),
+    "next_plans": chained(f"SELECT {KEYS}, CAST(fin AS DOUBLE) AS planned_cpc, 'PENDING' AS planned_status, answer AS source, 'run_1' AS run_id FROM o_fin WHERE eligible"),
+    "metric_append": chained(f"SELECT {KEYS}, clicks, cost, sales_attr, orders_attr, " + _rounded("cvr_attr", "roas_attr_pct", "bid AS registered_cpc") + ", CAST(period_start_shortwin AS VARCHAR) AS period_start FROM o_fin"),
+    "action_append": chained(f"SELECT {KEYS}, round(bid, 6) + 0 AS previous_cpc, rec AS recommended_cpc, fin AS final_cpc, action, status AS decision_status, answer AS operator_action, CASE WHEN eligible THEN 'PLANNED' ELSE 'NOT_APPLIED' END AS outcome_status, '2001-11-15' AS outcome_due_date FROM o_fin"),
+    "next_overrides": chained(f"SELECT {KEYS}, CASE answer WHEN 'LOCK' THEN 'LOCK_CPC' ELSE 'FORCE_STOP' END AS override_mode, CAST(fin AS DOUBLE) AS override_cpc, true AS active, 'run_1' AS created_run_id FROM o_fin WHERE answer IN ('LOCK', 'FORCE_STOP')"),
+    "run_append": chained("SELECT 'run_1' AS run_id, repeat('0', 64) AS input_hash, 'BLOCK' AS quality_status, count(*) FILTER (WHERE entity_type = 'ITEM') AS item_rows, count(*) FILTER (WHERE entity_type = 'KEYWORD') AS keyword_rows, false AS duplicate_input FROM o_fin"),
+    "network_totals": chained("SELECT p AS products, k AS keywords, e AS edges, round(CASE WHEN p + k > 1 THEN 2::DOUBLE * e / ((p + k) * (p + k - 1)) ELSE 0 END, 6) + 0 AS density, round(CASE WHEN total > 0 THEN top * 100::DOUBLE / total ELSE 0 END, 6) + 0 AS top10_share_pct FROM (SELECT count(DISTINCT source) AS p, count(DISTINCT target) AS k, count(*) AS e FROM o_ed), (SELECT sum(value) AS total, sum(value) FILTER (WHERE rn <= 10) AS top FROM (SELECT value, row_number() OVER (ORDER BY value DESC, product_id) AS rn FROM o_pval))").replace("\nSELECT p AS products", f",\n{_PRODUCT_VALUES}\nSELECT p AS products"),
+    "top_entities": chained("SELECT node_id, round(wd, 6) + 0 AS weighted_degree, round(value, 6) + 0 AS value FROM o_deg JOIN o_pval ON node_id = 'P|' || product_id ORDER BY wd DESC, value DESC, node_id LIMIT 10").replace("\nSELECT node_id, round(wd", f",\n{_PRODUCT_VALUES}\nSELECT node_id, round(wd"),
+    "semantic_edges": chained("SELECT source, target, round(v, 6) + 0 AS edge_value, round(w, 6) + 0 AS layout_weight, round(least(1, greatest(0, coalesce(s, 0))), 6) + 0 AS semantic_relevance FROM o_ed LEFT JOIN (SELECT split_part(a.id, '^', 1) AS sp, split_part(a.id, '^', 2) AS sn, sum(a.w * b.w) AS s FROM g_vec a JOIN g_vec b ON a.gram = b.gram AND ends_with(a.id, '^0') AND ends_with(b.id, '^1') AND left(a.id, length(a.id) - 1) = left(b.id, length(b.id) - 1) GROUP BY 1, 2) ON sp = product_id AND sn = norm").replace("LIMIT 48", "LIMIT 50").replace("\nSELECT source, target", ",\ng_name AS (SELECT product_id, norm, trim(regexp_replace(lower(coalesce(nullif(trim(n), ''), product_id)), '[\\s\\-_]+', ' ', 'g')) AS name FROM o_ed LEFT JOIN (SELECT product_id, keyword AS norm, min(product_name) AS n FROM o_hier WHERE entity_type = 'KEYWORD' GROUP BY ALL) USING (product_id, norm)),\ng_docs AS (SELECT product_id || '^' || norm || '^0' AS id, name AS text FROM g_name UNION ALL SELECT product_id || '^' || norm || '^1', norm FROM g_name),\n" + _GRAMS + "\nSELECT source, target"),
     "normalised_phrases": "SELECT p_partkey, lower(p_name) AS phrase FROM part",
-    "keyword_graph_nodes": _sql("SELECT 'K|' || norm AS node_id, 'KEYWORD' AS node_type, norm AS keyword, round(coalesce(sum(sales_attr), 0), 6) + 0 AS value FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120"),
-    "keyword_graph_edges": _sql("SELECT 'K|' || least(a, b) AS source, 'K|' || greatest(a, b) AS target, round(max(s), 6) + 0 AS similarity, round(0.25::DOUBLE + max(s) * 3.5::DOUBLE, 6) + 0 AS layout_weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rn FROM (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS s FROM g_vec p JOIN g_vec q ON p.gram = q.gram AND p.id <> q.id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.34)) WHERE rn <= 4 GROUP BY least(a, b), greatest(a, b)").replace("\nSELECT 'K|' || least(a, b)", ",\ng_docs AS (SELECT norm AS id, norm AS text FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120),\n" + _GRAMS + "\nSELECT 'K|' || least(a, b)"),
-    "decision_view": _sql("SELECT entity_key, status AS decision_status, round(inc, 6) + 0 AS expected_incremental_profit, round(sales_attr, 6) + 0 AS sales_attr FROM o_hier WHERE entity_type = 'KEYWORD' AND status IN ('KEEP', 'KEEP_UNCERTAIN_UPSIDE', 'SCALE_DOWN_AUTO_READY', 'SCALE_UP_REVIEW_REQUIRED', 'PARENT_STOP_AUTO_READY') AND coalesce(inc, 0) >= -500 AND contains(lower(product_id || ' ' || coalesce(product_name, '') || ' ' || keyword), 'bolt')"),
-    "decisions_in_order": _sql("SELECT entity_key, status AS decision_status, round(inc, 6) + 0 AS expected_incremental_profit, round(cost, 6) + 0 AS cost FROM o_hier WHERE entity_type = 'ITEM' ORDER BY status, inc DESC NULLS LAST, o_hier.cost DESC NULLS LAST, entity_key LIMIT 100"),
-    "report_files": _sql("SELECT entity_key, CAST(period_end AS VARCHAR) AS period_end, CAST(window_days AS BIGINT) AS window_days, " + _rounded("clicks", "cost", "sales_attr", "orders_attr", "impressions", "actual_cpc") + " FROM performance_once"),
+    "keyword_graph_nodes": chained("SELECT 'K|' || norm AS node_id, 'KEYWORD' AS node_type, norm AS keyword, round(coalesce(sum(sales_attr), 0), 6) + 0 AS value FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120"),
+    "keyword_graph_edges": chained("SELECT 'K|' || least(a, b) AS source, 'K|' || greatest(a, b) AS target, round(max(s), 6) + 0 AS similarity, round(0.25::DOUBLE + max(s) * 3.5::DOUBLE, 6) + 0 AS layout_weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rn FROM (SELECT p.id AS a, q.id AS b, sum(p.w * q.w) AS s FROM g_vec p JOIN g_vec q ON p.gram = q.gram AND p.id <> q.id GROUP BY ALL HAVING sum(p.w * q.w) >= 0.34)) WHERE rn <= 4 GROUP BY least(a, b), greatest(a, b)").replace("\nSELECT 'K|' || least(a, b)", ",\ng_docs AS (SELECT norm AS id, norm AS text FROM o_kw GROUP BY norm ORDER BY coalesce(sum(sales_attr), 0) DESC, norm LIMIT 120),\n" + _GRAMS + "\nSELECT 'K|' || least(a, b)"),
+    "decision_view": chained("SELECT entity_key, status AS decision_status, round(inc, 6) + 0 AS expected_incremental_profit, round(sales_attr, 6) + 0 AS sales_attr FROM o_hier WHERE entity_type = 'KEYWORD' AND status IN ('KEEP', 'KEEP_UNCERTAIN_UPSIDE', 'SCALE_DOWN_AUTO_READY', 'SCALE_UP_REVIEW_REQUIRED', 'PARENT_STOP_AUTO_READY') AND coalesce(inc, 0) >= -500 AND contains(lower(product_id || ' ' || coalesce(product_name, '') || ' ' || keyword), 'bolt')"),
+    "decisions_in_order": chained("SELECT entity_key, status AS decision_status, round(inc, 6) + 0 AS expected_incremental_profit, round(cost, 6) + 0 AS cost FROM o_hier WHERE entity_type = 'ITEM' ORDER BY status, inc DESC NULLS LAST, o_hier.cost DESC NULLS LAST, entity_key LIMIT 100"),
+    "report_files": chained("SELECT entity_key, CAST(period_end AS VARCHAR) AS period_end, CAST(window_days AS BIGINT) AS window_days, " + _rounded("clicks", "cost", "sales_attr", "orders_attr", "impressions", "actual_cpc") + " FROM performance_once"),
     "file_profiles": "SELECT CAST(n_regionkey AS BIGINT) AS region, 'rakuten_rpp_setting' AS kind, 'utf-8-sig' AS encoding, 9 AS columns, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey",
-    "state_appended": _sql(f"SELECT {KEYS}, planned_cpc, planned_status, run_id, 1 AS place FROM planned UNION ALL SELECT {KEYS}, planned_cpc, 'PENDING', 'run_1', 2 FROM planned"),
-    "store_latest_plan": _sql("SELECT product_id, planned_cpc, CASE WHEN planned_cpc < 90 THEN 'run_1' ELSE 'run_0' END AS planned_run_id FROM planned WHERE upper(planned_status) = 'PENDING'"),
-    "payload_nodes": _sql("SELECT 'P|' || product_id AS node_id, 'PRODUCT' AS node_type, product_id AS label, product_id, coalesce(category, '') AS category, round(coalesce(i.sales_attr, v), 6) + 0 AS value, round(coalesce(i.sales_attr, e.sales), 6) + 0 AS sales, round(coalesce(i.clicks, e.clicks), 6) + 0 AS clicks, CAST(0 AS BIGINT) AS product_count, CASE WHEN regexp_matches(t, 'STOP|PAUSE|MIN_BID|TERMINATED') THEN 'STOP' WHEN regexp_matches(t, 'SCALE_UP|INCREASE|RAISE|UP_BID') THEN 'SCALE_UP' WHEN regexp_matches(t, 'SCALE_DOWN|DECREASE|LOWER|DOWN_BID') THEN 'SCALE_DOWN' WHEN regexp_matches(t, 'KEEP|HOLD|UNCHANGED') THEN 'KEEP' WHEN regexp_matches(t, 'OBSERVE|EXPLORE|INSUFFICIENT|REVIEW|PENDING|UNKNOWN') THEN 'OBSERVE' ELSE 'NEUTRAL' END AS action_class, coalesce(status, '') AS decision_status, CAST(coalesce(rec, 0) AS DOUBLE) AS recommended_cpc FROM (SELECT product_id, sum(v) AS v, sum(clicks) AS clicks, sum(sales_attr) AS sales FROM o_ed GROUP BY product_id) e LEFT JOIN (SELECT *, action || ' ' || status AS t FROM o_hier WHERE entity_type = 'ITEM') i USING (product_id) WHERE 'P|' || product_id <> (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1) UNION ALL SELECT 'K|' || norm, 'KEYWORD', norm, '', '', round(sum(v), 6) + 0, round(sum(sales_attr), 6) + 0, round(sum(clicks), 6) + 0, count(*), NULL, NULL, NULL FROM o_ed GROUP BY norm"),
-    "payload_edges": _sql("SELECT source, target, round(v, 6) + 0 AS value, round(sales_attr, 6) + 0 AS sales, round(clicks, 6) + 0 AS clicks FROM o_ed WHERE source <> (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1)"),
+    "state_appended": chained(f"SELECT {KEYS}, planned_cpc, planned_status, run_id, 1 AS place FROM planned UNION ALL SELECT {KEYS}, planned_cpc, 'PENDING', 'run_1', 2 FROM planned"),
+    "store_latest_plan": chained("SELECT product_id, planned_cpc, CASE WHEN planned_cpc < 90 THEN 'run_1' ELSE 'run_0' END AS planned_run_id FROM planned WHERE upper(planned_status) = 'PENDING'"),
+    "payload_nodes": chained("SELECT 'P|' || product_id AS node_id, 'PRODUCT' AS node_type, product_id AS label, product_id, coalesce(category, '') AS category, round(coalesce(i.sales_attr, v), 6) + 0 AS value, round(coalesce(i.sales_attr, e.sales), 6) + 0 AS sales, round(coalesce(i.clicks, e.clicks), 6) + 0 AS clicks, CAST(0 AS BIGINT) AS product_count, CASE WHEN regexp_matches(t, 'STOP|PAUSE|MIN_BID|TERMINATED') THEN 'STOP' WHEN regexp_matches(t, 'SCALE_UP|INCREASE|RAISE|UP_BID') THEN 'SCALE_UP' WHEN regexp_matches(t, 'SCALE_DOWN|DECREASE|LOWER|DOWN_BID') THEN 'SCALE_DOWN' WHEN regexp_matches(t, 'KEEP|HOLD|UNCHANGED') THEN 'KEEP' WHEN regexp_matches(t, 'OBSERVE|EXPLORE|INSUFFICIENT|REVIEW|PENDING|UNKNOWN') THEN 'OBSERVE' ELSE 'NEUTRAL' END AS action_class, coalesce(status, '') AS decision_status, CAST(coalesce(rec, 0) AS DOUBLE) AS recommended_cpc FROM (SELECT product_id, sum(v) AS v, sum(clicks) AS clicks, sum(sales_attr) AS sales FROM o_ed GROUP BY product_id) e LEFT JOIN (SELECT *, action || ' ' || status AS t FROM o_hier WHERE entity_type = 'ITEM') i USING (product_id) WHERE 'P|' || product_id <> (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1) UNION ALL SELECT 'K|' || norm, 'KEYWORD', norm, '', '', round(sum(v), 6) + 0, round(sum(sales_attr), 6) + 0, round(sum(clicks), 6) + 0, count(*), NULL, NULL, NULL FROM o_ed GROUP BY norm"),
+    "payload_edges": chained("SELECT source, target, round(v, 6) + 0 AS value, round(sales_attr, 6) + 0 AS sales, round(clicks, 6) + 0 AS clicks FROM o_ed WHERE source <> (SELECT source FROM o_ed GROUP BY source ORDER BY sum(v) DESC, source LIMIT 1)"),
 }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.operators import decide, graph, ingest, quality, reports, state, text, windows
-from bidweave.plans import absorbed
+from bidweave.plans import absorbed, current
 from bidweave.schema import KEYS, Policy
 from bidweave.session import written
 from bidweave.sources.state_store import StateStore
@@ -65,8 +65,8 @@ def _decided(rows: DataFrame, by_type: DataFrame, files: DataFrame, products: Da
     run = state.run_id(verdict["input_hash"], policy, as_of)
     blocked = verdict["status"] == "BLOCK"
 
-    read = lambda name: store.read(name, at=base)
-    for t in (ingest.setting_table(settings), state.latest_applied(read("applied_settings")), state.latest_pending(store.read("planned_settings", at=base, part="open")), state.latest_metrics(read("metric_history")), state.active_overrides(read("manual_overrides"), now)):
+    # The state's sides lie in buckets of the keys; rows come to them once.
+    for t in (*current.joined(store, base, as_of), ingest.setting_table(settings)):
         rows = rows.join(t, KEYS, "left")
     master = ingest.normalise_master(master)
     rows = ingest.with_master(rows, master).withColumn("row_quality_block", F.coalesce("__bad", F.lit(False)) | F.lit(blocked)).drop("__bad")
@@ -106,6 +106,7 @@ def carry(run: Run, final: DataFrame, store: StateStore, policy: Policy) -> bool
     new = state.new_state(final, run.events, run.gate, policy, run=run.run_id, hash_of_input=run.input_hash, as_of=run.as_of, duplicate=run.duplicate)
     for name, rows in new.items():
         tables.append(name, rows)
+    current.merge(tables, run.events, run.as_of)
     tables.mark("run", run.run_id).commit()
     return True
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidweave.functions.columns import truthy
 from bidweave.operators import decide, ingest, state
-from bidweave.plans import absorbed
-from bidweave.plans.bindings import DAY, POLICY, as_of, bound, ctes
+from bidweave.plans import absorbed, current
+from bidweave.plans.bindings import AS_OF, DAY, POLICY, as_of, bound, ctes
 from bidweave.plans.oracles import ORACLES as BATCH
+from bidweave.plans.oracles import chained
 from bidweave.plans.queries import entities_of, master, r6
 from bidweave.schema import KEYS
 from bidweave.session import shared_dir, written
@@ -160,3 +163,26 @@ def atomic_runs(spark: SparkSession, d: str) -> DataFrame:
     except ConcurrentCommit:
         changed(store.number()).commit()
     return store.read("planned_settings").select(*KEYS, "planned_cpc", "planned_status", "run_id")
+
+
+@query(chained(f"""
+SELECT i.product_id, state_applied_cpc, CAST(state_effective_at AS VARCHAR) AS state_effective_at, state_source, planned_cpc, planned_run_id, prev_clicks, prev_cvr_attr, override_mode, override_cpc
+FROM (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS product_id FROM supplier) AS i LEFT JOIN o_applied USING (product_id) LEFT JOIN (SELECT * FROM o_planned WHERE planned_cpc < 90) USING (product_id)
+LEFT JOIN o_hist USING (product_id) LEFT JOIN o_over USING (product_id)"""))
+def current_state(spark: SparkSession, d: str) -> DataFrame:
+    """Every product with its state, from tables in buckets that two runs have merged; the second closes plans of the first."""
+    store, now = StateStore(spark, f"{shared_dir(spark)}/current-{uuid.uuid4().hex}"), datetime.fromisoformat(AS_OF)
+    given = {name: written(bound(spark, d, source), source) for name, source in (("applied_settings", "applied"), ("planned_settings", "planned"), ("metric_history", "history"), ("manual_overrides", "overrides"))}
+    given["manual_overrides"] = given["manual_overrides"].withColumn("active", truthy(F.col("active")))
+    closed = given["planned_settings"].where("planned_cpc >= 90").select(*KEYS, F.lit("PLAN_CONFIRMED").alias("event_type"), F.col("run_id").alias("planned_run_id"))
+    for n in (1, 2):
+        tables, events = store.transaction(), closed if n == 2 else closed.limit(0)
+        tables.update("planned_settings", lambda rows, events=events: state.update_plans(rows, events))
+        for name, rows in given.items():
+            fields = [f.split(" ") for f in store.schemas[name].split(", ")]
+            tables.append(name, rows.where(F.col("ord") == n).select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in fields]))
+        current.merge(tables, events, now).commit()
+    out = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("rakuten").alias("platform"), F.lit("ITEM").alias("entity_type"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("product_id"), F.lit("").alias("keyword"))
+    for t in current.joined(store, store.number(), now):
+        out = out.join(t, KEYS, "left")
+    return out.select("product_id", "state_applied_cpc", F.col("state_effective_at").cast("string").alias("state_effective_at"), "state_source", "planned_cpc", "planned_run_id", "prev_clicks", "prev_cvr_attr", "override_mode", "override_cpc")

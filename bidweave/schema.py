@@ -27,6 +27,13 @@ STATE_TABLES = {
     "metric_history": f"run_id string, {_KEY}, period_start date, period_end date, clicks double, cost double, sales_attr double, orders_attr double, actual_cpc double, cvr_attr double, roas_attr_pct double, registered_cpc double, captured_at timestamp",
     "run_history": "run_id string, created_at timestamp, input_hash string, policy_hash string, quality_status string, quality_score double, item_rows long, keyword_rows long, duplicate_input boolean",
 }
+#: What of the state the next run joins, divided by keys: the last rows of applied and metric history, open plans, and overrides that can still count.
+CURRENT_TABLES = {
+    "current_applied": f"{_KEY}, applied_cpc double, effective_at timestamp, source string",
+    "current_planned": f"{_KEY}, planned_cpc double, planned_status string, planned_at timestamp, run_id string",
+    "current_metrics": f"{_KEY}, period_end date, captured_at timestamp, clicks double, cvr_attr double, roas_attr_pct double, actual_cpc double",
+    "current_overrides": f"{_KEY}, override_mode string, override_cpc double, effective_from timestamp, effective_until timestamp, active boolean",
+}
 #: Statuses of a product that stop its bids.
 HARD_STOP = ["OUT_OF_STOCK", "DISCONTINUED", "RESERVED", "INACTIVE", "STOP"]
 #: What an operator can answer to a decision, and which answers approve it.

@@ -19,7 +19,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidweave.schema import KEYS, STATE_TABLES, Policy
+from bidweave.schema import CURRENT_TABLES, KEYS, STATE_TABLES, Policy
 
 #: A ZIP is for exchange with people: larger tables stay in the store.
 MOST_ROWS = 200_000
@@ -74,6 +74,10 @@ class _Files:
             self.system.delete(hidden, False)
             return False
 
+    def qualified(self, name: str) -> str:
+        """The path with its file system, as catalogs take it."""
+        return self.system.makeQualified(self.path(name)).toString()
+
     def age(self, name: str) -> float:
         """Seconds since the last change."""
         return time.time() - self.system.getFileStatus(self.path(name)).getModificationTime() / 1000
@@ -82,11 +86,16 @@ class _Files:
         self.system.delete(self.path(name), True)
 
 
+def table_name(name: str, folder: str) -> str:
+    """Of a bucketed folder in the session's catalog."""
+    return f"bidweave_{name}_{folder}"
+
+
 class StateStore:
     """Tables under a path: those of the state, and more by name and schema. Rows have ord, the order of their arrival."""
 
     def __init__(self, spark: SparkSession, path: str, more: dict[str, str] | None = None):
-        self.spark, self.path, self.schemas = spark, path.rstrip("/"), {**STATE_TABLES, **(more or {})}
+        self.spark, self.path, self.schemas = spark, path.rstrip("/"), {**STATE_TABLES, **CURRENT_TABLES, **(more or {})}
         self.files = _Files(spark, self.path)
 
     def number(self) -> int:
@@ -101,15 +110,26 @@ class StateStore:
         """How often the table has been replaced, its first rows included; 0 if it has none."""
         return self.manifest()["tables"].get(name, {}).get("version", 0)
 
+    def columns(self, name: str) -> list[str]:
+        return [f.split(" ")[0] for f in self.schemas[name].split(", ")]
+
     def read(self, name: str, *, at: int | None = None, part: str | None = None) -> DataFrame:
         """The table's rows as of a manifest, the last by default; part: `open` or `closed` rows alone. Empty if there are none yet."""
         return self._rows(name, self.manifest(at)["tables"].get(name, {}).get("folders", []), part)
 
     def _rows(self, name: str, folders: list[dict], part: str | None) -> DataFrame:
         schema = f"{self.schemas[name]}, ord long"
+        if folders and folders[0].get("buckets"):
+            return self._bucketed(folders[0], schema)
         paths = [f"{self.path}/{f['path']}" for f in folders if part is None or f["open"] == (part == "open")]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _bucketed(self, folder: dict, schema: str) -> DataFrame:
+        """A folder of buckets as a table of the session's catalog, which is where Spark looks for how files are divided."""
+        location, keys = self.files.qualified(f"{self.path}/{folder['path']}"), ", ".join(KEYS)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {folder['table']} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {folder['buckets']} BUCKETS LOCATION '{location}'")
+        return self.spark.table(folder["table"])
+
     def transaction(self, *, base: int | None = None) -> Transaction:
         """Changes that become visible together. base: the manifest that they were made from; the last by default."""
         return Transaction(self, self.number() if base is None else base)
@@ -138,6 +158,8 @@ class StateStore:
         old += [f"{name}/{n}" for name in self.schemas for n in self.files.names(f"{self.path}/{name}") if f"{name}/{n}" not in used]
         old = [n for n in old if self.files.age(f"{self.path}/{n}") >= seconds]
         for n in old:
+            if n.split("/")[0] in CURRENT_TABLES:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table_name(*n.split('/'))}")
             self.files.delete(f"{self.path}/{n}")
         return len(old)
 
@@ -149,6 +171,7 @@ class Transaction:
         self.store, self.base = store, base
         start = store.manifest(base)
         self.tables, self.marks = json.loads(json.dumps(start["tables"])), dict(start["marks"])
+        self.appended: dict[str, list[dict]] = {}
 
     def rows(self, name: str, part: str | None = None) -> DataFrame:
         """The table with this transaction's changes so far."""
@@ -168,9 +191,24 @@ class Transaction:
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sorted(c for c in rows.columns if c not in keys))) if keys else F.lit(1)
         folders, top = self._write(name, rows.withColumn("ord", F.lit(table["top"]) + place))
         table["folders"] += folders
+        self.appended.setdefault(name, []).extend(folders)
         table["top"] = max(table["top"], top or 0)
         return self
 
+    def added(self, name: str) -> DataFrame:
+        """The rows that this transaction has appended to the table, as they were written."""
+        return self.store._rows(name, self.appended.get(name, []), None)
+
+    def put_bucketed(self, name: str, rows: DataFrame, buckets: int, of: str) -> Transaction:
+        """The table's new rows, divided by KEYS into so many buckets. of: what they were made from."""
+        folder, seen = uuid.uuid4().hex, Observation()
+        rows = rows.select(*self.store.columns(name), F.col("ord").cast("long").alias("ord")).observe(seen, F.count(F.lit(1)).alias("rows"))
+        path, table = f"{name}/{folder}", table_name(name, folder)
+        rows.write.format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS).option("path", self.store.files.qualified(f"{self.store.path}/{path}")).saveAsTable(table)
+        version = self.tables.get(name, {}).get("version", 0)
+        self.tables[name] = {"version": version + 1, "top": 0, "of": of, "folders": [{"path": path, "open": False, "rows": seen.get["rows"], "buckets": buckets, "table": table}]}
+        return self
+
     def update(self, name: str, change: Callable[[DataFrame], DataFrame]) -> Transaction:
         """Rows that may still change, changed; those that this closes join the closed ones, which are not written anew."""
         table = self.tables.get(name)
@@ -186,7 +224,7 @@ class Transaction:
 
     def _write(self, name: str, rows: DataFrame) -> tuple[list[dict], int | None]:
         """The folders of these rows, and their last place. Counts come with the write itself."""
-        columns = [f.split(" ")[0] for f in self.store.schemas[name].split(", ")]
+        columns = self.store.columns(name)
         folder, seen = f"{name}/{uuid.uuid4().hex}", Observation()
         is_open = F.coalesce(F.expr(OPEN[name]), F.lit(False)) if name in OPEN else F.lit(False)
         rows = rows.select(*columns, F.col("ord").cast("long").alias("ord"), is_open.alias("open"))
