@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bidweave.operators.ingest import dedupe_snapshots, normalise_report
 from bidweave.session import written
+from bidweave.sources import ranges
 
 #: Encodings in the order in which they are tried, and what marks a header and a file's metadata.
 ENCODINGS = ["utf-8-sig", "cp932", "shift_jis"]
@@ -28,6 +29,10 @@ KINDS = [
     ("rakuten_rpp_keyword_report", {"キーワード", "クリック数(合計)"}, set()),
     ("rakuten_rpp_item_report", {"商品管理番号", "クリック数(合計)"}, set()),
 ]
+#: A file of more bytes is read in ranges.
+SPLIT = 64 << 20
+#: What is known of a file before its rows.
+ABOUT = "problem string, kind string, header_row int, header array<string>, file_start string, file_end string, executed_at string"
 #: The settings file's columns by the names that the operators use.
 SETTING_COLUMNS = {"コントロールカラム": "control", "商品管理番号": "product_id", "商品名": "product_name", "価格": "price", "商品URL": "url", "商品CPC": "item_cpc", "キーワード": "keyword", "キーワードCPC": "keyword_cpc", "目安CPC": "guide_cpc"}
 
@@ -46,28 +51,53 @@ def decoded(raw: bytes) -> tuple[str, str] | None:
     return None
 
 
-def parsed(raw: bytes) -> dict:
-    """A file's encoding, metadata, header and rows; `problem` if it can't be read."""
-    found = decoded(raw)
-    if found is None:
-        return {"problem": "unknown encoding"}
-    text, encoding = found
+def described(text: str) -> dict:
+    """Of a file's text or its first lines: metadata, header and the line that it begins at; `problem` without a header."""
     lines = re.split(r"\r?\n", text)
     head = "\n".join(lines[:30])
     period, executed = PERIOD.search(head), EXECUTED.search(head)
     start = next((i for i, line in enumerate(lines[:80]) if HEADER[0] in line and any(x in line for x in HEADER[1])), 0)
-    rows = list(csv.reader(io.StringIO("\n".join(lines[start:]))))
-    if not rows or not any(map(str.strip, rows[0])):
-        return {"problem": "no rows after the header", "encoding": encoding}
-    header = [c.strip().replace("﻿", "") for c in rows[0]]
-    cells = [[c or None for c in (row + [""] * len(header))[: len(header)]] for row in rows[1:]]
+    first = next(csv.reader(io.StringIO("\n".join(lines[start:]))), None)
+    if not first or not any(map(str.strip, first)):
+        return {"problem": "no rows after the header"}
+    header = [c.strip().replace("\ufeff", "") for c in first]
     dates = [None, None] if period is None else ["-".join(f"{int(x):02d}" for x in period.groups()[k : k + 3]) for k in (0, 3)]
-    return {"encoding": encoding, "header_row": start, "header": header, "kind": kind_of(header), "file_start": dates[0], "file_end": dates[1], "executed_at": executed and " ".join(executed.groups()), "cells": [c for c in cells if any(x is not None for x in c)]}
+    return {"header_row": start, "header": header, "kind": kind_of(header), "file_start": dates[0], "file_end": dates[1], "executed_at": executed and " ".join(executed.groups())}
 
 
-def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row a data row: path, sha256 of the file, encoding, kind, header, metadata, pos and cells. A file that can't be read has one row with its problem."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
+def parsed(raw: bytes) -> dict:
+    """A file's encoding, metadata, header and rows; `problem` if it can't be read."""
+    found = decoded(raw)
+    if found is None:
+        return {"problem": "unknown encoding"}
+    text, encoding = found
+    about = {"encoding": encoding, **described(text)}
+    if "problem" in about:
+        return about
+    rows = csv.reader(io.StringIO("\n".join(re.split(r"\r?\n", text)[about["header_row"] :])))
+    next(rows)
+    width = len(about["header"])
+    cells = ([c or None for c in (row + [""] * width)[:width]] for row in rows)
+    return {**about, "cells": [c for c in cells if any(x is not None for x in c)]}
+
+
+def read_files(spark: SparkSession, path: str | list[str], *, split: int = SPLIT) -> DataFrame:
+    """One row a data row: path, sha256 of the file, encoding, kind, header, metadata, pos and cells. A file that can't be read has one row with its problem.
+
+    Files of more than `split` bytes are parsed by many tasks as ranges of so many bytes; pos rises with a file's rows either way.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    whole = _whole_files(files.where(F.col("length") <= split))
+    # Only lengths are read.
+    if not files.where(F.col("length") > split).select("path").limit(1).count():
+        return whole
+    large = written(ranges.heads(files.where(F.col("length") > split), ENCODINGS, described, ABOUT), "heads")
+    cells = ranges.parsed_ranges(large.where("problem IS NULL"), split)
+    return whole.unionByName(large.drop("length", "data_start").join(cells, "path", "left").withColumns({"pos": F.coalesce("pos", F.lit(0).cast("long")), "header_row": F.coalesce("header_row", F.lit(0))}))
+
+
+def _whole_files(files: DataFrame) -> DataFrame:
+    files = files.select("path", F.sha2("content", 256).alias("sha256"), "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -76,7 +106,7 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 cells = found.pop("cells", None) or [None]
                 yield pd.DataFrame([{"path": file.path, "sha256": file.sha256, "problem": found.get("problem"), "encoding": found.get("encoding"), "kind": found.get("kind"), "header_row": found.get("header_row", 0), "header": found.get("header"), "file_start": found.get("file_start"), "file_end": found.get("file_end"), "executed_at": found.get("executed_at"), "pos": k, "cells": c} for k, c in enumerate(cells)])
 
-    return files.mapInPandas(parse, "path string, sha256 string, problem string, encoding string, kind string, header_row int, header array<string>, file_start string, file_end string, executed_at string, pos long, cells array<string>")
+    return files.mapInPandas(parse, f"path string, sha256 string, encoding string, {ABOUT}, pos long, cells array<string>")
 
 
 def profile(rows: DataFrame) -> DataFrame:
