@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidweave.functions.columns import truthy
-from bidweave.operators import decide, ingest, state
+from bidweave.operators import decide, ingest, search, state
 from bidweave.plans import absorbed, current
 from bidweave.plans.bindings import AS_OF, DAY, POLICY, as_of, bound, ctes
 from bidweave.plans.oracles import ORACLES as BATCH
@@ -186,3 +186,15 @@ def current_state(spark: SparkSession, d: str) -> DataFrame:
     for t in current.joined(store, store.number(), now):
         out = out.join(t, KEYS, "left")
     return out.select("product_id", "state_applied_cpc", F.col("state_effective_at").cast("string").alias("state_effective_at"), "state_source", "planned_cpc", "planned_run_id", "prev_clicks", "prev_cvr_attr", "override_mode", "override_cpc")
+
+
+@query("""
+SELECT needle, p_partkey FROM part JOIN (SELECT DISTINCT substr(p_name, 3, 6) AS needle FROM part WHERE p_partkey % 50 = 0 AND length(p_name) >= 5) ON contains(lower(p_name), lower(needle))""")
+def substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """The keywords that hold a piece of one of the others, by a stored index of trigrams that came in two parts."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    for part in (0, 1):
+        search.save(search.postings(rows.where(F.col("id") % 2 == part)), path)
+    needles = rows.where("id % 50 = 0 AND length(text) >= 5").select(F.substring("text", 3, 6).alias("needle"))
+    return search.matches(spark.read.parquet(path), rows, needles).select("needle", F.col("id").alias("p_partkey"))
