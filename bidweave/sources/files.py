@@ -6,6 +6,7 @@ import csv
 import io
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,8 @@ KINDS = [
     ("rakuten_rpp_keyword_report", {"キーワード", "クリック数(合計)"}, set()),
     ("rakuten_rpp_item_report", {"商品管理番号", "クリック数(合計)"}, set()),
 ]
-#: A file of more bytes is read in ranges.
-SPLIT = 64 << 20
+#: A file of more bytes is read in ranges of so many: a task holds some ten times as much while it parses.
+SPLIT = 16 << 20
 #: What is known of a file before its rows.
 ABOUT = "problem string, kind string, header_row int, header array<string>, file_start string, file_end string, executed_at string"
 #: The settings file's columns by the names that the operators use.
@@ -66,7 +67,7 @@ def described(text: str) -> dict:
 
 
 def parsed(raw: bytes) -> dict:
-    """A file's encoding, metadata, header and rows; `problem` if it can't be read."""
+    """A file's encoding, metadata, header and rows, which are parsed as they are taken; `problem` if it can't be read."""
     found = decoded(raw)
     if found is None:
         return {"problem": "unknown encoding"}
@@ -74,11 +75,9 @@ def parsed(raw: bytes) -> dict:
     about = {"encoding": encoding, **described(text)}
     if "problem" in about:
         return about
-    rows = csv.reader(io.StringIO("\n".join(re.split(r"\r?\n", text)[about["header_row"] :])))
+    rows = csv.reader(io.StringIO(re.sub(r"\r\n", "\n", text).split("\n", about["header_row"])[-1]))
     next(rows)
-    width = len(about["header"])
-    cells = ([c or None for c in (row + [""] * width)[:width]] for row in rows)
-    return {**about, "cells": [c for c in cells if any(x is not None for x in c)]}
+    return {**about, "cells": ranges.cells_of(rows, len(about["header"]))}
 
 
 def read_files(spark: SparkSession, path: str | list[str], *, split: int = SPLIT) -> DataFrame:
@@ -92,8 +91,11 @@ def read_files(spark: SparkSession, path: str | list[str], *, split: int = SPLIT
     if not files.where(F.col("length") > split).select("path").limit(1).count():
         return whole
     large = written(ranges.heads(files.where(F.col("length") > split), ENCODINGS, described, ABOUT), "heads")
-    cells = ranges.parsed_ranges(large.where("problem IS NULL"), split)
-    return whole.unionByName(large.drop("length", "data_start").join(cells, "path", "left").withColumns({"pos": F.coalesce("pos", F.lit(0).cast("long")), "header_row": F.coalesce("header_row", F.lit(0))}))
+    cells = written(ranges.parsed_ranges(large.where("problem IS NULL"), split), "cells")
+    about = large.drop("length", "data_start").withColumn("header_row", F.coalesce("header_row", F.lit(0)))
+    # The rows stay in the tasks that read them: the files, which are few, come to them. Files without rows have one row all the same.
+    bare = about.join(cells.select("path").distinct(), "path", "left_anti").withColumns({"pos": F.lit(0).cast("long"), "cells": F.lit(None).cast("array<string>")})
+    return whole.unionByName(cells.join(about, "path")).unionByName(bare)
 
 
 def _whole_files(files: DataFrame) -> DataFrame:
@@ -103,8 +105,12 @@ def _whole_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             for file in batch.itertuples(index=False):
                 found = parsed(file.content)
-                cells = found.pop("cells", None) or [None]
-                yield pd.DataFrame([{"path": file.path, "sha256": file.sha256, "problem": found.get("problem"), "encoding": found.get("encoding"), "kind": found.get("kind"), "header_row": found.get("header_row", 0), "header": found.get("header"), "file_start": found.get("file_start"), "file_end": found.get("file_end"), "executed_at": found.get("executed_at"), "pos": k, "cells": c} for k, c in enumerate(cells)])
+                cells = found.pop("cells", iter(()))
+                # A file without rows has one row all the same.
+                cells, pos = chain([next(cells, None)], cells), 0
+                while kept := list(islice(cells, ranges.ROWS)):
+                    yield pd.DataFrame([{"path": file.path, "sha256": file.sha256, "problem": found.get("problem"), "encoding": found.get("encoding"), "kind": found.get("kind"), "header_row": found.get("header_row", 0), "header": found.get("header"), "file_start": found.get("file_start"), "file_end": found.get("file_end"), "executed_at": found.get("executed_at"), "pos": k, "cells": c} for k, c in enumerate(kept, pos)])
+                    pos += len(kept)
 
     return files.mapInPandas(parse, f"path string, sha256 string, encoding string, {ABOUT}, pos long, cells array<string>")
 

@@ -14,6 +14,7 @@ import hashlib
 import io
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow.fs as fs
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from bidweave.session import written
 
 BLOCK = 1 << 20
+#: Tasks that files or ranges are dealt to at most.
+MOST_TASKS = 2000
+#: Parsed rows that a task gives on at once.
+ROWS = 5000
 #: A cell's opening quote, and a quoted cell's rest up to its closing quote or the end of the bytes.
 OPENING = re.compile(rb'(?:^|(?<=[,\n\r]))"')
 REST = re.compile(rb'(?:[^"]|"")*+("?)')
@@ -86,11 +91,22 @@ def own_records(file, start: int, stop: int, size: int, inside: bool) -> bytes:
     return raw + b"".join(more)
 
 
+def cells_of(rows: Iterator[list[str]], width: int) -> Iterator[list[str | None]]:
+    """Rows as wide as the header, empty cells as None; empty rows are left out."""
+    cells = ([c or None for c in (row + [""] * width)[:width]] for row in rows)
+    return (c for c in cells if any(x is not None for x in c))
+
+
 def ranges(files: DataFrame, split: int) -> DataFrame:
-    """files (path, length, data_start, ...) with start and stop, a range a row and spread over the tasks."""
+    """files (path, length, data_start, ...) with start and stop, a range a row."""
     starts = F.explode(F.sequence(F.col("data_start"), F.col("length") - 1, F.lit(split).cast("long")))
     rows = files.where("data_start < length").withColumn("start", starts)
-    return rows.withColumn("stop", F.least(F.col("start") + split, "length")).repartition("path", "start")
+    return rows.withColumn("stop", F.least(F.col("start") + split, "length"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows with a task for each, up to MOST_TASKS. They are few and small, but stand for much work: without their number, adaptive execution would put them all into one task."""
+    return rows.repartition(max(1, min(rows.count(), MOST_TASKS)))
 
 
 def begun(files: DataFrame, split: int) -> DataFrame:
@@ -109,13 +125,13 @@ def begun(files: DataFrame, split: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "nominal", "start", "stop", "after_out", "after_in"])
 
     cut = ranges(files.select("path", "length", "data_start"), split)
-    seen = written(cut.mapInPandas(look, "path string, nominal long, start long, stop long, after_out boolean, after_in boolean"), "ranges")
+    seen = written(dealt(cut).mapInPandas(look, "path string, nominal long, start long, stop long, after_out boolean, after_in boolean"), "ranges")
     # A file has as many ranges as its bytes over `split`: few, and folded in their order.
     per_file = seen.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("nominal", "start", "stop", "after_out", "after_in"))).alias("all"))
     begins = F.aggregate("all", F.array(F.lit(False)), lambda acc, r: F.concat(acc, F.array(F.when(F.element_at(acc, -1), r["after_in"]).otherwise(r["after_out"]))))
     known = per_file.withColumn("begins", begins).select("path", F.posexplode("all").alias("__n", "r"), "begins")
     known = known.select("path", "r.start", "r.stop", F.get("begins", F.col("__n")).alias("inside")).where("start < stop")
-    return known.join(files.select("path", "length", "encoding", "header"), "path").repartition("path", "start")
+    return dealt(known.join(files.select("path", "length", "encoding", "header"), "path"))
 
 
 def heads(files: DataFrame, encodings: list[str], describe: Callable[[str], dict], schema: str) -> DataFrame:
@@ -125,12 +141,11 @@ def heads(files: DataFrame, encodings: list[str], describe: Callable[[str], dict
         for batch in batches:
             for path, length in zip(batch["path"], batch["length"], strict=True):
                 with opened(path) as file:
-                    digest, readers = hashlib.sha256(), {e: codecs.getincrementaldecoder(e)() for e in encodings}
+                    digest = hashlib.sha256()
                     for at in range(0, length, BLOCK):
-                        block = file.read_at(BLOCK, at)
-                        digest.update(block)
-                        readers = {e: r for e, r in readers.items() if _decodes(r, block, at + len(block) >= length)}
-                    row = {"path": path, "length": length, "sha256": digest.hexdigest(), "encoding": next(iter(readers), None), "data_start": length}
+                        digest.update(file.read_at(BLOCK, at))
+                    # The next encoding is tried from the start where one has failed.
+                    row = {"path": path, "length": length, "sha256": digest.hexdigest(), "encoding": next((e for e in encodings if _decodes(file, length, e)), None), "data_start": length}
                     if row["encoding"] is None:
                         row["problem"] = "unknown encoding"
                     else:
@@ -145,12 +160,14 @@ def heads(files: DataFrame, encodings: list[str], describe: Callable[[str], dict
 
     whole = f"path string, length long, sha256 string, encoding string, data_start long, {schema}"
     names = [f.split(" ")[0] for f in whole.split(", ")]
-    return files.select("path", "length").repartition("path").mapInPandas(head, whole)
+    return dealt(files.select("path", "length")).mapInPandas(head, whole)
 
 
-def _decodes(reader: codecs.IncrementalDecoder, block: bytes, final: bool) -> bool:
+def _decodes(file, size: int, encoding: str) -> bool:
+    reader = codecs.getincrementaldecoder(encoding)()
     try:
-        reader.decode(block, final)
+        for at in range(0, size, BLOCK):
+            reader.decode(file.read_at(BLOCK, at), at + BLOCK >= size)
         return True
     except UnicodeDecodeError:
         return False
@@ -178,11 +195,11 @@ def parsed_ranges(files: DataFrame, split: int) -> DataFrame:
                     raw = own_records(file, r.start, r.stop, r.length, r.inside)
                 # The mark of a file's encoding is before its header.
                 text = re.sub(r"\r\n", "\n", raw.decode("utf-8" if r.encoding == "utf-8-sig" else r.encoding))
-                width = len(r.header)
-                cells = ([c or None for c in (row + [""] * width)[:width]] for row in csv.reader(io.StringIO(text)))
-                kept = [c for c in cells if any(x is not None for x in c)]
+                del raw
+                cells, pos = cells_of(csv.reader(io.StringIO(text)), len(r.header)), r.start
                 # A row takes a byte at least, so places rise from range to range.
-                if kept:
-                    yield pd.DataFrame({"path": r.path, "pos": range(r.start, r.start + len(kept)), "cells": kept})
+                while kept := list(islice(cells, ROWS)):
+                    yield pd.DataFrame({"path": r.path, "pos": range(pos, pos + len(kept)), "cells": kept})
+                    pos += len(kept)
 
     return begun(files, split).mapInPandas(parse, "path string, pos long, cells array<string>")

@@ -2,12 +2,16 @@
 
 import csv
 import io
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from bidweave.sources.files import read_files
+from bidweave.session import written
+from bidweave.sources import ranges
+from bidweave.sources.files import ABOUT, described, parsed, read_files
 from bidweave.sources.ranges import open_after
 
 META = "商品レポート\r\n期間,2026年06月01日～2026年06月30日\r\n実行日時: 2026-07-01 09:30:00\r\n"
@@ -55,3 +59,21 @@ def test_a_cell_is_open_where_the_parser_says_so(text, inside):
     text += "\n" if text else ""
     rows = list(csv.reader(io.StringIO(('"x' if inside else "") + text + "S")))
     assert open_after(text.encode(), inside) == (rows[-1] != ["S"])
+
+
+def test_ranges_are_parsed_by_tasks_of_their_own(spark, tmp_path):
+    """Ranges are small rows, which adaptive execution would put together."""
+    (tmp_path / "a.csv").write_bytes(b"a,b\n" + b"1,2\n" * 1000)
+    heads = written(ranges.heads(spark.read.format("binaryFile").load(str(tmp_path)), ["utf-8-sig"], described, ABOUT), "heads")
+    per_task = [r["count"] for r in ranges.parsed_ranges(heads, 500).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 1000 and len(per_task) >= 4 and max(per_task) <= 500
+
+
+def test_rows_are_parsed_as_they_are_taken():
+    """What a task holds of a file are its bytes and texts, not all of its rows' cells."""
+    raw = b"product_id,clicks,cost,a,b,c\n" + b"S123456,10,20,30,40,50\n" * 100_000
+    tracemalloc.start()
+    assert sum(1 for _ in parsed(raw)["cells"]) == 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(raw)
