@@ -55,8 +55,7 @@ def snapshots(store: StateStore, at: int | None = None) -> DataFrame:
 
 def entity_state(performance: DataFrame, policy: Policy) -> DataFrame:
     """Windows of entities with the numbers of their rows and of those with errors. performance: deduplicated rows."""
-    counts = performance.groupBy(*KEYS, "entity_key").agg(F.count("*").alias("rows"), F.count_if(quality.error_codes() != "").alias("row_errors"))
-    return windows.analysis_windows(performance, policy).join(counts, [*KEYS, "entity_key"])
+    return windows.analysis_windows(performance, policy, F.count("*").alias("rows"), F.count_if(quality.error_codes() != "").alias("row_errors"))
 
 
 def absorb(rows: DataFrame, store: StateStore, policy: Policy, *, mark: tuple[str, int] | None = None) -> int:
@@ -76,7 +75,7 @@ def absorb(rows: DataFrame, store: StateStore, policy: Policy, *, mark: tuple[st
     # Of any age: what is there already is not kept twice.
     there = before.select(*[F.col(c).alias(f"__{c}") for c in ("entity_key", "snapshot_id", "ord")])
     new = written(given.join(there, F.expr("entity_key <=> __entity_key AND snapshot_id <=> __snapshot_id AND ord <=> __ord"), "left_anti"), "delta")
-    now = written(entity_state(ingest.dedupe_snapshots(before.unionByName(new)), policy), "entity_state")
+    now = written(entity_state(ingest.dedupe_snapshots(before.unionByName(new).repartition("entity_key")), policy), "entity_state")
     was = current_windows(store, at=base).join(touched, "entity_key", "left_semi")
 
     def signed(part: DataFrame, sign: int) -> DataFrame:

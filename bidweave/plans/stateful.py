@@ -16,7 +16,7 @@ from bidweave.plans import absorbed, current
 from bidweave.plans.bindings import AS_OF, DAY, POLICY, as_of, bound, ctes
 from bidweave.plans.oracles import ORACLES as BATCH
 from bidweave.plans.oracles import chained
-from bidweave.plans.queries import entities_of, master, r6
+from bidweave.plans.queries import joined_entities, master, r6
 from bidweave.schema import KEYS
 from bidweave.session import shared_dir, written
 from bidweave.sources.state_store import ConcurrentCommit, StateStore
@@ -123,7 +123,7 @@ def _from_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     store = _absorbed(spark, d)
     rows = absorbed.current_windows(store).withColumn("row_quality_block", F.col("row_errors") > 0).drop("rows", "row_errors")
     products = ingest.with_master(absorbed.product_sums(store).drop("rows", "row_errors"), master(spark, d))
-    return entities_of(spark, d, rows), products
+    return joined_entities(spark, d, rows), products
 
 
 @query(BATCH["group_priors"])
@@ -136,7 +136,7 @@ def incremental_priors(spark: SparkSession, d: str) -> DataFrame:
 def incremental_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Decisions from the state: the same as over all rows at once."""
     rows, products = _from_state(spark, d)
-    out = decide.with_hierarchy(decide.decisions(rows, POLICY, as_of(), products))
+    out = decide.with_hierarchy(decide.decisions(written(rows, "entities"), POLICY, as_of(), products))
     return out.select("entity_key", "action", "decision_status", "reason_code", "recommended_cpc", "auto_approved_default", *r6("delta_cpc", "delta_pct"))
 
 
