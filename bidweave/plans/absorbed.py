@@ -7,14 +7,16 @@ of their figures is added to their products' sums. Priors of groups are sums of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bidweave.functions.columns import spread
 from bidweave.operators import ingest, quality, windows
 from bidweave.operators.windows import METRICS, SNAPSHOT
 from bidweave.schema import KEYS, PERFORMANCE, Policy
-from bidweave.session import written
-from bidweave.sources.state_store import StateStore
+from bidweave.sources.state_store import StateStore, Transaction
 
 _TYPES = dict(f.split(" ") for f in PERFORMANCE.split(", "))
 PRODUCT = ["platform", "entity_type", "product_id"]
@@ -69,34 +71,49 @@ def absorb(rows: DataFrame, store: StateStore, policy: Policy, *, mark: tuple[st
     if mark is not None and store.manifest(base)["marks"].get(mark[0], -1) >= mark[1]:
         return base
     columns = [f.split(" ")[0] for f in PERFORMANCE.split(", ")]
-    given = written(rows.select(*columns), "given")
-    touched = given.select("entity_key").distinct()
-    before = store.read("snapshots", at=base).drop("ord").withColumnRenamed("source_ord", "ord").join(touched, "entity_key", "left_semi").select(*columns)
+    given, known = rows.select(*columns).withColumnRenamed("ord", "source_ord"), store.read("snapshots", at=base)
+    place = ("entity_key", "snapshot_id", "source_ord")
     # Of any age: what is there already is not kept twice.
-    there = before.select(*[F.col(c).alias(f"__{c}") for c in ("entity_key", "snapshot_id", "ord")])
-    new = written(given.join(there, F.expr("entity_key <=> __entity_key AND snapshot_id <=> __snapshot_id AND ord <=> __ord"), "left_anti"), "delta")
-    now = written(entity_state(ingest.dedupe_snapshots(before.unionByName(new).repartition("entity_key")), policy), "entity_state")
-    was = current_windows(store, at=base).join(touched, "entity_key", "left_semi")
+    there = known.select(spread(*place).alias("__there"), *[F.col(c).alias(f"__{c}") for c in place])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place], spread(*place) == F.col("__there"))
+    tables = store.transaction(base=base).append("snapshots", given.join(there, same, "left_anti"), ranked=False)
+    if tables.appended["snapshots"]:
+        _follow(tables, known, store.read("source_files", at=base), policy)
+    if mark is not None:
+        tables.mark(*mark)
+    return tables.commit()
+
+
+def _follow(tables: Transaction, known: DataFrame, files: DataFrame, policy: Policy) -> None:
+    """Windows, sums and files after the snapshots that the transaction has added; entities without new rows stay as they are.
+
+    What it has written is read from there, so it is made once. known and files: the tables before.
+    """
+    new, was = tables.added("snapshots"), tables.rows("entity_windows")
+    keys = new.select(spread("entity_key").alias("__touched"), F.col("entity_key").alias("__entity"))
+
+    def touched(rows: DataFrame) -> DataFrame:
+        return rows.join(keys, (spread("entity_key") == F.col("__touched")) & F.col("entity_key").eqNullSafe(F.col("__entity")), "left_semi")
+
+    together = touched(known).unionByName(new).drop("ord").withColumnRenamed("source_ord", "ord")
+    tables.append("entity_windows", entity_state(ingest.dedupe_snapshots(together.repartition("entity_key")), policy), ranked=False)
+    # The figures are picked one by one, as numbers: sums need no more of the windows.
+    last = touched(was.select(*KEYS, "entity_key", *SUMS, "ord")).groupBy(*KEYS, "entity_key").agg(*[F.max_by(c, "ord").alias(c) for c in SUMS])
 
     def signed(part: DataFrame, sign: int) -> DataFrame:
         return part.select(*PRODUCT, *[(F.coalesce(c, F.lit(0)) * sign).alias(c) for c in SUMS])
 
-    change = signed(now, 1).unionByName(signed(was, -1)).groupBy(*PRODUCT).agg(*[F.sum(c).alias(c) for c in SUMS])
-    files = new.select("source_hash").where("source_hash IS NOT NULL").distinct().join(store.read("source_files", at=base), "source_hash", "left_anti")
-    tables = store.transaction(base=base)
-    tables.append("snapshots", new.withColumnRenamed("ord", "source_ord")).append("entity_windows", now)
-    tables.append("product_sums", change.where(" OR ".join(f"{c} <> 0" for c in SUMS))).append("source_files", files)
-    if mark is not None:
-        tables.mark(*mark)
-    return tables.commit()
+    change = signed(tables.added("entity_windows"), 1).unionByName(signed(last, -1)).groupBy(*PRODUCT).agg(*[F.sum(c).alias(c) for c in SUMS])
+    tables.append("product_sums", change.where(" OR ".join(f"{c} <> 0" for c in SUMS)), ranked=False)
+    tables.append("source_files", new.select("source_hash").where("source_hash IS NOT NULL").distinct().join(files, "source_hash", "left_anti"))
 
 
 def current_windows(store: StateStore, at: int | None = None) -> DataFrame:
-    """An entity's windows as they are now: the last of what was written of it."""
+    """An entity's windows as they are now: the last of what was written of it. Rows are moved once, without columns that nobody asks for."""
     rows = store.read("entity_windows", at=at)
-    values = [c for c in rows.columns if c not in (*KEYS, "entity_key", "ord")]
-    last = rows.groupBy(*KEYS, "entity_key").agg(F.max_by(F.struct(*values), "ord").alias("last"))
-    return last.select(*KEYS, "entity_key", "last.*")
+    order = Window.partitionBy("__spread", "entity_key", *KEYS).orderBy(F.desc("ord"))
+    last = rows.repartition("entity_key").withColumn("__spread", spread("entity_key")).withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return last.select(*KEYS, "entity_key", *[c for c in rows.columns if c not in (*KEYS, "entity_key", "ord")])
 
 
 def product_sums(store: StateStore, at: int | None = None) -> DataFrame:

@@ -122,7 +122,10 @@ class StateStore:
         if folders and folders[0].get("buckets"):
             return self._bucketed(folders[0], schema)
         paths = [f"{self.path}/{f['path']}" for f in folders if part is None or f["open"] == (part == "open")]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if paths:
+            return self.spark.read.schema(schema).parquet(*paths)
+        # Empty by its plan, so that no task runs for it.
+        return self.spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (f.rsplit(" ", 1) for f in schema.split(", "))]).where(F.lit(False))
 
     def _bucketed(self, folder: dict, schema: str) -> DataFrame:
         """A folder of buckets as a table of the session's catalog, which is where Spark looks for how files are divided."""
@@ -184,11 +187,14 @@ class Transaction:
         self.tables[name] = {"version": version + (not again), "top": top or 0, "folders": folders}
         return self
 
-    def append(self, name: str, rows: DataFrame) -> Transaction:
-        """More rows, after all that the table has; those of one key among themselves by their values."""
+    def append(self, name: str, rows: DataFrame, *, ranked: bool = True) -> Transaction:
+        """More rows, after all that the table has; those of one key among themselves by their values.
+
+        ranked: False where rows that come together need no order among themselves; they share a place, and aren't moved or sorted.
+        """
         table = self.tables.setdefault(name, {"version": 1, "top": 0, "folders": []})
         keys = [k for k in KEYS if k in rows.columns]
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sorted(c for c in rows.columns if c not in keys))) if keys else F.lit(1)
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*sorted(c for c in rows.columns if c not in keys))) if keys and ranked else F.lit(1)
         folders, top = self._write(name, rows.withColumn("ord", F.lit(table["top"]) + place))
         table["folders"] += folders
         self.appended.setdefault(name, []).extend(folders)
