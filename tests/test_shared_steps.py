@@ -50,3 +50,28 @@ def test_outputs_read_the_settings_that_decisions_were_made_from(spark, monkeypa
     names, plain = [], queries.written
     monkeypatch.setattr(queries, "written", lambda df, name: (names.append(name), plain(df, name))[1])
     assert queries.rollback_output(spark, SF).count() and names.count("settings") == 1
+
+
+@pytest.mark.parametrize("compatible", [True, False])
+def test_edges_are_ranked_before_their_decisions_are_made(spark, monkeypatch, compatible):
+    rows = [("KEYWORD", f" P{p}", k, f"name {p}", float(p + len(k)), "KEEP") for p in range(6) for k in ("red bolt", "ＲＥＤ－bolt", "nut")]
+    df = spark.createDataFrame(rows, "entity_type string, product_id string, keyword string, product_name string, sales_attr double, action string")
+    df = df.withColumns({c: F.col("sales_attr") for c in ("clicks", "cost", "orders_attr", "roas_attr_pct")}).withColumn("decision_status", F.concat(F.lit("said "), "action"))
+    plans, plain = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), plain(df, name))[1])
+    out = graph.bipartite_edges(df, max_products=2, compatible=compatible, relevance=False)
+    got = {(r["product_id"], r["keyword_normalized"]): (r["edge_value"], r["decision_status"]) for r in out.collect()}
+    words = {"red bolt": 2 * 8.0 + 5, "nut": 3.0} if compatible else None
+    assert {p for p, _ in got} == {"P4", "P5"} and all(s == "said KEEP" for _, s in got.values())
+    if words:
+        assert got[("P4", "red bolt")][0] == (4 + 8.0) + (4 + 8.0) and got[("P4", "nut")][0] == 4 + 3.0
+    assert "said " not in plans["edge_sums"] and "said " in plans["top_edges"]
+
+
+def test_plain_keywords_do_not_go_through_python(spark, monkeypatch):
+    seen, plain = [], text.nfkc
+    df = spark.createDataFrame([("KEYWORD", "P", "Red-bolt"), ("KEYWORD", "P", "ｒｅｄ"), ("KEYWORD", "P", None), ("ITEM", "P", "x")], "entity_type string, product_id string, keyword string")
+    out = graph.keyword_rows(df)
+    assert sorted(r["keyword_normalized"] for r in out.collect()) == ["red", "red bolt"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and re.search(r"octet_length\(keyword#\d+\) = length\(keyword#\d+\)", plan)
