@@ -52,6 +52,15 @@ def test_outputs_read_the_settings_that_decisions_were_made_from(spark, monkeypa
     assert queries.rollback_output(spark, SF).count() and names.count("settings") == 1
 
 
+def test_counts_of_a_run_do_not_multiply_its_rows(spark):
+    rows = [("ITEM", "P", "", True, False, True, False), ("KEYWORD", "P", "k", False, True, True, False), ("KEYWORD", "Q", "k", True, True, False, True), ("ITEM", None, "", None, None, None, None), ("OTHER", "R", "x", True, True, True, True)]
+    df = spark.createDataFrame(rows, "entity_type string, product_id string, keyword string, final_approved boolean, final_changed boolean, upload_match boolean, upload_eligible boolean")
+    out = reports.run_profile(df)
+    assert out.first() == Row(products=1, keywords=1, rows=5, approved=3, changed=3, eligible=2, unmatched=1)
+    assert reports.run_profile(df.limit(0)).first() == Row(products=0, keywords=0, rows=0, approved=0, changed=0, eligible=0, unmatched=0)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("compatible", [True, False])
 def test_edges_are_ranked_before_their_decisions_are_made(spark, monkeypatch, compatible):
     rows = [("KEYWORD", f" P{p}", k, f"name {p}", float(p + len(k)), "KEEP") for p in range(6) for k in ("red bolt", "ＲＥＤ－bolt", "nut")]
