@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from bidweave.llm import bpe, fingerprints, language, packing, quality, subwords
@@ -48,6 +50,75 @@ def test_merges_follow_ranks_where_a_later_merge_makes_a_lower_rank():
     assert found[0] == [280]
 
 
+class Local:
+    """What bpe's operators ask of a frame; the function of its only task runs here, over these batches."""
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        return list(f(iter(self.batches)))
+
+
+def test_bpe_replays_the_merges_once_for_all_batches_of_a_task(monkeypatch):
+    """Another batch of new words costs its own merges, not one more round of all ranks."""
+    path, rng = P.path("byte_bpe_50k.tiktoken"), np.random.default_rng(7)
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, rng.integers(3, 9)))) for _ in range(600)) for _ in range(12)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    asked, rank = [], bpe.MergeReplay.rank
+    monkeypatch.setattr(bpe.MergeReplay, "rank", lambda self, a, b: asked.append(len(a)) or rank(self, a, b))
+    rows = bpe.encode(Local([pa.Table.from_batches(batches).combine_chunks().to_batches()[0]]), ranks=path, pattern=P.PATTERN)
+    once, asked[:] = len(asked), []
+    apart = bpe.encode(Local(batches), ranks=path, pattern=P.PATTERN)
+    assert len(asked) <= 1.5 * once
+    found = [{i: x for b in some for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} for some in (rows, apart)]
+    assert found[0] == found[1] == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_bpe_cuts_words_as_the_pattern_does(monkeypatch):
+    path, rng = P.path("byte_bpe_50k.tiktoken"), np.random.default_rng(8)
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    chars = list("ab Z'''sstmdrevl  \n\t\r19,.!-\u00e9\u00d7\u00f7\u65e5\u0436\u3000\u00a0\u0085\x1c\u200b\u00b2\u2167\U0001f600\u0301\u0661")
+    texts = [None, "", *("".join(rng.choice(chars, rng.integers(0, 14))) for _ in range(4000)), "it's we'll'd 's '", ""]
+    encoder = bpe.Encoder(bpe.MergeReplay(bpe.read_ranks(path)), P.PATTERN)
+    for size in (bpe.CUT, 1000):
+        monkeypatch.setattr(bpe, "CUT", size)
+        assert encoder.encode(pa.array(texts)).to_pylist() == [reference.encode_ordinary(t or "") for t in texts]
+    assert encoder.encode(pa.array([None, ""], pa.string())).to_pylist() == [[], []]
+    assert encoder.encode(pa.array(["a", "b c", None]).slice(1)).to_pylist() == [reference.encode_ordinary("b c"), []]
+
+
+def test_bpe_runs_and_parts_keep_every_row():
+    texts = [None, "", "a" * 50, "b", *["c" * 7] * 9, "d" * 200]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(texts[a:b], pa.string())], names=["doc_id", "text"]) for a, b in ((0, 3), (3, 3), (3, 14))]
+    for most in (1, 40, 100, 10_000):
+        runs = list(bpe.runs(iter(batches), most))
+        assert [t for r in runs for t in r.column(1).to_pylist()] == texts and all(len(r) for r in runs)
+        assert all(sum(len(t or "") + 16 for t in r.column(1).to_pylist()[:-1]) < most for r in runs)
+    assert list(bpe.parts(np.array([0, 0, 5, 30, 31, 33, 33]), 6)) == [(0, 2), (2, 3), (3, 6)]
+
+
+def test_bpe_decodes_null_lists_and_refuses_unknown_ids():
+    path = P.path("byte_bpe_50k.tiktoken")
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    lists = [reference.encode_ordinary("the cat"), None, [], reference.encode_ordinary("\u65e5 sat")]
+
+    def decoded(lists):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        return [x for b in bpe.decode(Local([batch]), ranks=path) for x in b.column(2).to_pylist()]
+
+    assert decoded(lists) == [b"the cat", b"", b"", "\u65e5 sat".encode()] and decoded([None]) == [b""]
+    for unknown in (10_000_000, -1, None):
+        with pytest.raises((KeyError, IndexError, TypeError)):
+            decoded([[5, unknown]])
+
+
 def test_memory_keeps_what_comes_again():
     m = Memory(3)
     for block in ({"a", "b"}, {"a", "c"}, {"a", "d"}, {"a", "e"}):
